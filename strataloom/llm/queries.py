@@ -12,7 +12,9 @@ from strataloom.llm.chunking import split_oversized
 from strataloom.llm.components import group_identities
 from strataloom.llm.leximin import leximin_order, leximin_top, leximin_vectors
 from strataloom.llm.mixing import mix_sources
+from strataloom.llm.neardup import all_pairs, near_duplicates
 from strataloom.llm.packing import pack_documents
+from strataloom.llm.vectors import similar_pairs
 from strataloom.operators.ordering import keep_best
 from strataloom.runtime import table
 
@@ -44,6 +46,25 @@ def p1_order(spark: SparkSession, d: str) -> DataFrame:
     return leximin_order(_match_vectors(spark, d), "match_id", "queue_id")
 
 
+# Problem 3: blocks that differ by small edits.
+
+
+def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return near_duplicates(table(spark, d, "blocks"), "block_id", "content", "loaded_at")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs as TESTDATA.md fixes them; groups of equal contents are spelled out here only."""
+    return all_pairs(*_near(spark, d), "block_id", "block_a", "block_b")
+
+
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row a block with content: its class of equal contents and the number of other classes it is linked to."""
+    members, links = _near(spark, d)
+    ends = links.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
+    return members.join(ends, "class_id", "left").select("block_id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 # Problem 4: pieces of oversized blocks.
 
 
@@ -67,6 +88,13 @@ def p4_match_pieces(spark: SparkSession, d: str) -> DataFrame:
     return named.join(sizes, "identity", "left").select("match_id", "side", "chunk_ix", state.alias("state"))
 
 
+# Problem 5: nearest vectors.
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return similar_pairs(table(spark, d, "vectors"), "vec_id", "channel", "vec", k=5, floor=0.85, dims=64).select("vec_a", "vec_b")
+
+
 # Problem 6: chains of matches.
 
 
@@ -115,8 +143,11 @@ def p8_copies(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_order": p1_order,
+    "p3_found": p3_found,
+    "p3_classes": p3_classes,
     "p4_found": p4_found,
     "p4_match_pieces": p4_match_pieces,
+    "p5_found": p5_found,
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_containers": p7_containers,

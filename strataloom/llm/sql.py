@@ -40,3 +40,31 @@ with recursive ends as (
 reach as (select a identity, b other from s union select reach.identity, s.b from reach join s on s.a = reach.other)
 select identity, min(other) group_identity from reach group by identity
 """
+
+_SHINGLES = """
+with c as (
+  select block_id, max_by(content, loaded_at) body from blocks where block_id is not null group by block_id
+), t as (
+  select block_id, body, regexp_extract_all(body, '[A-Za-z0-9_]+|[^ \\t\\r\\n]') k from c where body <> ''
+), s as (
+  select distinct block_id, md5(array_to_string(k[i:i + 4], chr(1))) h
+  from (select block_id, k, unnest(range(1, len(k) - 3)) i from t where len(k) >= 5)
+), n as (select block_id, count(*) n from s group by block_id)
+"""
+SQL["p3_found"] = _SHINGLES + """
+select a.block_id block_a, b.block_id block_b from s a join s b on a.h = b.h and a.block_id < b.block_id
+join n x on x.block_id = a.block_id join n y on y.block_id = b.block_id
+group by a.block_id, b.block_id, x.n, y.n having 5 * count(*) >= 3 * (x.n + y.n - count(*))
+union
+select a.block_id, b.block_id from t a join t b on a.body = b.body and a.block_id < b.block_id
+"""
+SQL["p5_found"] = """
+with v as (
+  select vec_id, any_value(channel) ch, any_value(vec)::double[] x from vectors
+  where vec_id is not null and channel is not null and len(vec) = 64 and len(list_filter(vec, lambda e: e is null or not isfinite(e))) = 0
+    and len(list_filter(vec, lambda e: e <> 0)) > 0 group by vec_id
+), s as (
+  select a.vec_id i, b.vec_id j, list_cosine_similarity(a.x, b.x) c from v a join v b on a.ch = b.ch and a.vec_id <> b.vec_id
+), r as (select i, j, c, row_number() over (partition by i order by round(c, 12) desc, j) k from s)
+select distinct least(i, j) vec_a, greatest(i, j) vec_b from r where k <= 5 and c >= 0.85
+"""
