@@ -4,8 +4,8 @@ Every distinct text becomes ``TABLES`` bit strings: a key of ``ROWS`` whole minh
 each of ``BITS`` minhash values. Each table is a binary trie over its strings. The self-join walks pairs of nodes from
 the root down, adds up the bits in which they differ and drops a pair of subtrees once the sum exceeds the error budget:
 none in the key, ``BUDGET`` in the sketch. Two texts of similarity s agree in a key with probability s**ROWS and differ
-in a sketch bit with (1 - s) / 2, so at s = 0.6 a pair is missed by all tables in under 1 of 100 cases, at 0.7 in under
-1 of 3,000. What the tries give is checked exactly on the whole texts.
+in a sketch bit with (1 - s) / 2, so at s = 0.6 a pair is missed by all tables in about 1 of 500 cases, at 0.7 in 1 of
+50,000. What the tries give is checked exactly on the whole texts.
 
 The key bits are walked by Spark: equal keys meet in one partition. The rest of each trie is walked by numpy, a byte (8
 levels) at a time, for many tries at once, on the strings in sorted order, in which a node is a range.
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from strataloom.runtime import BROADCAST_ROWS, Scratch
 
-WIDTH, TABLES, ROWS, BITS, BUDGET = 5, 20, 3, 96, 31
+WIDTH, TABLES, ROWS, BITS, BUDGET = 5, 26, 3, 96, 33
 #: Texts under one key that a task holds; keys with more are cut into parts, all pairs of which are joined. Hot keys are
 #: looked for in one of ``SAMPLE`` texts, which only decides where they are joined, never whether.
 PART, SAMPLE = 20_000, 64

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strataloom.functions.paths import canonical_identity
 from strataloom.llm.chunking import split_oversized
 from strataloom.llm.components import group_identities
+from strataloom.llm.language import fit_model, label_language, tag_documents
 from strataloom.llm.leximin import leximin_order, leximin_top, leximin_vectors
 from strataloom.llm.mixing import mix_sources
 from strataloom.llm.neardup import all_pairs, near_duplicates
@@ -140,6 +141,29 @@ def p8_copies(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[0]
 
 
+# Problem 9: languages of documents and of their parts.
+
+
+def _tagged(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    model = fit_model(documents, "doc_id", "text", "lang")
+    labelled = documents.select("doc_id", "text", label_language(F.col("lang")).alias("label"))
+    return tag_documents(labelled, "doc_id", "text", model, ["label"])
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    lines = _tagged(spark, d).select("doc_id", "label", F.explode("lines").alias("l"))
+    return lines.where("label is null or l.lang <> label").select("doc_id", F.col("l.line_no"), F.col("l.lang"))
+
+
+def p9_documents(spark: SparkSession, d: str) -> DataFrame:
+    return _tagged(spark, d).select("doc_id", "label", "lang", "confidence")
+
+
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _tagged(spark, d).select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.*")
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_order": p1_order,
@@ -154,4 +178,7 @@ QUERIES: dict[str, Query] = {
     "p8_found": p8_found,
     "p8_report": p8_report,
     "p8_copies": p8_copies,
+    "p9_found": p9_found,
+    "p9_documents": p9_documents,
+    "p9_segments": p9_segments,
 }
