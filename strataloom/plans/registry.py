@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataloom.plans import incremental_queries
+from strataloom.plans import incremental_queries, sequence_queries, text_queries
 
-MODULES = [incremental_queries]
+MODULES = [incremental_queries, text_queries, sequence_queries]
 
 
 def queries() -> dict:
