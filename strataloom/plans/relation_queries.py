@@ -94,15 +94,14 @@ def findings(spark: SparkSession, d: str) -> DataFrame:
 
 
 def directives(spark: SparkSession, d: str) -> DataFrame:
-    """A directive for what review threads list, and one for the line below what readmes and guides list."""
-    kinds = table(spark, d, "documents").select("doc_id", "doc_kind")
-    f = findings(spark, d).join(kinds, "doc_id").where("doc_kind in ('review_thread', 'rule_guide', 'issue_report')")
-    target = F.when(F.col("doc_kind") == "review_thread", F.col("line")).otherwise(F.col("line") + 1)
+    """A directive for each finding at an even column, and one for the line below for the others."""
+    f = findings(spark, d)
+    target = F.when(F.col("col") % 2 == 0, F.col("line")).otherwise(F.col("line") + 1)
     return f.select("file", (F.col("line") - 1).alias("line"), target.alias("target"), F.col("kind").alias("rule"), F.when(F.col("col") > 10, "as agreed").alias("reason")).distinct()
 
 
-_V = _F + """, d as (select distinct file, line - 1 line, case when doc_kind = 'review_thread' then line else line + 1 end target, kind rule, case when col > 10 then 'as agreed' end reason
-  from f join documents using (doc_id) where doc_kind in ('review_thread', 'rule_guide', 'issue_report')),
+_V = _F + """, d as (select distinct file, line - 1 line, case when col % 2 = 0 then line else line + 1 end target, kind rule, case when col > 10 then 'as agreed' end reason
+  from f),
   v as (select * from d where reason is not null and rule not in ('stale_ignore', 'invalid_ignore', 'parse_error'))"""
 
 
