@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from strataloom.plans import code_queries, graph_queries, incremental_queries, relation_queries, sequence_queries, store_queries, text_queries, vector_queries
+from strataloom.plans import code_queries, graph_queries, incremental_queries, relation_queries, sequence_queries, store_queries, stream_queries, text_queries, vector_queries
 
-MODULES = [incremental_queries, text_queries, sequence_queries, graph_queries, relation_queries, vector_queries, store_queries, code_queries]
+MODULES = [incremental_queries, text_queries, sequence_queries, graph_queries, relation_queries, vector_queries, store_queries, code_queries, stream_queries]
 
 
 def queries() -> dict:
