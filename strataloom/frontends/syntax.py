@@ -261,10 +261,10 @@ class Braces:
             body, end = self.block()
             blocks.append(("body", body))
             self.function(whole, body, t.line, end)
-            more = self.head(False)
-            head = [*head, "{}", *more]
-            if not more and self.t[self.i].text != "{":
+            head.append("{}")
+            if self.t[self.i].kind in ("nl", "end"):
                 break
+            head += self.head(False)
         if not head:
             raise ValueError(f"line {t.line}: {t.text!r} begins no statement")
         if self.t[self.i].text == ";":
