@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +42,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, so that their Python workers can import it wherever they run."""
+    if spark.conf.get("spark.strataloom.shipped", None) == spark.sparkContext.applicationId:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    at = os.path.join(tempfile.mkdtemp(prefix="strataloom-"), "strataloom.zip")
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    path = os.path.join(folder, n)
+                    z.write(path, os.path.join("strataloom", os.path.relpath(path, root)))
+    spark.sparkContext.addPyFile(at)
+    spark.conf.set("spark.strataloom.shipped", spark.sparkContext.applicationId)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
