@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.llm.tokens import VOCABULARY, token_counts
+from strataloom.operators.ordering import running_total
 from strataloom.runtime import BROADCAST_ROWS, Scratch
 
 #: Newton steps at most, and the relative error of a source's tokens at which it counts as solved.
@@ -93,8 +94,9 @@ def mix_sources(
     The mix is as large as all documents that have text (more than blanks) and a source, named in targets or not. Each
     source's rates minimise the relative entropy to using every document once, under its token target and the cap: the
     solution is exp(tilt * tokens) cut off at the cap. A short source takes every document max_repeats times; its gap is
-    reported, not handed to the others. Rates become whole copies by a hash of the key: floor, plus one with the
-    fraction as probability, so no pass over an order is needed and no cap is broken. Null or blank sources and texts
+    reported, not handed to the others. Rates become whole copies by systematic rounding: in order of size, a document
+    gets the extra copy in which the running sum of fractions passes the next half, so every stretch of sizes gets its
+    number of copies and a source misses its tokens by little; the order is kept over range partitions. Null or blank sources and texts
     take no part; names are compared in one spelling; a share of 0 or null, or no repeats, gives no copies. targets is
     the list of sources: more than ``BROADCAST_ROWS`` of them are refused.
     """
@@ -128,8 +130,11 @@ def mix_sources(
     w = F.when(F.col("tilt").isNull(), 0.0).when(F.col("tilt") == math.inf, F.col("max_repeats").cast("double")).otherwise(
         rate(F.col("n_tokens"), F.col("tilt"), F.col("unit"), F.col("max_repeats"))
     )
-    chance = F.pmod(F.xxhash64(F.lit("copies"), key), F.lit(1 << 40)) / float(1 << 40)
-    copies = sizes.join(f, "source").withColumn("rate", w).withColumn("copies", (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
+    rated = sizes.join(f, "source").withColumn("rate", w).withColumn("_rest", F.col("rate") - F.floor("rate"))
+    order = [F.col("n_tokens"), F.xxhash64(F.lit("copies"), key), F.col(key)]
+    placed = running_total(rated, scratch, ["source"], order, "_rest", "_sum")
+    extra = F.floor(F.col("_sum") + F.col("_rest") + 0.5) - F.floor(F.col("_sum") + 0.5)
+    copies = placed.withColumn("copies", F.least(F.floor("rate") + extra, F.col("max_repeats")).cast("int"))
     copies = scratch.cut(copies.select(key, "source", "n_tokens", "rate", "copies"), "copies")
     mixed = copies.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("mixed_tokens"))
     got = facts.drop("tilt", "unit").join(mixed, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)).cast("bigint"))

@@ -15,7 +15,7 @@ from strataloom.llm.leximin import leximin_order, leximin_top, leximin_vectors
 from strataloom.llm.mixing import mix_sources
 from strataloom.llm.neardup import all_pairs, near_duplicates
 from strataloom.llm.packing import pack_documents
-from strataloom.llm.vectors import similar_pairs
+from strataloom.llm.vectors import recall, similar_pairs
 from strataloom.operators.ordering import keep_best
 from strataloom.runtime import table
 
@@ -96,6 +96,12 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return similar_pairs(table(spark, d, "vectors"), "vec_id", "channel", "vec", k=5, floor=0.85, dims=64).select("vec_a", "vec_b")
 
 
+def p5_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of p5_found against brute force, over the vectors whose id is divisible by 20."""
+    v = table(spark, d, "vectors")
+    return recall(v, p5_found(spark, d), "vec_id", "channel", "vec")
+
+
 # Problem 6: chains of matches.
 
 
@@ -172,6 +178,7 @@ QUERIES: dict[str, Query] = {
     "p4_found": p4_found,
     "p4_match_pieces": p4_match_pieces,
     "p5_found": p5_found,
+    "p5_recall": p5_recall,
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_containers": p7_containers,

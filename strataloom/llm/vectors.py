@@ -300,3 +300,56 @@ def similar_pairs(df: DataFrame, key: str, group: str, vec: str, k: int = 5, flo
     rest = rows.join(crowded, (F.col("g") == F.col("g1")) & (F.col("v") == F.col("v1"))).where(F.col("id") > F.element_at("ids", -1))
     rest = rest.select(F.col("id").alias("a"), F.explode(F.slice("ids", 1, k)).alias("b"), F.lit(1.0).alias("sim"))
     return top.unionByName(rest).groupBy(F.least("a", "b").alias("vec_a"), F.greatest("a", "b").alias("vec_b")).agg(F.max("sim").alias("cosine"))
+
+
+def brute_force(rows: DataFrame, queries: DataFrame, dims: int, k: int, floor: float, block: int = 65_536) -> DataFrame:
+    """``(q, c, sim)``: the exact k most similar rows of each query's group, with cosine of at least floor.
+
+    rows and queries: (id, g, v) of ``usable``. The queries go through in blocks of ``block`` (16 MB at 64 dimensions,
+    whatever their number), each of which meets all rows where they are; a task returns its own k best a query.
+    """
+    spark, out = rows.sparkSession, None
+    n = queries.count()
+    parts = max(1, -(-n // (block // 2)))  # half filled on average, so that no part of the hash exceeds a block
+    for p in range(parts):
+        some = queries.where(F.pmod(F.xxhash64(F.lit("block"), "id"), F.lit(parts)) == p).orderBy("id").limit(block + 1).collect()
+        if len(some) > block:
+            raise RuntimeError("a block of queries is too large")
+        if not some:
+            continue
+        shared = spark.sparkContext.broadcast((np.array([r["id"] for r in some]), np.array([r["g"] for r in some], object), np.stack([np.frombuffer(r["v"], np.float32) for r in some])))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, groups, raw = shared.value
+            x = unit(raw)
+            for b in batches:
+                mine, own, v = b.column("id").to_numpy(), np.array(b.column("g").to_pylist(), object), _floats(b.column("v"), dims)
+                y = unit(v) if len(v) else v
+                for g in set(own.tolist()) & set(groups.tolist()):
+                    m, q = np.flatnonzero(own == g), np.flatnonzero(groups == g)
+                    for i in range(0, len(q), 512):
+                        qi = q[i : i + 512]
+                        r, c = np.nonzero(x[qi] @ y[m].T >= floor - 1e-5)
+                        a, o = raw[qi[r]].astype(np.float64), v[m[c]].astype(np.float64)
+                        sim = (a * o).sum(axis=1) / np.sqrt((a * a).sum(axis=1) * (o * o).sum(axis=1))
+                        ok = (sim >= floor) & (ids[qi[r]] != mine[m[c]])
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[qi[r]][ok]), pa.array(mine[m[c]][ok]), pa.array(np.minimum(sim[ok], 1.0))], names=["q", "c", "sim"])
+
+        found = rows.mapInArrow(run, "q bigint, c bigint, sim double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return spark.createDataFrame([], "q bigint, c bigint, sim double")
+    w = W.partitionBy("q").orderBy(F.col("sim").desc(), "c")
+    return out.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("q", "c", "sim")
+
+
+def recall(df: DataFrame, pairs: DataFrame, key: str, group: str, vec: str, every: int = 20, k: int = 5, floor: float = 0.85, dims: int = 64) -> DataFrame:
+    """One row (queries, neighbours, found, recall): what ``similar_pairs`` finds of the exact neighbours of the queries,
+    the rows whose id is divisible by ``every``, among all rows."""
+    scratch = Scratch(df.sparkSession, "recall")
+    rows = scratch.cut(usable(df, key, group, vec, dims), "rows")
+    queries = rows.where(F.pmod("id", F.lit(every)) == 0)
+    true = brute_force(rows, queries, dims, k, floor).select(F.least("q", "c").alias("vec_a"), F.greatest("q", "c").alias("vec_b")).distinct()
+    hit = true.join(pairs.select("vec_a", "vec_b", F.lit(True).alias("hit")), ["vec_a", "vec_b"], "left")
+    n = hit.agg(F.count("*").alias("neighbours"), F.count("hit").alias("found"))
+    return queries.agg(F.count("*").alias("queries")).join(F.broadcast(n)).withColumn("recall", F.when(F.col("neighbours") > 0, F.col("found") / F.col("neighbours")).otherwise(1.0))

@@ -70,7 +70,7 @@ def test_mix(spark):
     total = sum(len(e(t)) for _, t, s, _ in rows if t and t.strip() and s and s.strip())
     assert rep["small"]["short"] and rep["gone"]["short"] and not rep["main_feed"]["short"] and not rep["zero"]["short"]
     assert abs(rep["main_feed"]["target_tokens"] - total / 2) < 1e-6
-    assert abs(rep["main_feed"]["mixed_tokens"] / (total / 2) - 1) < 0.08
+    assert abs(rep["main_feed"]["mixed_tokens"] / (total / 2) - 1) < 0.01
     c = copies.collect()
     assert all(0 <= r["copies"] <= {"main_feed": 3, "small": 4, "other": 20}[r["source"]] for r in c)
     assert all(r["copies"] == 4 for r in c if r["source"] == "small")

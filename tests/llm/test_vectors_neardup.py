@@ -48,6 +48,13 @@ def test_recall_against_brute_force(spark):
     assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(got)
 
 
+def test_recall_query(spark, data):
+    from strataloom.llm.queries import p5_recall
+
+    r = p5_recall(spark, data).first()
+    assert r["recall"] >= 0.9 and r["queries"] > 0
+
+
 def test_copies_ties_and_dirt(spark):
     rows = make_vectors(60)
     same = rows[0][2]
