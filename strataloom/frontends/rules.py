@@ -6,7 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-from strataloom.frontends.syntax import Func, Node, Unit, body_key, statements, walk
+from strataloom.frontends.syntax import Func, Node, Unit, group, body_key, statements, walk
 
 #: Limits (fixed values): lines of a file, statements, parameters and results of a function; runs of declarations.
 FILE_LINES, STATEMENTS, PARAMS, RESULTS, RUN = 1000, 40, 6, 3, 10
@@ -341,10 +341,77 @@ def comments(u: Unit, text: str) -> Iterator[Finding]:
             yield n.line, "swallowed_error", "the error is dropped"
 
 
+def calls_of(u: Unit) -> dict[str, list[list[list[str]]]]:
+    """Arguments of the plain calls in a file, by name."""
+    out: dict[str, list[list[list[str]]]] = {}
+    for n, _, _, _ in walk(u.top):
+        h = n.head
+        for i in range(len(h) - 1):
+            if h[i + 1] == "(" and re.match(r"[A-Za-z_]\w*$", h[i]) and (not i or h[i - 1] not in (".", "func", "function", "def")):
+                out.setdefault(h[i], []).append(group(h[i + 1 :])[0])
+    return out
+
+
+def whole_file(u: Unit, is_test: bool) -> Iterator[Finding]:
+    """Rules on how the declarations of one file use each other."""
+    if u.lang == "py":
+        return
+    calls = calls_of(u)
+    names = Counter(_tokens(u.top))
+    for f in u.funcs:
+        if not private(f, u.lang) or f.receiver:
+            continue
+        own = calls.get(f.name, [])
+        for i, (p, kind) in enumerate(f.params):
+            given = [a[i] for a in own if len(a) > i]
+            if u.lang == "go" and kind == "bool" and any(g in (["true"], ["false"]) for g in given):
+                yield f.line, "bool_mode_param", f"{p} of {f.name} is given a literal"
+            if u.lang == "go" and len(given) >= 2 and len({" ".join(g) for g in given}) == 1 and given[0] in (["nil"], ["0"], ['""'], ["false"]):
+                yield f.line, "api_overkill", f"{p} of {f.name} is always {given[0][0]}"
+        if u.lang == "go" and f.name.startswith("new") and f.params and f.params[-1][1].startswith("...") and "ption" in f.params[-1][1] and 1 <= len(own) <= 2:
+            yield f.line, "api_overkill", f"{f.name} takes options but has {len(own)} uses"
+        if len(own) == 1 and names[f.name] == 2 and not is_test:
+            yield f.line, "split_helper_candidate", f"{f.name} is used once"
+    if u.lang != "go":
+        return
+    methods: dict[str, dict[str, Func]] = {}
+    for f in u.funcs:
+        if f.receiver:
+            methods.setdefault(f.receiver.lstrip("*"), {})[f.name] = f
+    for n in u.top:
+        h = n.head
+        if h[:1] != ["type"] or len(h) < 4:
+            continue
+        name, kind, body = h[1], h[2], h[4:-1]
+        if kind == "struct" and name[:1].islower() and re.search(r"(?i)(result|response|outcome)$", name) and name not in methods:
+            if len(body) == 4 and {body[0], body[2]} & {"ok", "err", "found"} and any(private(f, "go") and any(name in r for r in f.results) for f in u.funcs):
+                yield n.line, "result_wrapper", f"{name} only carries two results"
+        if kind == "interface" and name[:1].islower():
+            wanted = [x for i, x in enumerate(body) if body[i + 1 : i + 2] == ["("] and re.match(r"[A-Za-z_]", x)]
+            have = [r for r, m in methods.items() if wanted and set(wanted) <= set(m)]
+            if any(w[:1].islower() for w in wanted) and len(have) == 1:
+                yield n.line, "abstraction_overkill", f"{name} has one implementation, {have[0]}"
+    for r, m in methods.items():
+        if {"MarshalJSON", "MarshalText"} <= set(m) and all("String" in _tokens(m[k].body) for k in ("MarshalJSON", "MarshalText")):
+            yield m["MarshalJSON"].line, "serialization_ceremony", f"{r} needs only MarshalText"
+    for f in u.funcs:
+        inside: set[str] = set()
+        for n, _, _, _ in walk(f.body):
+            h = n.head
+            for i in range(len(h) - 4):
+                if h[i : i + 4] == ["errors", ".", "Is", "("] and set(h[i + 4 :]) & inside:
+                    yield n.line, "sentinel_error_break", "an error ends a callback and is dropped"
+            if "func" in h:
+                inside |= {h[i + 1] for i in range(h.index("func"), len(h) - 1) if h[i] == "return" and h[i + 1].startswith("err") and h[i + 1] != "err"}
+            if is_test and len(h) > 3 and h[1:4] == ["=", "func", "("] and h[0] not in {x for m, _, _, _ in walk(f.body) if m.head[1:2] == [":="] for x in m.head[:1]} and h[0] not in {p for p, _ in f.params}:
+                yield n.line, "test_global_func_stub", f"{h[0]} is replaced for all tests"
+
+
 def all_rules(u: Unit, is_test: bool, text: str) -> list[Finding]:
     out: list[Finding] = []
     for rule in (branches, pyramids, aliases, wrappers, sizes, signatures, go_ceremonies, loops, simplifications, declarations):
         out += rule(u)
     out += tests(u, is_test, text)
     out += comments(u, text)
+    out += whole_file(u, is_test)
     return sorted(set(out))

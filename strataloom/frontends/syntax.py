@@ -287,8 +287,8 @@ class Braces:
             if i >= len(head) or not re.match(r"[A-Za-z_]", head[i]):
                 return
             name, rest = head[i], head[i + 1 :]
-            params, after = _group(rest)
-            results = _group(after)[0] if after[:1] == ["("] else [after] if after else []
+            params, after = group(rest)
+            results = group(after)[0] if after[:1] == ["("] else [after] if after else []
             self.funcs.append(Func(name, receiver, _go_params(params), [" ".join(r) for r in results if r], body, line, end))
             return
         toks = [x for x in head if x not in ("export", "default", "async")]
@@ -304,13 +304,13 @@ class Braces:
             return
         while rest and rest[0] != "(":
             rest = rest[1:]
-        params, after = _group(rest)
+        params, after = group(rest)
         kinds = [(p[0] if p[:1] != ["..."] else p[1] if len(p) > 1 else "", " ".join(p[2:] if p[1:2] == [":"] else p[1:])) for p in params if p]
         result = " ".join(x for x in after[1:] if x != "=>") if after[:1] == [":"] else ""
         self.funcs.append(Func(name, "", kinds, [result] if result and result != "void" else [], body, line, end))
 
 
-def _group(tokens: list[str]) -> tuple[list[list[str]], list[str]]:
+def group(tokens: list[str]) -> tuple[list[list[str]], list[str]]:
     """Comma-separated parts of the first bracket, and the tokens after it."""
     if not tokens or tokens[0] != "(":
         return [], tokens

@@ -85,6 +85,11 @@ def reachable_while_live(edges: DataFrame, roots: DataFrame, root: str = "v") ->
     raise RuntimeError("no fixed point")
 
 
+def only_through(edges: DataFrame, roots: DataFrame, others: DataFrame, root: str = "v") -> DataFrame:
+    """Vertices that the roots reach and the others do not: what only tests use."""
+    return reachable(edges, roots, root).select("v").join(reachable(edges, others, root).select("v"), "v", "left_anti")
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """``(v, scc)``: strongly connected components, named by their greatest vertex.
 

@@ -7,10 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strataloom.frontends import scan as C
-from strataloom.operators import clones, graph
+from strataloom.functions.text import line_count
+from strataloom.operators import chunks, clones, graph, sequences
 from strataloom.operators import findings as R
 from strataloom.plans.text_queries import BLOCKS_SQL, blocks
-from strataloom.runtime import Scratch
+from strataloom.runtime import Scratch, table
 
 SQL: dict[str, str] = {}
 QUERIES: dict = {}
@@ -66,8 +67,6 @@ def canonical_forms(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select block_id from {BLOCKS_SQL} where body is not null and length(body) - length(replace(body, chr(10), '')) + case when body <> '' and not suffix(body, chr(10)) then 1 else 0 end > 100")
 def oversized_blocks(spark: SparkSession, d: str) -> DataFrame:
-    from strataloom.functions.text import line_count
-
     return blocks(spark, d, "content").where("content is not null").where(line_count(F.col("content")) > 100).select("block_id")
 
 
@@ -108,3 +107,63 @@ def repeated_fixtures(spark: SparkSession, d: str) -> DataFrame:
     t = b.select("repo", "relative_path", "block_id", F.explode(F.regexp_extract_all("content", F.lit(r'"[^"\n]{16,}"'), F.lit(0))).alias("lit")).distinct()
     w = W.partitionBy("repo", "lit").orderBy("relative_path", "block_id")
     return t.withColumn("k", F.row_number().over(w)).where("k <= 3").where("k = 3").select("block_id", "lit")
+
+
+@query(f"select block_id, 0 chunk_ix, strlen(body)::int bytes from {BLOCKS_SQL} where body <> ''")
+def input_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Bytes of each block's inputs as one piece, at a limit no block reaches."""
+    b = blocks(spark, d, "content").where("content <> ''")
+    return chunks.exploded(b, ["block_id"], "content", limit=1_000_000_000).select("block_id", "chunk_ix", F.octet_length("piece").alias("bytes"))
+
+
+@query()
+def input_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks as overlapping pieces of at most 2,000 bytes."""
+    b = blocks(spark, d, "content").where("content <> ''")
+    return chunks.exploded(b, ["block_id"], "content").groupBy("block_id").agg(F.count("*").alias("pieces"), F.max(F.octet_length("piece")).alias("largest"), F.sum(F.octet_length("piece")).alias("bytes"))
+
+
+_NAME = "regexp_extract(symbol, '[^.]*$', 0)"
+
+
+@query(
+    f"""with f as (select repo, package_dir, {_NAME} name, block_id from {BLOCKS_SQL} where repo is not null and package_dir is not null),
+    w as (select repo, package_dir, unnest(regexp_extract_all(body, '[A-Za-z_][A-Za-z0-9_]*')) name from {BLOCKS_SQL} where body is not null and repo is not null and package_dir is not null),
+    c as (select repo, package_dir, name, count(*) n from w group by all) select f.block_id from f join c using (repo, package_dir, name) where c.n = 2"""
+)
+def single_use_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Functions named twice in their package: where they stand and where they are used."""
+    b = _code(spark, d).where("repo is not null and package_dir is not null")
+    f = b.select("repo", "package_dir", F.regexp_extract("symbol", r"[^.]*$", 0).alias("name"), "block_id")
+    w = b.where("content is not null").select("repo", "package_dir", F.explode(F.regexp_extract_all("content", F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))).alias("name"))
+    c = w.groupBy("repo", "package_dir", "name").agg(F.count("*").alias("n")).where("n = 2")
+    return f.join(c, ["repo", "package_dir", "name"], "left_semi").select("block_id")
+
+
+@query()
+def test_units(spark: SparkSession, d: str) -> DataFrame:
+    """Close tests of a package as units: connected, cut at 8 tests or 400 lines, worth merging."""
+    t = _code(spark, d).where("is_test and content is not null and package_dir is not null")
+    t = t.select("package_dir", "block_id", "line", F.size(F.split("content", "\n")).alias("lines"), F.regexp_extract_all("content", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\("), F.lit(1)).alias("calls"))
+    pairs = R.close_pairs(t, ["package_dir"], "block_id", "calls", "lines", overlap=0.2)
+    groups = graph.components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("v").alias("block_id"), "component")
+    units = sequences.cut_at_caps(groups.join(t.drop("calls"), "block_id"), ["component"], ["line", "block_id"], "lines", 8, 400)
+    u = units.groupBy("component", "unit").agg(F.count("*").alias("tests"), F.sum("lines").alias("lines"))
+    return u.where((F.col("tests") > 1) & (F.col("lines") - F.floor(F.col("lines") / F.col("tests")) >= 15))
+
+
+@query(
+    """with p as (select user_id, event_id, event_type, row_number() over (partition by user_id order by ts, event_id) i from events)
+    select s.event_id, (select arg_min(x.event_id, x.i) from p x where x.user_id = s.user_id and x.i > s.i and x.event_type = 'purchase') purchase from p s where event_type = 'signup'
+    and exists (select 1 from p x where x.user_id = s.user_id and x.i > s.i and x.event_type = 'purchase' and not exists (select 1 from p e where e.user_id = s.user_id and e.event_type = 'error' and e.i > s.i and e.i < x.i))"""
+)
+def unbroken_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Signups with a later purchase of the user and no error in between."""
+    e = table(spark, d, "events")
+    w = W.partitionBy("user_id").orderBy("ts", "event_id")
+    e = e.withColumn("i", F.row_number().over(w)).withColumn("at", F.struct("i", "event_id"))
+    key, order = ["user_id"], ["ts", "event_id"]
+    p = sequences.next_matching(e, key, order, F.col("event_type") == "purchase", "at")
+    b = sequences.next_matching(e, key, order, F.col("event_type") == "error", "i")
+    e = e.withColumn("p", p).withColumn("b", b).where("event_type = 'signup' and p is not null and (b is null or b > p.i)")
+    return e.select("event_id", F.col("p.event_id").alias("purchase"))

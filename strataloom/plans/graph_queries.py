@@ -81,6 +81,16 @@ def unreachable(spark: SparkSession, d: str) -> DataFrame:
     return G.vertices(e).join(G.reachable(e, roots), "v", "left_anti")
 
 
+@query(
+    f"""with recursive {_E}, b as (select {CANONICAL_IDENTITY('identity')} v, bool_and(is_test) t from {BLOCKS_SQL} where identity is not null group by 1),
+    r as (select v from b where t union select e.dst from r join e on e.src = r.v), o as (select v from b where not t union select e.dst from o join e on e.src = o.v) select v from r where v not in (select v from o)"""
+)
+def test_only(spark: SparkSession, d: str) -> DataFrame:
+    """Blocks that test blocks lead to and other blocks do not."""
+    b = blocks(spark, d, "identity", "is_test").where("identity is not null").groupBy(canonical_identity(F.col("identity")).alias("v")).agg(F.bool_and("is_test").alias("t"))
+    return G.only_through(edges(spark, d), b.where("t").select("v"), b.where("not t").select("v"))
+
+
 @query()
 def reachable_while_live(spark: SparkSession, d: str) -> DataFrame:
     """Edges of low structural score hold only while their left end's smaller neighbour is live."""

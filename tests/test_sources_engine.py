@@ -107,6 +107,44 @@ def test_rules_find():
     assert kinds(TS, "ts", True) >= {"generic_naming", "temp_alias", "swallowed_error", "test_focused"}
 
 
+WHOLE = """package a
+
+type fetchResult struct {
+	value int
+	ok bool
+}
+
+type store interface {
+	load(k string) int
+}
+
+func (d *disk) load(k string) int { return d.m[k] }
+
+func fetch(k string, deep bool, opt *int) fetchResult { return get(k, deep, opt) }
+
+func newThing(opts ...thingOption) int { return len(opts) }
+
+func (k kind) MarshalJSON() ([]byte, error) { return json.Marshal(k.String()) }
+func (k kind) MarshalText() ([]byte, error) { return []byte(k.String()), nil }
+
+func TestAll(t *testing.T) {
+	fetch("a", true, nil)
+	fetch("b", x, nil)
+	newThing(a)
+	now = func() int { return 1 }
+	err := walk(func(p string) error { return errStop })
+	if errors.Is(err, errStop) {
+		t.Error(err)
+	}
+}
+"""
+
+
+def test_rules_on_whole_files():
+    assert kinds(WHOLE, "go", True) >= {"bool_mode_param", "api_overkill", "result_wrapper", "abstraction_overkill", "serialization_ceremony", "sentinel_error_break", "test_global_func_stub", "test_not_parallel"}
+    assert "split_helper_candidate" in kinds("package a\n\nfunc Run() {\n\tstep(1)\n}\n\nfunc step(n int) {\n\tuse(n)\n}\n", "go")
+
+
 def test_rules_keep():
     clean = "package a\n\nfunc load(path string) error {\n\tif path == \"\" {\n\t\treturn errEmpty\n\t}\n\tdata, err := read(path)\n\tif err != nil {\n\t\treturn err\n\t}\n\treturn store(data, path)\n}\n"
     assert kinds(clean, "go") == set()
