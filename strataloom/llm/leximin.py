@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from strataloom.operators.ordering import running_total
 from strataloom.runtime import Scratch
 
+#: Percentiles are compared to so many digits, so that equal means count as ties however they were added up.
+DIGITS = 12
+
 
 def leximin_vectors(df: DataFrame, item: str, group: str, signals: dict[str, int]) -> DataFrame:
     """``(item, group, vector, scored)``: each item's percentiles in ascending order.
@@ -44,7 +47,7 @@ def leximin_vectors(df: DataFrame, item: str, group: str, signals: dict[str, int
     k = len(signals)
     mean = F.aggregate("p", F.lit(0.0), lambda a, x: a + x) / F.size("p")
     vector = F.when(F.size("p") == 0, F.array_repeat(F.lit(-1.0), k)).otherwise(
-        F.array_sort(F.concat("p", F.array_repeat(mean, F.lit(k) - F.size("p"))))
+        F.array_sort(F.transform(F.concat("p", F.array_repeat(mean, F.lit(k) - F.size("p"))), lambda x: F.round(x, DIGITS)))
     )
     return scored.select(F.col("i").alias(item), F.col("g").alias(group), vector.alias("vector"), F.size("p").alias("scored"))
 

@@ -20,7 +20,7 @@ with m as (
   select match_id, q, (rank() over (partition by q, sig order by v) - 1
     + count(*) over (partition by q, sig, v) / 2) / count(*) over (partition by q, sig) p from x
 ), v as (
-  select match_id, q, count(*)::int scored, list_sort(list(p) || list_resize([]::double[], 4 - count(*), avg(p))) vec from r group by match_id, q
+  select match_id, q, count(*)::int scored, list_sort(list_transform(list(p) || list_resize([]::double[], 4 - count(*), avg(p)), lambda x: round(x, 12))) vec from r group by match_id, q
 ), o as (
   select match_id, q queue_id, scored, row_number() over (partition by q order by vec desc, match_id) place from v
 )

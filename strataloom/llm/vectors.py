@@ -188,7 +188,7 @@ def fit_index(classes: DataFrame, dims: int, s: Settings) -> dict[str, tuple[int
 
 
 def probe(classes: DataFrame, index: dict[str, tuple[int, CentroidGraph]], dims: int, s: Settings) -> DataFrame:
-    """``(list, cid, v, member)``: the lists each vector reads, and whether it is also put into them."""
+    """``(list, cid, member)``: the lists each vector reads, and whether it is also put into them."""
     shared = classes.sparkSession.sparkContext.broadcast(index)  # at most ``lists`` centroids a group, see Settings
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,15 +209,14 @@ def probe(classes: DataFrame, index: dict[str, tuple[int, CentroidGraph]], dims:
                     r, c = np.nonzero(read)
                     at = pa.array(r)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(first + ids[r, c].astype(np.int64)), part.column("cid").take(at), part.column("v").take(at), pa.array(put[r, c])],
-                        names=["list", "cid", "v", "member"],
+                        [pa.array(first + ids[r, c].astype(np.int64)), part.column("cid").take(at), pa.array(put[r, c])], names=["list", "cid", "member"]
                     )
 
-    return classes.select("cid", "g", "v").mapInArrow(run, "list bigint, cid bigint, v binary, member boolean")
+    return classes.select("cid", "g", "v").mapInArrow(run, "list bigint, cid bigint, member boolean")
 
 
 def blocks_of(probes: DataFrame, block: int) -> DataFrame:
-    """``(list, mb, qb, role, cid, v)``: lists as blocks of members and of queries; role 1 asks, 2 is a member, 3 both.
+    """``(list, mb, qb, role, cid)``: lists as blocks of members and of queries; role 1 asks, 2 is a member, 3 both.
 
     A list within ``block`` rows is one block. A longer one is cut by a hash into n parts of either kind and every part
     of the queries meets every part of the members: nothing of a hot list is left out, and no task holds all of it.
@@ -225,11 +224,11 @@ def blocks_of(probes: DataFrame, block: int) -> DataFrame:
     sizes = probes.groupBy("list").agg(F.count("*").alias("n")).select("list", F.ceil(F.col("n") / block).cast("int").alias("parts"))
     sized = probes.join(sizes, "list")
     own = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
-    one = sized.where("parts = 1").select("list", F.lit(0).alias("mb"), F.lit(0).alias("qb"), F.when(F.col("member"), 3).otherwise(1).alias("role"), "cid", "v")
+    one = sized.where("parts = 1").select("list", F.lit(0).alias("mb"), F.lit(0).alias("qb"), F.when(F.col("member"), 3).otherwise(1).alias("role"), "cid")
     many = sized.where("parts > 1")
     every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    asks = many.select("list", every.alias("mb"), own.alias("qb"), F.lit(1).alias("role"), "cid", "v")
-    members = many.where("member").select("list", own.alias("mb"), every.alias("qb"), F.lit(2).alias("role"), "cid", "v")
+    asks = many.select("list", every.alias("mb"), own.alias("qb"), F.lit(1).alias("role"), "cid")
+    members = many.where("member").select("list", own.alias("mb"), every.alias("qb"), F.lit(2).alias("role"), "cid")
     return one.unionByName(asks).unionByName(members)
 
 
@@ -269,7 +268,8 @@ def scan_block(dims: int, k: int, floor: float):
 def nearest_classes(classes: DataFrame, scratch: Scratch, dims: int, k: int, floor: float, s: Settings) -> DataFrame:
     """``(q, c, sim)``: for every distinct vector the k most similar other ones found, with cosine of at least floor."""
     probes = scratch.cut(probe(classes, fit_index(classes, dims, s), dims, s), "probes")
-    found = blocks_of(probes, s.block).groupBy("list", "mb", "qb").applyInArrow(scan_block(dims, k, floor), "q bigint, c bigint, sim double")
+    cells = blocks_of(probes, s.block).join(classes.select("cid", "v"), "cid")  # vectors are copied here only
+    found = cells.groupBy("list", "mb", "qb").applyInArrow(scan_block(dims, k, floor), "q bigint, c bigint, sim double")
     best = found.groupBy("q", "c").agg(F.max("sim").alias("sim"))  # the same pair from several lists
     w = W.partitionBy("q").orderBy(F.col("sim").desc(), "c")
     return best.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("q", "c", "sim")
