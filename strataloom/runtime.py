@@ -84,6 +84,9 @@ class Scratch:
         """Write ``df`` and read it back with the schema it had."""
         at = self.path(name)
         df.write.option("compression", "zstd").parquet(at)
+        if self.steps == 1:  # what is left of it goes with the session
+            p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
         back = self.spark.read.schema(df.schema).parquet(at)
         back._scratch_path = at
         return back
