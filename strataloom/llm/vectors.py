@@ -268,7 +268,7 @@ def scan_block(dims: int, k: int, floor: float):
 def nearest_classes(classes: DataFrame, scratch: Scratch, dims: int, k: int, floor: float, s: Settings) -> DataFrame:
     """``(q, c, sim)``: for every distinct vector the k most similar other ones found, with cosine of at least floor."""
     probes = scratch.cut(probe(classes, fit_index(classes, dims, s), dims, s), "probes")
-    cells = blocks_of(probes, s.block).join(classes.select("cid", "v"), "cid")  # vectors are copied here only
+    cells = blocks_of(probes, s.block).join(classes.select("cid", "v").hint("shuffle_hash"), "cid")  # vectors are copied here only
     found = cells.groupBy("list", "mb", "qb").applyInArrow(scan_block(dims, k, floor), "q bigint, c bigint, sim double")
     best = found.groupBy("q", "c").agg(F.max("sim").alias("sim"))  # the same pair from several lists
     w = W.partitionBy("q").orderBy(F.col("sim").desc(), "c")
