@@ -6,41 +6,43 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strataloom.operators.ordering import running_all
+from strataloom.runtime import Scratch
 
-def clone_sources(df: DataFrame, key: str, package: str, start: str, end: str, order: list[str]) -> DataFrame:
+
+def clone_sources(df: DataFrame, key: str, package: str, start: str, end: str, order: list[str], keep: list[str] | None = None) -> DataFrame:
     """Every later row of a key with ``source_*`` columns of the one source it is tied to.
 
     In input order, a row takes from the rows before it with the same key, first of its own package: the one that ends
     first if that is before it starts, else the one that starts last if that is after it ends; failing that, the first
-    row of another package. n copies give at most n - 1 rows. Running extremes over the order, no self-join. Rows
-    without a key take no part. The digest only spreads the rows; keys themselves are compared.
+    row of another package. n copies give at most n - 1 rows, and no row meets another: what is needed are running
+    minima over the order, taken over range partitions, so a class may hold any share of the rows. Rows without a key
+    take no part. Keys are compared by their SHA-256. ``order`` must make rows distinct; ``keep`` names further columns
+    to return.
     """
-    rows = df.where(F.col(key).isNotNull()).withColumn("_d", F.sha2(F.col(key), 256))
+    scratch = Scratch(df.sparkSession, "clones")
     names = list(dict.fromkeys([package, start, end, *order]))
-    ident = F.struct(*names)
-    before = lambda *by: W.partitionBy("_d", key, *by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    tie = F.struct(*order)
-    rows = (
-        rows.withColumn("_first", F.first(ident).over(before()))
-        .withColumn("_ends", F.min(F.struct(F.col(end).alias("e"), tie.alias("o"), ident.alias("r"))).over(before(package)))
-        .withColumn("_starts", F.min(F.struct((-F.col(start)).alias("s"), tie.alias("o"), ident.alias("r"))).over(before(package)))
-    )
-    # The first row of a second package: first row whose package differs from the class's first one.
-    head = F.first(F.col(package)).over(W.partitionBy("_d", key).orderBy(*order))
-    rows = rows.withColumn("_head", head)
-    rows = rows.withColumn("_second", F.first(F.when(F.col(package) != F.col("_head"), ident), ignorenulls=True).over(before()))
+    rest = [c for c in keep or [] if c not in names]
+    rows = df.where(F.col(key).isNotNull()).select(F.sha2(F.col(key), 256).alias("_d"), *names, *rest)
+    often = rows.groupBy("_d").agg(F.count("*").alias("_n"), F.min_by(package, F.struct(*order)).alias("_head")).where("_n > 1").drop("_n")
+    rows = rows.join(often, "_d")
+    ident, tie, by = F.struct(*names), F.struct(*order), [F.col(c) for c in order]
+    place = lambda *first: F.struct(*first, tie.alias("o"), ident.alias("r"))
+    rows = rows.withColumn("_v1", place()).withColumn("_v2", F.when(~F.col(package).eqNullSafe(F.col("_head")), place()))
+    rows = running_all(rows, scratch, ["_d"], by, {"_first": ("_v1", "min"), "_second": ("_v2", "min")}).drop("_v1", "_v2")
+    rows = rows.withColumn("_v1", place(F.col(end).alias("e"))).withColumn("_v2", place((-F.col(start)).alias("s")))
+    rows = running_all(rows, scratch, ["_d", package], by, {"_ends": ("_v1", "min"), "_starts": ("_v2", "min")})
     source = (
         F.when(F.col("_ends.e") < F.col(start), F.col("_ends.r"))
         .when(-F.col("_starts.s") > F.col(end), F.col("_starts.r"))
-        .when(F.col("_first").isNotNull() & (F.col("_first")[package] != F.col(package)), F.col("_first"))
-        .otherwise(F.col("_second"))
+        .when(~F.col("_head").eqNullSafe(F.col(package)), F.col("_first.r"))
+        .otherwise(F.col("_second.r"))
     )
     out = rows.withColumn("_s", source).where("_s is not null")
-    return out.select(*df.columns, *[F.col("_s")[c].alias(f"source_{c}") for c in names])
+    return out.select(*names, *rest, *[F.col("_s")[c].alias(f"source_{c}") for c in names])
 
 
 def repeated_only(df: DataFrame, key: str, least: int = 2) -> DataFrame:

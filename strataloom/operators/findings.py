@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataloom.operators.ordering import running_total
+from strataloom.runtime import Scratch
+
 #: Kinds that no directive may suppress (fixed values).
 PROTECTED = ("stale_ignore", "invalid_ignore", "parse_error")
 #: The kind that a directive anywhere in the file suppresses (fixed value).
@@ -87,11 +90,17 @@ def close_pairs(items: DataFrame, within: list[str], item: str, calls: str, line
 
 
 def report(findings: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """``(kind, n, lines)``: findings of each kind as one text in order, with the rule's texts where given."""
+    """``(kind, n, place, text)``: the findings of each kind in order, a row each, with the rule's texts where given.
+
+    Places come from running counts over range partitions: a kind may have any number of findings.
+    """
+    f = findings.select(F.lit(1).alias("one"), "file", "line", "col", "kind", "message")
     text = F.concat(F.col("file"), F.lit(":"), F.col("line").cast("string"), F.lit(":"), F.col("col").cast("string"), F.lit(": "), F.col("message"))
-    rows = F.array_sort(F.collect_list(F.struct("file", "line", "col", "message", text.alias("text"))))
-    by_kind = findings.groupBy("kind").agg(F.count("*").alias("n"), F.array_join(F.transform(rows, lambda r: r["text"]), "\n").alias("lines"))
-    return by_kind if rules is None else by_kind.join(rules.select("kind", "finds", "fix"), "kind", "left")
+    order = [F.col(c) for c in ("file", "line", "col", "message")]
+    placed = running_total(f, Scratch(findings.sparkSession, "report"), ["kind"], order, "one", "before")
+    sizes = f.groupBy("kind").agg(F.count("*").alias("n"))
+    out = placed.join(sizes, "kind").select("kind", "n", (F.col("before") + 1).alias("place"), text.alias("text"))
+    return out if rules is None else out.join(rules.select("kind", "finds", "fix"), "kind", "left")
 
 
 def as_json(findings: DataFrame, rules: DataFrame) -> DataFrame:

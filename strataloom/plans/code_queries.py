@@ -40,8 +40,7 @@ def code_findings(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def code_findings_by_kind(spark: SparkSession, d: str) -> DataFrame:
     f = C.findings(_code(spark, d), ["relative_path"], "content", "lang", "is_test")
-    f = f.select(F.col("relative_path").alias("file"), "line", F.lit(1).alias("col"), "kind", "message")
-    return R.report(f).select("kind", "n")
+    return f.groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -55,7 +54,7 @@ def behaviour_clones(spark: SparkSession, d: str) -> DataFrame:
     f = C.functions(_code(spark, d), ["block_id", "package_dir", "repo", "relative_path"], "content", "lang").where("statements >= 3")
     f = f.dropna(subset=["package_dir", "repo", "relative_path"])
     often = clones.repeated_only(f, "digest")
-    return clones.clone_sources(often, "digest", "package_dir", "line", "end_line", ["repo", "relative_path", "block_id"]).select("block_id", "name", "source_block_id", "effects")
+    return clones.clone_sources(often, "digest", "package_dir", "line", "end_line", ["repo", "relative_path", "block_id"], ["name", "effects"]).select("block_id", "name", "source_block_id", "effects")
 
 
 @query()

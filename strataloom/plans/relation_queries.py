@@ -11,7 +11,7 @@ from strataloom.operators import clones as C
 from strataloom.operators import deltas as D
 from strataloom.operators import findings as R
 from strataloom.operators.incremental import baselines, successful_runs
-from strataloom.operators.ordering import keep_best
+from strataloom.operators.ordering import keep_best, running_total
 from strataloom.plans.sql_text import CANONICAL_IDENTITY, CANONICAL_PATH
 from strataloom.plans.text_queries import BLOCKS_SQL, blocks
 from strataloom.runtime import Scratch, table
@@ -132,7 +132,7 @@ def stale_directives(spark: SparkSession, d: str) -> DataFrame:
     return R.stale(findings(spark, d), valid, True, F.col("rule") != "dead_code").select("file", "target", "rule")
 
 
-@query(f"with {_F} select kind, count(*) n, string_agg(file || ':' || line || ':' || col || ': ' || message, chr(10) order by file, line, col, message) \"lines\" from f group by kind")
+@query(f"with {_F} select kind, count(*) over (partition by kind) n, row_number() over (partition by kind order by file, line, col, message) place, file || ':' || line || ':' || col || ': ' || message as text from f")
 def findings_by_kind(spark: SparkSession, d: str) -> DataFrame:
     return R.report(findings(spark, d))
 
@@ -147,8 +147,6 @@ def findings_json(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {_F} select row_number() over (order by file, line, col, message, doc_id) place, doc_id, file, line, col from f")
 def ordered_findings(spark: SparkSession, d: str) -> DataFrame:
     """The total order of findings as places, over range partitions."""
-    from strataloom.operators.ordering import running_total
-
     f = findings(spark, d).withColumn("one", F.lit(1)).withColumn("all", F.lit(1))
     order = [F.col(c) for c in ("file", "line", "col", "message", "doc_id")]
     r = running_total(f, Scratch(spark, "order"), ["all"], order, "one", "before")
@@ -330,9 +328,9 @@ def replayable_pairs(spark: SparkSession, d: str) -> DataFrame:
     return D.replayable(p, [("left_identity", "lh"), ("right_identity", "rh")], now, "identity", "h", ["grp"]).select("pair_id").distinct()
 
 
-@query(f"with {_RUN_FILES} select run_id, sha256(string_agg(path || chr(1) || h, chr(10) order by path || chr(1) || h)) digest, count(*) \"rows\" from s where run_id is not null group by 1")
+@query(f"with {_RUN_FILES} select run_id, sha256(sum(('0x' || substr(md5(path || chr(1) || h), 1, 15))::bigint) || ':' || sum(('0x' || substr(md5(path || chr(1) || h), 16, 15))::bigint) || ':' || count(*)) digest, count(*) \"rows\" from s where run_id is not null group by 1")
 def source_digests(spark: SparkSession, d: str) -> DataFrame:
-    """A digest of the files of every run, in order of path."""
+    """A digest of the files of every run, whatever their order."""
     s = table(spark, d, "source_files").where("run_id is not null and sha256 is not null and file_path is not null").groupBy("run_id", canonical_path(F.col("file_path")).alias("path")).agg(F.max(F.lower("sha256")).alias("h"))
     return D.digest(s, ["path", "h"], ["run_id"])
 

@@ -163,9 +163,12 @@ def read_stamp(spark: SparkSession, path: str) -> dict:
     return stamp
 
 
-def text_report(by_kind: DataFrame) -> Iterator[str]:
+def text_report(rows: DataFrame) -> Iterator[str]:
     """Lines of the report of ``findings.report``: a header a kind, then its findings. Streams from the executors."""
-    for r in by_kind.orderBy("kind").toLocalIterator():
-        fix = f" - {r['fix']}" if "fix" in r.asDict() and r["fix"] else ""
-        yield f"{r['kind']} ({r['n']}){fix}"
-        yield from r["lines"].split("\n")
+    kind = None
+    for r in rows.orderBy("kind", "place").toLocalIterator():
+        if r["kind"] != kind:
+            kind = r["kind"]
+            fix = f" - {r['fix']}" if "fix" in r.asDict() and r["fix"] else ""
+            yield f"{kind} ({r['n']}){fix}"
+        yield r["text"]
