@@ -39,7 +39,7 @@ class Settings:
     replica_ratio: float = 1.15
     probes: int = 8
     probe_ratio: float = 1.25
-    beam: int = 24
+    beam: int = 16
     degree: int = 24
     block: int = 4096
 
