@@ -73,6 +73,13 @@ def whole_identifier_occurrences(spark: SparkSession, d: str) -> DataFrame:
     return b.select("block_id", X.occurrences(F.col("content"), name_of(F.col("symbol"))).cast("int").alias("n"))
 
 
+@query()
+def identifier_occurrences(spark: SparkSession, d: str) -> DataFrame:
+    """As ``whole_identifier_occurrences``, whose SQL is confined to ASCII texts, over every block with content."""
+    b = blocks(spark, d, "symbol", "content").where("content is not null")
+    return b.select("block_id", X.occurrences(F.col("content"), name_of(F.col("symbol"))).cast("int").alias("n"))
+
+
 @query(
     f"""with d as (select doc_id, file_path, list_last(string_split(file_path, '/')) b, string_split({DIR_SQL.format('file_path')}, '/') dirs from documents where file_path is not null),
     l as (select *, case when b like '%.d.ts' or b like '%.gen.ts' or contains(b, '.min.') then null when b like '%.ts' or b like '%.tsx' then 'ts' when b like '%.py' then 'py' when b like '%.go' then 'go' end lang from d)
