@@ -53,30 +53,66 @@ def dot(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.least(s, F.lit(1.0)))
 
 
-def packed(vectors: DataFrame, key: str, channel: str, order: list[str], vec: str, dims: int, most: int = 16) -> DataFrame:
-    """``(key, channel, m)``: the usable vectors of a key back to back, in order, as float64 bytes; at most ``most``."""
+def packed(vectors: DataFrame, key: str, channel: str, order: list[str], vec: str, dims: int) -> DataFrame:
+    """``(key, channel, m)``: all usable vectors of a key back to back, in order, as float64 bytes."""
     v = vectors.where(F.size(vec) == dims).select(key, channel, *order, unit_vector(F.col(vec)).alias("_u")).where("_u is not null")
-    listed = v.groupBy(key, channel).agg(F.slice(F.array_sort(F.collect_list(F.struct(*order, "_u"))), 1, most).alias("_l"))
+    listed = v.groupBy(key, channel).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, "_u"))), lambda e: e["_u"]).alias("_l"))
 
     def run(batches):
         for b in batches:
-            raw = [np.asarray([e["_u"] for e in row], np.float64).tobytes() for row in b.column("_l").to_pylist()]
+            lists = b.column("_l")
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) * dims
+            flat = lists.flatten().flatten().to_numpy(zero_copy_only=False)
+            raw = [flat[end - n : end].tobytes() for n, end in zip(sizes, np.cumsum(sizes), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(key), b.column(channel), pa.array(raw, pa.binary())], names=[key, channel, "m"])
 
     return listed.mapInArrow(run, listed.select(key, channel).schema.add("m", T.BinaryType()))
 
 
-def _best(rows: np.ndarray, n_rows: np.ndarray, cols: np.ndarray, n_cols: np.ndarray) -> np.ndarray:
-    """Greatest product between the vectors of every row unit and every column unit, at least 0; 0 without vectors."""
+def _spans(counts: np.ndarray, most: int):
+    """(first unit, end unit, first vector, end vector) of tiles over units: whole units up to ``most`` vectors together,
+    longer ones in slices of their own."""
+    ends = np.cumsum(counts)
+    i = 0
+    while i < len(counts):
+        start = int(ends[i] - counts[i])
+        j = max(int(np.searchsorted(ends, start + most, "right")), i + 1)
+        for s in range(start, max(int(ends[j - 1]), start + 1), most):
+            yield i, j, s, min(s + most, int(ends[j - 1]))
+        i = j
+
+
+def _best(rows: np.ndarray, n_rows: np.ndarray, cols: np.ndarray, n_cols: np.ndarray, tile: int = 8192) -> np.ndarray:
+    """Greatest product between the vectors of every row unit and every column unit, at least 0; 0 without vectors.
+
+    Products are made in tiles of at most ``tile`` vectors a side, whose maxima are combined.
+    """
     out = np.zeros((len(n_rows), len(n_cols)))
     r, c = np.flatnonzero(n_rows), np.flatnonzero(n_cols)
-    if len(r) and len(c):
-        p = np.maximum.reduceat(rows @ cols.T, (np.cumsum(n_cols) - n_cols)[c], axis=1)
-        p = np.maximum.reduceat(p, (np.cumsum(n_rows) - n_rows)[r], axis=0)
-        out[np.ix_(r, c)] = np.clip(p, 0.0, 1.0)
+    n_r, n_c = n_rows[r], n_cols[c]
+    for i, j, s, e in _spans(n_r, max(tile // 8, 1)):
+        for k, l, t, f in _spans(n_c, tile):
+            # A tile holds whole units, or a slice of one.
+            p = rows[s:e] @ cols[t:f].T
+            p = np.maximum.reduceat(p, np.cumsum(n_c[k:l]) - n_c[k:l], axis=1) if l - k > 1 else p.max(axis=1, keepdims=True)
+            p = np.maximum.reduceat(p, np.cumsum(n_r[i:j]) - n_r[i:j], axis=0) if j - i > 1 else p.max(axis=0, keepdims=True)
+            at = np.ix_(r[i:j], c[k:l])
+            out[at] = np.maximum(out[at], np.clip(p, 0.0, 1.0))
     return out
 
 
+def _first_best(a: np.ndarray, b: np.ndarray, most: int = 1 << 22) -> tuple[int, int]:
+    """The first pair, by row and then column, whose product (at most 1) is the greatest; made in slices of ``most`` products."""
+    best, at = -np.inf, (0, 0)
+    step = max(most // len(b), 1)
+    for start in range(0, len(a), step):
+        p = np.minimum(a[start : start + step] @ b.T, 1.0)
+        k = int(p.argmax())
+        if p.flat[k] > best:
+            best, at = p.flat[k], (start + k // len(b), k % len(b))
+    return at
+
+
 def _scan(dims: int, source_floor: float, description_floor: float):
     """For applyInArrow over one cell of a key: pairs whose score reaches a floor in either channel."""
 
@@ -108,8 +144,7 @@ def _scan(dims: int, source_floor: float, description_floor: float):
             for i, j in zip(*np.nonzero(keep), strict=True):
                 lc = rc = 0
                 if best[i, j] > 0:
-                    p = np.minimum(sa[at_a[i] : at_a[i] + na[i]] @ sb[at_b[j] : at_b[j] + nb[j]].T, 1.0)
-                    lc, rc = divmod(int(p.argmax()), p.shape[1])
+                    lc, rc = _first_best(sa[at_a[i] : at_a[i] + na[i]], sb[at_b[j] : at_b[j] + nb[j]])
                 x, y = col["id"][a[i]], col["id"][b[j]]
                 if x > y:
                     x, y, lc, rc = y, x, rc, lc
@@ -133,7 +168,9 @@ def similar_blocks(units: DataFrame, vectors: DataFrame, gates: Gates, dims: int
     u = units.join(kinds, "id").where("path is not null and dir is not null and lang is not null and repo is not null")
     keys = F.array_distinct(F.array(F.col("dir"), F.when(F.col("dir") == "", "").otherwise(directory(F.col("dir")))))
     rows = u.select("*", F.explode(keys).alias("key"))
-    sizes = rows.groupBy("repo", "lang", "key").agg(F.count("*").alias("n")).where("n > 1").select("repo", "lang", "key", F.ceil(F.col("n") / part).cast("int").alias("parts"))
+    held = F.sum(F.coalesce(F.octet_length("source"), F.lit(0)) + F.coalesce(F.octet_length("description"), F.lit(0))) / (8 * dims)
+    parts = F.greatest(F.ceil(F.col("n") / part), F.ceil(F.col("held") / (32 * part)))  # by blocks, and by vectors where blocks have many
+    sizes = rows.groupBy("repo", "lang", "key").agg(F.count("*").alias("n"), held.alias("held")).where("n > 1").select("repo", "lang", "key", F.least(parts, "n").cast("int").alias("parts"))
     rows = rows.join(sizes, ["repo", "lang", "key"])
     slack = 10.0**-digits  # rounding comes after
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")

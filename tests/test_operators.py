@@ -55,6 +55,34 @@ def test_occurrences_in_all_texts(spark, tmp_path):
     assert got == {1: 1, 2: 2, 3: 1, 4: 1, 6: 0}
 
 
+def test_best_of_all_vectors(spark):
+    import numpy as np
+
+    from strataloom.operators import vectors as V
+
+    g = np.random.default_rng(1)
+    a, b = g.normal(size=(40, 8)), g.normal(size=(50, 8))
+    a, b = a / np.linalg.norm(a, axis=1)[:, None], b / np.linalg.norm(b, axis=1)[:, None]
+    n, m = np.array([0, 3, 30, 0, 1, 6]), np.array([2, 0, 41, 7])
+    want = np.zeros((6, 4))
+    for i, j in np.ndindex(6, 4):
+        p = a[n[:i].sum() : n[: i + 1].sum()] @ b[m[:j].sum() : m[: j + 1].sum()].T
+        want[i, j] = max(p.max(), 0) if p.size else 0
+    for tile in (1, 8, 16, 100, 8192):
+        assert np.allclose(V._best(a, n, b, m, tile), want)
+    p = np.round(a, 1) @ np.round(b, 1).T
+    assert all(V._first_best(np.round(a, 1), np.round(b, 1), most) == divmod(int(np.minimum(p, 1).argmax()), 50) for most in (1, 50, 170, 10_000))
+
+    rows = [(k, "source", i, [float(x) for x in np.eye(64)[i + 32 * (k == "b")]]) for k in "ab" for i in range(30)]
+    same = [float(x) for x in 3 * np.eye(64)[63]]
+    rows = [r[:3] + (same,) if (r[0], r[2]) in (("a", 17), ("b", 28)) else r for r in rows]
+    v = V.packed(spark.createDataFrame(rows, "id string, channel string, ix int, vec array<double>"), "id", "channel", ["ix"], "vec", 64)
+    assert {r["id"]: len(r["m"]) for r in v.collect()} == {"a": 30 * 512, "b": 30 * 512}
+    units = spark.createDataFrame([(k, f"d/{k}.go", "d", "go", "r", False, True) for k in "ab"], "id string, path string, dir string, lang string, repo string, is_test boolean, changed boolean")
+    for part in (512, 1):
+        assert [tuple(r) for r in V.similar_blocks(units, v, V.Gates(), part=part).collect()] == [("a", "b", 1, 1.0, 17, 28, 0.0)]
+
+
 def test_text_functions(spark):
     assert one(spark, X.occurrences(F.col("t"), F.lit("run")), t="run rerun run() $run run") == 3
     assert one(spark, X.occurrences(F.col("t"), F.lit("a.b")), t="a.b axb") == 1
