@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.frontends import scan
+from strataloom.operators import clones
 from strataloom.operators import findings as R
 from strataloom.sources import files as S
 from strataloom.sources import stores as K
 
 #: A comment of this form suppresses one rule on the next line of code: marker, rule, --, reason.
 MARKER = "strataloom:ignore"
+#: Rules that a run does not evaluate, so it cannot tell whether their directives are stale.
+ELSEWHERE = ("semantic_duplicate", "god_receiver", "repeated_test_fixture", "test_repeated_steps", "test_support_filename")
 
 
 @dataclass
@@ -49,19 +52,35 @@ def directives(files: DataFrame, marker: str = MARKER) -> DataFrame:
     )
 
 
-def run(spark: SparkSession, root: str, patterns: list[str] | None = None) -> Run:
-    """All per-file rules over the files of a tree in scope; stale directives only if the scope is everything."""
+def cloned(files: DataFrame) -> DataFrame:
+    """behavior_clone: functions of at least 3 statements in Go files other than tests that do the same as an earlier one.
+
+    The source is one of the same file where there is one apart from the function, else the first of another file.
+    """
+    f = scan.functions(files.where("lang = 'go' and not is_test"), ["path"], "content", "lang").where("statements >= 3").select("path", "line", "end_line", "name", "receiver", "digest")
+    tied = clones.clone_sources(clones.repeated_only(f, "digest"), "digest", "path", "line", "end_line", ["path", "line", "end_line", "name", "receiver"])
+    text = F.format_string("%s does the same as %s at %s:%d", "name", "source_name", "source_path", "source_line")
+    return tied.select(F.col("path").alias("file"), "line", F.lit(1).alias("col"), F.lit("behavior_clone").alias("kind"), text.alias("message"))
+
+
+def run(spark: SparkSession, root: str, patterns: list[str] | None = None, elsewhere: tuple[str, ...] = ELSEWHERE) -> Run:
+    """All per-file rules and behavior_clone over the files of a tree in scope; stale directives only if the scope is
+    everything, and none for the rules ``elsewhere``.
+
+    dead_code is not evaluated either: add it to ``elsewhere`` for a tree with directives for it, or they are stale.
+    """
     patterns = patterns or ["..."]
     files = S.scripts(S.files(spark, root), patterns).where("not generated")
     found = scan.findings(files, ["path"], "content", "lang", "is_test").select(F.col("path").alias("file"), "line", F.lit(1).alias("col"), "kind", "message")
+    found = found.unionByName(cloned(files))
     valid, invalid = R.valid_directives(directives(files))
     bad = invalid.select("file", "line", F.lit(1).alias("col"), F.lit("invalid_ignore").alias("kind"), F.col("problem").alias("message"))
     kept = R.suppress(found, valid).unionByName(bad)
-    return Run(files, kept, invalid, R.stale(found, valid, patterns == ["..."]))
+    return Run(files, kept, invalid, R.stale(found, valid, patterns == ["..."], ~F.col("rule").isin(*elsewhere) if elsewhere else None))
 
 
 def attest(spark: SparkSession, outcome: Run, path: str, policy: dict) -> bool:
-    """Write the stamp of a clean run: policy and a digest of all files. Returns whether it was clean."""
+    """Write the stamp of a clean run: policy and a digest of all files. Returns whether it was clean, by the rules of ``run``."""
     from strataloom.operators.deltas import table_digest
 
     clean = outcome.findings.isEmpty() and outcome.stale.isEmpty()

@@ -226,6 +226,23 @@ def test_run_over_a_tree(spark, tree):
     assert [engine.verify(spark, f, stamp, {"model": m}) for f, m in ((part.files, "m"), (part.files, "n"), (r.files, "m"))] == ["holds", "model differs", "digest differs"]
 
 
+def test_run_finds_clones_and_judges_its_own_rules(spark, tmp_path):
+    body = "(a int) int {\n\tx := a\n\tuse(x)\n\treturn x\n}\n"
+    for path, text in {
+        "a/x.go": "package a\n\nfunc First" + body, "a/y.go": "package a\n\nfunc Second" + body, "b/z.go": "package b\n\n// strataloom:ignore behavior_clone -- agreed\nfunc Third" + body,
+        "b/z_test.go": "package b\n\nfunc Fourth" + body,
+        "c/w.go": "package c\n\n" + "".join(f"// strataloom:ignore {r} -- agreed\n" for r in (*engine.ELSEWHERE, "behavior_clone", "dead_code")) + "var a = 1\n",
+    }.items():
+        os.makedirs(tmp_path / os.path.dirname(path), exist_ok=True)
+        (tmp_path / path).write_text(text)
+    r = engine.run(spark, str(tmp_path))
+    assert [(x["file"], x["line"], x["message"]) for x in r.findings.where("kind = 'behavior_clone'").collect()] == [("a/y.go", 3, "Second does the same as First at a/x.go:3")]
+    assert {(x["file"], x["rule"]) for x in r.stale.collect()} == {("c/w.go", "behavior_clone"), ("c/w.go", "dead_code")}
+    apart = engine.run(spark, str(tmp_path), elsewhere=(*engine.ELSEWHERE, "dead_code"))
+    assert {x["rule"] for x in apart.stale.collect()} == {"behavior_clone"}
+    assert not engine.attest(spark, engine.run(spark, str(tmp_path), ["a"]), Scratch(spark, "stamp").path("stamp.json"), {})
+
+
 def test_stores(spark):
     s = K.Snapshots(spark, Scratch(spark, "snap").path("s"), keep=2)
     df = spark.range(5)
