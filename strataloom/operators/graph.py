@@ -49,6 +49,8 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == mark:
             break
         mark = seen
+    else:
+        raise RuntimeError("no fixed point")
     return every.join(now.select(F.col("a").alias("v"), "b"), "v", "left").select("v", F.coalesce("b", "v").alias("component"))
 
 
@@ -66,6 +68,8 @@ def reachable(edges: DataFrame, roots: DataFrame, root: str = "v") -> DataFrame:
         seen = seen.unionByName(frontier)
         if depth % 16 == 0:
             seen = scratch.cut(seen, "seen")
+    else:
+        raise RuntimeError("no fixed point")
     return seen
 
 
@@ -131,6 +135,8 @@ def strong_components(edges: DataFrame) -> DataFrame:
         e = scratch.cut(e.join(left.select(F.col("v").alias("src")), "src", "left_semi").join(left.select(F.col("v").alias("dst")), "dst", "left_semi"), "edges")
         if left.isEmpty():
             break
+    else:
+        raise RuntimeError("no fixed point")
     return out if out is not None else left.select("v", F.col("v").alias("scc"))
 
 
@@ -226,6 +232,8 @@ def totals_through(parts: DataFrame, own: DataFrame, rounds: int = ROUNDS) -> Da
         if new.isEmpty():
             break
         pairs = scratch.cut(pairs.unionByName(new), "closure")
+    else:
+        raise RuntimeError("no fixed point")
     owned = pairs.where("src <> dst").join(own.select(F.col("v").alias("dst"), "amount"), "dst").groupBy(F.col("src").alias("v")).agg(F.sum("amount").alias("more"))
     return own.join(owned, "v", "left").select("v", (F.col("amount") + F.coalesce("more", F.lit(0))).alias("total"))
 

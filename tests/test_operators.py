@@ -83,6 +83,19 @@ def test_best_of_all_vectors(spark):
         assert [tuple(r) for r in V.similar_blocks(units, v, V.Gates(), part=part).collect()] == [("a", "b", 1, 1.0, 17, 28, 0.0)]
 
 
+def test_loops_out_of_rounds_raise(spark, monkeypatch):
+    monkeypatch.setattr(graph, "ROUNDS", 2)
+    chain = spark.createDataFrame([(i, i + 1) for i in range(12)], "src int, dst int")
+    rings = spark.createDataFrame([(a, b) for i in range(0, 12, 2) for a, b in ((i, i + 1), (i + 1, i), (i + 1, min(i + 2, 11)))], "src int, dst int")
+    own = spark.createDataFrame([(i, 1) for i in range(13)], "v int, amount int")
+    root = spark.createDataFrame([(0,)], "v int")
+    for run in (lambda: graph.components(chain), lambda: graph.reachable(chain, root), lambda: graph.strong_components(rings), lambda: graph.totals_through(chain, own, 2)):
+        with pytest.raises(RuntimeError, match="no fixed point"):
+            run()
+    monkeypatch.setattr(graph, "ROUNDS", 10_000)
+    assert graph.reachable(chain, root).count() == 13 and graph.totals_through(chain, own).where("v = 0").first()["total"] == 13
+
+
 def test_text_functions(spark):
     assert one(spark, X.occurrences(F.col("t"), F.lit("run")), t="run rerun run() $run run") == 3
     assert one(spark, X.occurrences(F.col("t"), F.lit("a.b")), t="a.b axb") == 1
