@@ -54,10 +54,17 @@ def stream_batches(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{out}/data").select("event_id", "user_id")
 
 
+def _span(spark: SparkSession, d: str) -> str:
+    """A lateness no event exceeds, in whatever order files come: the time from the first to the last, and a day."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    days = table(spark, d, "events").agg(F.ceil((F.max(micros) - F.min(micros)) / 86_400_000_000)).first()[0]
+    return f"{(days or 0) + 1} days"
+
+
 @query("select distinct event_id from events")
 def stream_first_of_key(spark: SparkSession, d: str) -> DataFrame:
     out = S.scratch_folder(spark, "first")
-    S.run_available(S.first_of_key(_events(spark, d), "ts", "40 days", ["event_id"]).select("event_id"), f"{out}/data", f"{out}/checkpoint")
+    S.run_available(S.first_of_key(_events(spark, d), "ts", _span(spark, d), ["event_id"]).select("event_id"), f"{out}/data", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/data")
 
 

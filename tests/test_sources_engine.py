@@ -243,6 +243,20 @@ def test_run_finds_clones_and_judges_its_own_rules(spark, tmp_path):
     assert not engine.attest(spark, engine.run(spark, str(tmp_path), ["a"]), Scratch(spark, "stamp").path("stamp.json"), {})
 
 
+def test_first_of_key_in_any_order_of_files(spark, tmp_path):
+    import pandas as pd
+
+    from strataloom.plans import stream_queries as Q
+
+    os.makedirs(tmp_path / "events.parquet")
+    for i, day in enumerate((200, 190, 180, 195, 185, 199, 188, 192, 0, 100)):  # batches of 4 files in order of time of change
+        at = f"{tmp_path}/events.parquet/{i}.parquet"
+        pd.DataFrame({"event_id": [i, 99], "ts": pd.Timestamp("2024-01-01") + pd.Timedelta(days=day)}).astype({"ts": "datetime64[us]"}).to_parquet(at)
+        os.utime(at, (1_700_000_000 + 60 * i,) * 2)
+    got = sorted(r["event_id"] for r in Q.QUERIES["stream_first_of_key"](spark, str(tmp_path)).collect())
+    assert got == [*range(10), 99]
+
+
 def test_stores(spark):
     s = K.Snapshots(spark, Scratch(spark, "snap").path("s"), keep=2)
     df = spark.range(5)
