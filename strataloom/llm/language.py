@@ -382,7 +382,8 @@ def _results(texts: list[str | None], tagger: Tagger) -> list[dict]:
 def tag_documents(documents: DataFrame, key: str, text: str, model: Model, keep: list[str] | None = None) -> DataFrame:
     """``(key, keep..., lang, confidence, lines, segments)``, one row a document.
 
-    lang: the language most of the text is in, null if no line holds a sentence (null, empty or code-only texts);
+    lang: the language most of the text is in, null if no line holds a sentence (null, empty or code-only texts, and texts
+    whose lines all have fewer than ``SENTENCE_WORDS`` expected words of one language);
     confidence: its share of the words in sentences times the mean marginal of its lines. lines: the lines (from 1,
     blank ones counted) that hold a sentence, with language and mean marginal. segments: runs of such lines in one
     language. Whole texts are read, however long; repeated and null keys are passed through; ties between languages go
