@@ -250,3 +250,22 @@ def test_strict_decode(spark):
     texts = ['{"n": 1}', '{"n": 1, "m": 2}', '{"n": "x"}', "{}", "no", None]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(models.decode_strict(F.col("t"), schema).alias("d"))
     assert [r["d"] is not None for r in df.collect()] == [True, False, False, False, False, False]
+
+
+def test_pieces_by_brute_force():
+    from strataloom.operators.chunks import pieces
+
+    def slow(b, limit, overlap, search):
+        begins = lambda p: p >= len(b) or b[p] & 0xC0 != 0x80
+        out, at = [], 0
+        while len(b) - at > limit:
+            ends = [p + 1 for p in range(at + limit - search, at + limit) if b[p] == 10]
+            end = ends[-1] if ends else max(p for p in range(at, at + limit + 1) if begins(p))
+            out.append((at, end))
+            at = min(p for p in range(end - overlap, end + 1) if begins(p))
+        return [b[s:e] for s, e in [*out, (at, len(b))]] if b else []
+
+    r = random.Random(1)
+    for limit, overlap, search in [(2000, 256, 512)] * 40 + [(40, 8, 12)] * 40:
+        text = "".join(r.choice("ab é€😀" + "\n" * r.choice((0, 1))) for _ in range(r.choice((0, 10, 60, 700, 4000)))).encode()
+        assert pieces(text, limit, overlap, search) == slow(text, limit, overlap, search)
