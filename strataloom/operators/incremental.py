@@ -13,36 +13,63 @@ from strataloom.operators.ordering import keep_best, running
 from strataloom.runtime import Scratch, delete
 
 
-def row_hash(columns: list[Column]) -> Column:
-    """Order-free fingerprints add these up; a decimal sum cannot overflow or depend on the order of rows."""
-    return F.xxhash64(*columns).cast("decimal(20,0)")
+def row_hash(columns: list[str], seed: str = "") -> Column:
+    """Order-free fingerprints add these up; a decimal sum cannot overflow or depend on the order of rows.
+
+    Spark's hash passes over nulls, so every value stands behind a mark that tells whether it is one: a value that moves
+    from one nullable column to another changes the hash.
+    """
+    marked = [x for c in columns for x in (F.isnull(c), F.col(c))]
+    return F.xxhash64(*([F.lit(seed)] if seed else []), *marked).cast("decimal(20,0)")
 
 
-def fingerprints(df: DataFrame, bucket: Column, columns: list[str], source: str) -> DataFrame:
-    """``(bucket, source, n, digest)``: the number of rows and the sum of their hashes, for every bucket.
+def sums(df: DataFrame, keys: list[str], columns: list[str], source: str) -> DataFrame:
+    """``(keys..., source, n, a, b)``: the number of rows and two sums of their hashes, by key.
 
-    Partial sums are taken before the shuffle, which moves one row a bucket and task. Two hashes with different seeds are
-    added, so that a change escapes only if both sums agree by chance. Null columns hash as nulls.
+    Partial sums are taken before the shuffle, which moves one row a key and task. Two hashes with different seeds are
+    added, so that a change escapes only if both sums agree by chance. The sums are additive: those of parts of a table
+    (batches, say) add up to those of the whole.
     """
-    cols = [F.col(c) for c in columns]
-    return df.groupBy(bucket.alias("bucket")).agg(
-        F.count("*").alias("n"), F.sum(row_hash(cols)).alias("a"), F.sum(row_hash([F.lit("second"), *cols])).alias("b")
-    ).select("bucket", F.lit(source).alias("source"), "n", F.concat_ws(":", F.col("a").cast("string"), F.col("b").cast("string")).alias("digest"))
+    n, a, b = F.count("*").alias("n"), F.sum(row_hash(columns)).alias("a"), F.sum(row_hash(columns, "second")).alias("b")
+    return df.groupBy(*keys).agg(n, a, b).select(*keys, F.lit(source).alias("source"), "n", "a", "b")
+
+
+def fingerprints(parts: DataFrame, bucket: Column) -> DataFrame:
+    """``(bucket, source, n, digest)`` from rows of ``sums``, which are added up by bucket."""
+    whole = parts.groupBy(bucket.alias("bucket"), "source").agg(F.sum("n").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return whole.select("bucket", "source", "n", F.concat_ws(":", F.col("a").cast("string"), F.col("b").cast("string")).alias("digest"))
 
 
 class IncrementalTable:
     """A result table, partitioned by bucket, that is recomputed only where its inputs changed.
 
-    ``refresh`` fingerprints the inputs by bucket, compares with the fingerprints the stored result was made from, has
-    the changed buckets recomputed, replaces exactly those by dynamic partition overwrite, and only then writes the new
+    ``refresh`` compares the fingerprints of the inputs by bucket with those the stored result was made from, has the
+    changed buckets recomputed, replaces exactly those by dynamic partition overwrite, and only then writes the new
     fingerprints, as a new version whose name is committed by one rename. A failure before the rename leaves the old
     fingerprints: the next run finds the same buckets changed, recomputes them and overwrites what was half done, so no
     record is skipped and none is repeated. Buckets that lost their last row are emptied.
+
+    The number of buckets follows the number of keys (``plan``): a power of two with about ``per_bucket`` keys each, at
+    least ``least``, at most ``most`` directories. It is part of the committed version's name and of the folder of its
+    data. Once there are four times as many keys as it was made for, the table is laid out anew in another folder, and
+    the commit that names the new version switches over to it; the old folder goes after that.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
-        self.data = f"{self.path}/data"
+    def __init__(self, spark: SparkSession, path: str, per_bucket: int = 16, least: int = 16, most: int = 65_536):
+        self.spark, self.path, self.per_bucket, self.least, self.most = spark, path.rstrip("/"), per_bucket, least, most
+        versions = self._committed()
+        self.buckets = versions[-1][1] if versions else least
+
+    @property
+    def data(self) -> str:
+        return f"{self.path}/data-{self.buckets}"
+
+    def plan(self, keys: int) -> int:
+        """Settle the number of buckets for so many keys: the stored one as long as it will do."""
+        versions = self._committed()
+        want = min(self.most, max(self.least, 1 << max(0, -(-keys // self.per_bucket) - 1).bit_length()))
+        self.buckets = versions[-1][1] if versions and want < 4 * versions[-1][1] else want
+        return self.buckets
 
     def bucket(self, *keys: str) -> Column:
         return F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
@@ -52,17 +79,19 @@ class IncrementalTable:
         p = jvm.org.apache.hadoop.fs.Path
         return p, p(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def _committed(self) -> list[int]:
+    def _committed(self) -> list[tuple[int, int]]:
+        """(number, buckets) of the committed versions."""
         p, fs = self._fs()
         at = p(f"{self.path}/prints")
         if not fs.exists(at):
             return []
-        return sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(at) if s.getPath().getName()[:1] == "v")
+        names = [s.getPath().getName() for s in fs.listStatus(at)]
+        return sorted(tuple(int(x) for x in n[1:].split("-")) for n in names if n[:1] == "v")
 
     def stored(self) -> DataFrame | None:
-        """Fingerprints of the inputs the table was last made from."""
+        """Fingerprints of the inputs the table was last made from; none for another number of buckets."""
         versions = self._committed()
-        return self.spark.read.parquet(f"{self.path}/prints/v{versions[-1]}") if versions else None
+        return self.spark.read.parquet(f"{self.path}/prints/v{versions[-1][0]}-{self.buckets}") if versions and versions[-1][1] == self.buckets else None
 
     def changed(self, prints: DataFrame) -> list[int]:
         """Buckets whose fingerprints differ from the stored ones; at most ``buckets`` numbers come to the driver."""
@@ -97,10 +126,12 @@ class IncrementalTable:
             versions = self._committed()
             p, fs = self._fs()
             fs.mkdirs(p(f"{self.path}/prints"))
-            if not fs.rename(p(stage), p(f"{self.path}/prints/v{(versions or [0])[-1] + 1}")):
+            if not fs.rename(p(stage), p(f"{self.path}/prints/v{(versions or [(0, 0)])[-1][0] + 1}-{self.buckets}")):
                 raise RuntimeError("the fingerprints could not be committed")
-            for v in versions[:-1]:
-                delete(self.spark, f"{self.path}/prints/v{v}")
+            for v, b in versions[:-1]:
+                delete(self.spark, f"{self.path}/prints/v{v}-{b}")
+                if b != self.buckets:
+                    delete(self.spark, f"{self.path}/data-{b}")
         except BaseException:
             delete(self.spark, stage)
             raise
@@ -113,12 +144,13 @@ class IncrementalTable:
             delete(self.spark, f"{self.data}/bucket={b}")
 
     def read(self, schema) -> DataFrame:
-        """The result; empty with the given schema before the first refresh."""
+        """The result of the last committed version; empty with the given schema before the first."""
         p, fs = self._fs()
-        if not fs.exists(p(self.data)):
+        versions = self._committed()
+        at = f"{self.path}/data-{versions[-1][1]}" if versions else None
+        if not at or not fs.exists(p(at)):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.data)
-
+        return self.spark.read.schema(schema).parquet(at)
 
 
 #: What the result and the fingerprints of a module depend on.
@@ -176,18 +208,33 @@ def changed_files(files: DataFrame, runs: DataFrame, scratch: Scratch) -> DataFr
     return both.where("a is not null and (b is null or a <> b)").select(F.col("target").alias("run_id"), "file_path")
 
 
-def refresh_changed_files(store: IncrementalTable, files: DataFrame, runs: DataFrame, fail: str = "") -> list[int]:
-    """Bring the table of changed files up to date; returns the recomputed buckets. A bucket holds whole modules."""
+MODULE = ["repo", "module_dir"]
+
+
+def file_sums(files: DataFrame) -> DataFrame:
+    """What the files of each module add to its fingerprint; those of batches of files add up."""
+    return sums(files, MODULE, FILE_COLUMNS, "files")
+
+
+def refresh_changed_files(store: IncrementalTable, files: DataFrame, runs: DataFrame, fail: str = "", of_files: DataFrame | None = None, pick: Callable[[list[int]], DataFrame] | None = None) -> list[int]:
+    """Bring the table of changed files up to date; returns the recomputed buckets. A bucket holds whole modules; a file
+    belongs to the module its own columns name, which must be that of its run.
+
+    One pass over the inputs gives sums by module, from which the number of buckets and their fingerprints follow.
+    of_files: these sums for files, where they are known already; pick(buckets): the files of some buckets, where there
+    is a quicker way to them than a filter.
+    """
     scratch = Scratch(store.spark, "changes")
-    module = store.bucket("repo", "module_dir")
     files, runs = files.select(FILE_COLUMNS), runs.select(RUN_COLUMNS)
-    prints = fingerprints(files, module, FILE_COLUMNS, "files").unionByName(fingerprints(runs, module, RUN_COLUMNS, "runs"))
+    parts = scratch.cut((file_sums(files) if of_files is None else of_files).unionByName(sums(runs, MODULE, RUN_COLUMNS, "runs")), "sums")
+    store.plan(parts.select(MODULE).distinct().count())
+    module = store.bucket(*MODULE)
 
     def compute(todo: list[int]) -> DataFrame:
         some = (lambda df: df) if len(todo) == store.buckets else (lambda df: df.where(module.isin(todo)))
         r = some(runs)
-        found = changed_files(some(files), r, scratch)
+        found = changed_files(pick(todo).select(FILE_COLUMNS) if pick else some(files), r, scratch)
         where = successful_runs(r).select("run_id", module.alias("bucket"))
         return found.join(where, "run_id").select("run_id", "file_path", "bucket")
 
-    return store.refresh(prints, compute, fail)
+    return store.refresh(fingerprints(parts, module), compute, fail)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from strataloom.operators.incremental import IncrementalTable, refresh_changed_files
+from strataloom.operators.incremental import MODULE, IncrementalTable, file_sums, refresh_changed_files
 from strataloom.runtime import Scratch
 
 
@@ -53,23 +53,46 @@ def each_batch(stream: DataFrame, out: str, checkpoint: str, make: Callable[[Dat
     """Write make(batch) for every batch as a partition of its own: a batch that is repeated replaces what it wrote."""
 
     def write(batch: DataFrame, number: int) -> None:
-        make(batch).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
+        _replace(make(batch).withColumn("batch", F.lit(number)), out, "batch")
 
     (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()).awaitTermination()
 
 
+#: Parts by module in which a stream keeps its arrivals, so that the files of some buckets are read without the others.
+SLOTS = 256
+
+
 def changed_files_stream(spark: SparkSession, arrivals: DataFrame, runs: DataFrame, folder: str) -> IncrementalTable:
-    """Keep the table of changed files up to date: each batch of arrivals is appended once, then the table refreshed."""
+    """Keep the table of changed files up to date: each batch of arrivals is kept once, then the table refreshed.
+
+    A batch costs its own rows and those of the buckets it touches: fingerprints are sums, so only the batch is hashed and
+    added to what earlier batches left, and arrivals lie in slots of whole buckets. A batch that is repeated replaces
+    what it wrote.
+    """
     store = IncrementalTable(spark, f"{folder}/changes")
-    seen = f"{folder}/files"
+    seen, kept = f"{folder}/files", f"{folder}/sums"
 
     def step(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(seen)
-        refresh_changed_files(store, spark.read.parquet(seen).drop("batch"), runs)
+        slot = F.pmod(F.xxhash64(*MODULE), F.lit(SLOTS)).cast("int")
+        rows = batch.withColumn("batch", F.lit(number)).withColumn("slot", slot)
+        _replace(rows.hint("rebalance", "slot"), seen, "slot", "batch")
+        _replace(file_sums(batch).withColumn("batch", F.lit(number)), kept, "batch")
+        whole = spark.read.parquet(kept).groupBy(*MODULE, "source").agg(F.sum("n").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+        files = spark.read.parquet(seen)
+
+        def pick(todo: list[int]) -> DataFrame:
+            slots = {b % SLOTS for b in todo} if store.buckets >= SLOTS else {s for s in range(SLOTS) if s % store.buckets in set(todo)}
+            return files.where(F.col("slot").isin(sorted(slots)) & store.bucket(*MODULE).isin(todo))
+
+        refresh_changed_files(store, files, runs, of_files=whole, pick=pick)
 
     (arrivals.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()).awaitTermination()
     return store
 
 
+def _replace(rows: DataFrame, path: str, *by: str) -> None:
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+
+
 def scratch_folder(spark: SparkSession, label: str) -> str:
     return Scratch(spark, label).path("stream")

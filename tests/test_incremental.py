@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from strataloom.operators.incremental import CHANGES, IncrementalTable, fingerprints, refresh_changed_files
+from strataloom.operators.incremental import CHANGES, IncrementalTable, refresh_changed_files, sums
 from strataloom.runtime import Scratch
 
 T0 = dt.datetime(2025, 1, 1)
@@ -16,7 +16,7 @@ def at(h):
 
 
 def table(spark):
-    return IncrementalTable(spark, Scratch(spark, "test").path("changes"), buckets=8)
+    return IncrementalTable(spark, Scratch(spark, "test").path("changes"), least=8)
 
 
 def runs(spark, rows):
@@ -73,8 +73,57 @@ def test_empty(spark):
     assert read(s) == set()
 
 
+def prints(df, columns):
+    return [tuple(r) for r in sums(df.withColumn("_all", F.lit(0)), ["_all"], columns, "s").collect()]
+
+
 def test_fingerprints_see_every_change(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "k int, v string")
-    p = lambda d: [tuple(r) for r in fingerprints(d, F.lit(0), ["k", "v"], "s").collect()]
+    p = lambda d: prints(d, ["k", "v"])
     assert p(df) == p(df.orderBy(F.desc("k")).repartition(3))
     assert p(df) != p(df.distinct()) and p(df) != p(df.fillna("")) and p(df) != p(df.withColumn("v", F.lit("a")))
+
+
+def test_fingerprints_see_values_that_change_places(spark):
+    """A value that moves to any other nullable column, or changes places with a null there, is a change."""
+    names = ["a", "b", "c", "d"]
+    rows = [(7, 1, None, None, 2), (8, None, 3, None, None), (9, None, None, None, None)]
+    df = spark.createDataFrame(rows, "k int, a int, b int, c int, d int")
+    seen = {tuple(prints(df, ["k", *names]))}
+    for i, x in enumerate(names):
+        for y in names[i + 1 :]:
+            for k in (7, 8):
+                this = F.col("k") == k
+                swapped = df.withColumns({x: F.when(this, F.col(y)).otherwise(F.col(x)), y: F.when(this, F.col(x)).otherwise(F.col(y))})
+                same = swapped.exceptAll(df).isEmpty()
+                assert (tuple(prints(swapped, ["k", *names])) in seen) == same, (x, y, k)
+
+
+def test_a_time_in_the_other_column_is_a_change(spark):
+    """Baselines move when the only time of a run moves from started_at to finished_at."""
+    f = files(spark, [(1, 1, "a.go", "h1", 0.1), (2, 2, "a.go", "h2", 2.1), (3, 3, "a.go", "h2", 4.1)])
+    rows = [(1, "r", "m", 0, 1, "ok", "d"), (3, "r", "m", 4, 5, "ok", "d")]
+    one = lambda s, e: spark.createDataFrame([(2, "r", "m", s and at(s), e and at(e), "ok", "d", "x")], RUNS)
+    before, after = runs(spark, rows).unionByName(one(3, None)), runs(spark, rows).unionByName(one(None, 3))
+    s, fresh = table(spark), table(spark)
+    refresh_changed_files(s, f, before)
+    assert read(s) == {(3, "a.go")}
+    assert len(refresh_changed_files(s, f, after)) == 1
+    refresh_changed_files(fresh, f, after)
+    assert read(s) == read(fresh) == set()
+
+
+def test_buckets_follow_the_modules(spark):
+    f = lambda n: spark.createDataFrame([(i, i, "r", f"m{i}", None, "a.go", "h", at(0.5), 0) for i in range(n)], FILES)
+    s = table(spark)
+    refresh_changed_files(s, f(64), runs(spark, [(i, "r", f"m{i}", 0, 1, "ok", "d") for i in range(64)]))
+    assert s.buckets == 8
+    r = runs(spark, [(i, "r", f"m{i}", 0, 1, "ok", "d") for i in range(300)] + [(1000, "r", "m7", 2, 3, "ok", "d")])
+    more = f(300).unionByName(spark.createDataFrame([(2000, 1000, "r", "m7", None, "b.go", "h", at(2.5), 0)], FILES))
+    with pytest.raises(RuntimeError):
+        refresh_changed_files(s, more, r, "before_commit")
+    assert read(IncrementalTable(spark, s.path)) == set()  # the old layout holds until the commit
+    assert 25 < len(refresh_changed_files(s, more, r)) <= s.buckets == 32  # all that hold a module
+    again = IncrementalTable(spark, s.path)
+    assert again.buckets == 32 and refresh_changed_files(again, more, r) == [] and read(again) == {(1000, "b.go")}
+    assert len(refresh_changed_files(again, more.where("obs_id <> 2000"), r)) == 1 and read(again) == set()
