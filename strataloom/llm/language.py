@@ -45,8 +45,9 @@ SENTENCE_WORDS, SENTENCE_SHARE = 2.5, 0.5
 @dataclass(frozen=True)
 class Fit:
     """Bounds of the fit: labelled documents a language, characters of a document (longer ones are passed over), lines a
-    label that train the field, feature buckets, one in how many
-    training lines is joined to another, and the training: passes, lines a step, step size, weight decay."""
+    label that train the field, feature buckets, one in how many training lines switches language (every other one of
+    these has another line after it, the rest have some words of another line put in), and the training: passes, lines a
+    step, step size, weight decay."""
 
     documents: int = 300
     characters: int = 20_000
@@ -202,8 +203,8 @@ def train(rows: list[tuple[str, str]], fit: Fit) -> Model:
     kinds: list[tuple[str, bool]] = []
     ids, target, sizes = [], [], []
     for i, line in enumerate(chosen):
-        # Some lines are joined to another one, so that transitions between languages, and to and from NONE, are learned.
-        parts = [line, chosen[rng.integers(len(chosen))]] if i % fit.joined == 0 else [line]
+        # Some lines switch, so that transitions between languages, and to and from NONE, are learned.
+        parts = _switching(line, chosen[rng.integers(len(chosen))], rng, i // fit.joined % 2 == 1) if i % fit.joined == 0 else [line]
         for tokens, l in parts:
             for t in tokens:
                 k, ok = see(t)
@@ -237,6 +238,16 @@ def train(rows: list[tuple[str, str]], fit: Fit) -> Model:
     return Model(weights, mean[1], mean[2], lexicon, fit.buckets)
 
 
+def _switching(line: tuple[list[str], int], other: tuple[list[str], int], rng: np.random.Generator, inside: bool) -> list[tuple[list[str], int]]:
+    """A line with another one behind it or, ``inside``, with some words of the other put between two of its own."""
+    tokens, l = line
+    if not inside or len(tokens) < 4:
+        return [line, other]
+    at = int(rng.integers(2, len(tokens) - 1))
+    first = int(rng.integers(0, max(1, len(other[0]) - 2)))
+    return [(tokens[:at], l), (other[0][first : first + int(rng.integers(2, 8))], other[1]), (tokens[at:], l)]
+
+
 def _gradient(p: list, ids: np.ndarray, target: np.ndarray, sizes: np.ndarray, flat: np.ndarray, begin: np.ndarray, count: np.ndarray, n: int) -> list:
     """Gradient of the log likelihood of some lines by weights, transitions and starts."""
     kinds, ids = np.unique(ids, return_inverse=True)
@@ -305,8 +316,12 @@ class Tagger:
             self.x = np.concatenate([self.x, factors(np.array(rows))])
             self.word = np.concatenate([self.word, np.array(words, np.float32)])
 
-    def lines(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(language or NONE, confidence, expected words of the language) of each line."""
+    def lines(self, lines: list[str], runs: bool = False) -> tuple[np.ndarray, ...]:
+        """(language or NONE, confidence, expected words of the language) of each line.
+
+        With runs, also (line, first word, last word, language, mean marginal) of every run of words whose most probable
+        label is one language, other labels than languages between them passed over.
+        """
         flat, sizes = [], []
         for line in lines:
             tokens = line.split()
@@ -315,7 +330,7 @@ class Tagger:
         lang = np.full(len(lines), NONE)
         sure, count = np.ones(len(lines)), np.zeros(len(lines))
         if not flat:
-            return lang, sure, count
+            return (lang, sure, count, *[np.empty(0, np.int64)] * 5) if runs else (lang, sure, count)
         if len(self.kind) > 4 * self.most:
             self.kind, self.x, self.word = {}, self.x[:0], self.word[:0]
             self.token.clear()
@@ -341,7 +356,18 @@ class Tagger:
         share = most / np.maximum(words, 1)
         sure[full] = np.where(says, share, 1 - np.where(words > 0, share, 0))
         count[full] = np.where(says, most, 0)
-        return lang, sure, count
+        if not runs:
+            return lang, sure, count
+        label = marginal.argmax(axis=1)
+        hit = np.flatnonzero(label != NONE)
+        line, label = np.repeat(np.arange(len(lines)), sizes)[hit], label[hit]
+        word = hit - (np.cumsum(sizes) - sizes)[line] + 1
+        new = np.ones(len(hit), bool)
+        new[1:] = (line[1:] != line[:-1]) | (label[1:] != label[:-1])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(hit)) - 1
+        mean = np.add.reduceat(marginal[hit, label].astype(np.float64), first) / (last - first + 1) if len(hit) else np.empty(0)
+        return lang, sure, count, line[first], word[first], word[last[: len(first)]], label[first], mean
 
 
 RESULT = T.StructType(
@@ -354,6 +380,51 @@ RESULT = T.StructType(
 )
 
 
+def tag_words(documents: DataFrame, key: str, text: str, model: Model) -> DataFrame:
+    """``(key, line_no, first_word, last_word, lang, confidence)``: the runs of words in one language of every line.
+
+    Words are separated by blanks and counted from 1 in their line, lines from 1. A run is made of the words whose most
+    probable label under the field is its language; code, paths and names between them are passed over. confidence: the
+    mean marginal of its words. A line that switches language has a run for each part. Null, blank and code-only texts
+    have none; whole texts are read; repeated and null keys are passed through; ties between labels go to the language
+    that comes first in ``LANGUAGES``.
+    """
+    rows = documents.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    shared = documents.sparkSession.sparkContext.broadcast(model)  # buckets x labels numbers, whatever the data
+    kinds = {"line_no": pa.int32(), "first_word": pa.int32(), "last_word": pa.int32(), "lang": pa.string(), "confidence": pa.float64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagger = Tagger(shared.value)
+        for whole in batches:
+            texts = whole.column("_text").to_pylist()
+            for start, stop in _stretches(texts):
+                lines, owner, number = [], [], []
+                for i, t in enumerate(texts[start:stop], start):
+                    own = t.split("\n") if t else []
+                    lines += own
+                    owner += [i] * len(own)
+                    number += range(1, len(own) + 1)
+                _, _, _, line, first, last, label, mean = tagger.lines(lines, True)
+                take = pa.array(np.array(owner, np.int64)[line])
+                cols = [np.array(number, np.int64)[line], first, last, np.array(LANGUAGES, object)[label], mean]
+                yield pa.RecordBatch.from_arrays([whole.column("_key").take(take), *[pa.array(c, k) for c, k in zip(cols, kinds.values(), strict=True)]], names=["_key", *kinds])
+
+    schema = T.StructType([rows.schema["_key"]]).add("line_no", T.IntegerType()).add("first_word", T.IntegerType()).add("last_word", T.IntegerType()).add("lang", T.StringType()).add("confidence", T.DoubleType())
+    return rows.mapInArrow(run, schema).withColumnRenamed("_key", key)
+
+
+def _stretches(texts: list[str | None], most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of whole texts of some megabytes together."""
+    start = 0
+    while start < len(texts):
+        stop, size = start, 0
+        while stop < len(texts) and (size < most or stop == start):
+            size += len(texts[stop] or "")
+            stop += 1
+        yield start, stop
+        start = stop
+
+
 def _results(texts: list[str | None], tagger: Tagger) -> list[dict]:
     lines, owner = [], []
     for i, t in enumerate(texts):
@@ -397,15 +468,9 @@ def tag_documents(documents: DataFrame, key: str, text: str, model: Model, keep:
         tagger = Tagger(shared.value)
         for whole in batches:
             texts = whole.column("_text").to_pylist()
-            start = 0
-            while start < len(texts):
-                stop, size = start, 0
-                while stop < len(texts) and (size < 2_000_000 or stop == start):
-                    size += len(texts[stop] or "")
-                    stop += 1
+            for start, stop in _stretches(texts):
                 b = whole.slice(start, stop - start)
                 found = _results(texts[start:stop], tagger)
-                start = stop
                 cols = [pa.array([r[f.name] for r in found], to_arrow(f.dataType)) for f in RESULT]
                 yield pa.RecordBatch.from_arrays([b.column(c) for c in (key, *keep)] + cols, names=[key, *keep, *RESULT.names])
 
@@ -420,4 +485,4 @@ def to_arrow(kind: T.DataType) -> pa.DataType:
     return {"string": pa.string(), "double": pa.float64(), "integer": pa.int32()}[kind.typeName()]
 
 
-__all__ = ["NAMES", "Layout", "form", "Fit", "LANGUAGES", "Model", "Tagger", "fit_model", "label_language", "tag_documents", "train"]
+__all__ = ["NAMES", "Layout", "form", "Fit", "LANGUAGES", "Model", "Tagger", "fit_model", "label_language", "tag_documents", "tag_words", "train"]

@@ -46,7 +46,9 @@ def solve(counts: DataFrame, duals: dict[str, Dual]) -> int:
     counts: (source, n_tokens, n), the distinct sizes of each source with their numbers. A step is one distributed
     aggregation: at the current tilt the tokens sum(w t) and their derivative sum(w t**2) over documents below the cap.
     The tokens grow with the tilt, so every measurement also narrows a bracket; a Newton step that leaves it, or that
-    has no curvature, is replaced by bisection or doubling.
+    has no curvature, is replaced by bisection or doubling. The first step also measures the tokens at an infinite tilt,
+    where every document is at the cap: where they stay below the target the dual has no maximum, its tilt is infinite,
+    and the source is short.
     """
     for step in range(STEPS):
         live = {s: d for s, d in duals.items() if not d.done}
@@ -61,11 +63,15 @@ def solve(counts: DataFrame, duals: dict[str, Dual]) -> int:
             .agg(
                 F.sum(F.col("w") * F.col("n_tokens") * F.col("n")).alias("tokens"),
                 F.sum(F.when(F.col("w") < pick(lambda d: float(d.cap)), F.col("w") * F.col("n_tokens") * F.col("n_tokens") * F.col("n"))).alias("slope"),
+                F.sum(pick(lambda d: float(d.cap)) * F.col("n_tokens") * F.col("n")).alias("limit"),
             )
             .collect()  # a row a source of the target table
         )
         for r in rows:
             d, got, slope = duals[r["source"]], r["tokens"], (r["slope"] or 0.0) / duals[r["source"]].unit
+            if r["limit"] < d.target:
+                d.tilt, d.done = math.inf, True
+                continue
             if abs(got - d.target) <= CLOSE * d.target:
                 d.done = True
                 continue
@@ -88,8 +94,8 @@ def mix_sources(
 
     copies: ``(key, source, n_tokens, rate, copies)`` for every document with text and a source in ``targets``.
     report: ``(source, target_share, max_repeats, documents, available_tokens, target_tokens, mixed_tokens,
-    actual_share, short)``, one row a target; short tells that the source stays below its target even with every
-    document used max_repeats times.
+    actual_share, short)``, one row a target; short tells that the source's dual has no maximum: it stays below its
+    target even with every document used max_repeats times.
 
     The mix is as large as all documents that have text (more than blanks) and a source, named in targets or not. Each
     source's rates minimise the relative entropy to using every document once, under its token target and the cap: the
@@ -120,8 +126,9 @@ def mix_sources(
     for s, (p, m) in wanted.items():
         r = have.get(s)
         if r and p > 0 and m > 0 and r["t"]:
-            duals[s] = Dual(p * total, m, r["t"] / r["n"], done=m * r["t"] <= p * total, tilt=math.inf if m * r["t"] <= p * total else 0.0)
+            duals[s] = Dual(p * total, m, r["t"] / r["n"])
     solve(counts, duals)
+    short = [s for s, (p, _) in wanted.items() if p * total > 0 and (s not in duals or duals[s].tilt == math.inf)]
     facts = spark.createDataFrame(
         [(s, p, m, int(have[s]["n"]) if s in have else 0, int(have[s]["t"]) if s in have else 0, p * total, duals[s].tilt if s in duals else None, duals[s].unit if s in duals else None) for s, (p, m) in wanted.items()],
         "source string, target_share double, max_repeats int, documents bigint, available_tokens bigint, target_tokens double, tilt double, unit double",
@@ -139,6 +146,5 @@ def mix_sources(
     mixed = copies.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("mixed_tokens"))
     got = facts.drop("tilt", "unit").join(mixed, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)).cast("bigint"))
     whole = got.agg(F.sum("mixed_tokens")).first()[0] or 0
-    short = (F.col("target_share") > 0) & (F.col("available_tokens") * F.greatest("max_repeats", F.lit(0)) < F.col("target_tokens"))
-    report = got.withColumn("actual_share", F.col("mixed_tokens") / F.lit(float(whole or 1))).withColumn("short", F.coalesce(short, F.lit(False)))
+    report = got.withColumn("actual_share", F.col("mixed_tokens") / F.lit(float(whole or 1))).withColumn("short", F.col("source").isin(short))
     return copies, report

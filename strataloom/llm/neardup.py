@@ -1,4 +1,4 @@
-"""Near-duplicate texts by a binary trie self-join over minhash sketches.
+"""Near-duplicate texts by binary trie self-joins over minhash sketches.
 
 Every distinct text becomes ``TABLES`` bit strings: a key of ``ROWS`` whole minhash values, then a sketch with one bit of
 each of ``BITS`` minhash values. Each table is a binary trie over its strings. The self-join walks pairs of nodes from
@@ -7,8 +7,13 @@ none in the key, ``BUDGET`` in the sketch. Two texts of similarity s agree in a
 in a sketch bit with (1 - s) / 2, so at s = 0.6 a pair is missed by all tables in about 1 of 500 cases, at 0.7 in 1 of
 50,000. What the tries give is checked exactly on the whole texts.
 
+One trie over the sketches alone would do for few errors only: its upper levels are full, so with n texts the walk visits
+about n**2 times the share of random strings of log2(n) bits that are within the budget, which at 33 errors is nearly all
+pairs. The keys are what makes the upper levels sparse; hence several tries, as a pair must agree in the key of one.
+
 The key bits are walked by Spark: equal keys meet in one partition. The rest of each trie is walked by numpy, a byte (8
-levels) at a time, for many tries at once, on the strings in sorted order, in which a node is a range.
+levels) at a time, for many tries at once, on the strings in sorted order, in which a node is a range. A pair of nodes is
+dropped at the first byte at which the sum exceeds the budget.
 """
 
 from __future__ import annotations
@@ -194,8 +199,10 @@ class Tries:
             stack.append((level + 1, ca[~single], cb[~single], spend[~single]))
 
 
-def _walk(parts: bool):
-    """For mapInArrow over rows sorted by (key, part, sketch): candidate pairs (a, b), a < b, each once a call."""
+def _walk(parts: bool, bits: bool):
+    """For mapInArrow over rows sorted by (key, part, sketch): candidate pairs (a, b), a < b, each once a call; with
+    ``bits`` also the number of sketch bits in which they differ."""
+    names = ["a", "b", "bits"] if bits else ["a", "b"]
 
     def flush(key: np.ndarray, sketch: np.ndarray, ids: np.ndarray, side: np.ndarray) -> Iterator[pa.RecordBatch]:
         seen = []
@@ -204,13 +211,13 @@ def _walk(parts: bool):
                 cross = (side[i] != side[j]) | (side[i] == 2)
                 i, j = i[cross], j[cross]
             if len(i):
-                seen.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]))
+                apart = [POPCOUNT[sketch[i] ^ sketch[j]].sum(axis=1, dtype=np.int64)] if bits else []
+                seen.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), *apart]))
             if sum(x.shape[1] for x in seen) > SLICE:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(seen, axis=1)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(seen, axis=1)], names=names)
                 seen = []
         if seen:
-            p = np.unique(np.concatenate(seen, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.concatenate(seen, axis=1), axis=1)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -231,8 +238,10 @@ def _walk(parts: bool):
     return run
 
 
-def candidates(reps: DataFrame, part: int = PART) -> DataFrame:
-    """``(a, b)``, a < b: pairs of (id, keys, sketch) rows that some trie gives, each once."""
+def candidates(reps: DataFrame, part: int = PART, bits: bool = False) -> DataFrame:
+    """``(a, b)``, a < b: pairs of (id, keys, sketch) rows that some trie gives, each once; with ``bits``, how many bits of
+    their sketches differ."""
+    result = "a bigint, b bigint, bits bigint" if bits else "a bigint, b bigint"
     rows = reps.where("keys is not null").select("id", "sketch", F.col("keys"))
     at = F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1)))
     strings = rows.select("id", "sketch", at.alias("t"), "keys").select(
@@ -252,8 +261,8 @@ def candidates(reps: DataFrame, part: int = PART) -> DataFrame:
         lo, hi = F.least("own", "other"), F.greatest("own", "other")
         side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
         split = split.select(F.xxhash64("key", lo, hi).alias("key"), "sketch", "id", side.alias("side"))
-        out.append(split.repartition("key").sortWithinPartitions("key", "sketch").mapInArrow(_walk(True), "a bigint, b bigint"))
-    out.append(plain.repartition("key").sortWithinPartitions("key", "sketch").mapInArrow(_walk(False), "a bigint, b bigint"))
+        out.append(split.repartition("key").sortWithinPartitions("key", "sketch").mapInArrow(_walk(True, bits), result))
+    out.append(plain.repartition("key").sortWithinPartitions("key", "sketch").mapInArrow(_walk(False, bits), result))
     both = out[0]
     for o in out[1:]:
         both = both.unionByName(o)
@@ -296,16 +305,8 @@ def _verify(threshold: Fraction):
     return run
 
 
-def near_duplicates(df: DataFrame, key: str, text: str, version: str | None = None, threshold: Fraction = Fraction(3, 5)) -> tuple[DataFrame, DataFrame]:
-    """(members, links).
-
-    members: ``(key, class_id)``, one row a key with text; texts with the same set of 5-token sequences (or, without
-    any, the same text) are one class, named by its smallest key. links: ``(class_a, class_b, similarity)``, class_a <
-    class_b: classes whose sets share at least ``threshold``. Null and empty texts and null keys take no part; of
-    repeated keys the greatest ``version`` counts. Texts without 5 tokens are only ever equal to others, not near.
-    Other columns are ignored. key must be an integer.
-    """
-    scratch = Scratch(df.sparkSession, "neardup")
+def _classes(df: DataFrame, scratch: Scratch, key: str, text: str, version: str | None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows, last row of each key, members, one signed row a class with sequences) of ``near_duplicates``."""
     rows = df.where(F.col(key).isNotNull()).select(
         F.col(key).cast("bigint").alias("id"),
         F.struct((F.col(version) if version else F.lit(0)).cast("string").alias("v"), F.xxhash64(text).alias("h")).alias("version"),
@@ -320,7 +321,29 @@ def near_duplicates(df: DataFrame, key: str, text: str, version: str | None = No
     reps = last.groupBy("class").agg(F.min(F.struct("id", "version")).alias("r")).select("class", "r.id", "r.version")
     members = scratch.cut(last.select("id", "class").join(reps.select("class", F.col("id").alias("class_id")), "class").select("id", "class_id"), "members")
     chosen = signed.where("keys is not null").select("id", "version", "keys", "sketch").join(reps.select("id", "version"), ["id", "version"], "left_semi")
-    pairs = scratch.cut(candidates(chosen.dropDuplicates(["id"])), "pairs")
+    return rows, last, members, chosen.dropDuplicates(["id"])
+
+
+def trie_pairs(df: DataFrame, key: str, text: str, version: str | None = None) -> DataFrame:
+    """``(class_a, class_b, bits)``: what the tries alone give: classes within the error budget and the bits in which their
+    sketches differ. The same rules for rows as in ``near_duplicates``, no exact look."""
+    scratch = Scratch(df.sparkSession, "tries")
+    chosen = _classes(df, scratch, key, text, version)[3]
+    return candidates(chosen, bits=True).select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), F.col("bits").cast("int").alias("bits"))
+
+
+def near_duplicates(df: DataFrame, key: str, text: str, version: str | None = None, threshold: Fraction = Fraction(3, 5)) -> tuple[DataFrame, DataFrame]:
+    """(members, links).
+
+    members: ``(key, class_id)``, one row a key with text; texts with the same set of 5-token sequences (or, without
+    any, the same text) are one class, named by its smallest key. links: ``(class_a, class_b, similarity)``, class_a <
+    class_b: classes whose sets share at least ``threshold``. Null and empty texts and null keys take no part; of
+    repeated keys the greatest ``version`` counts. Texts without 5 tokens are only ever equal to others, not near.
+    Other columns are ignored. key must be an integer.
+    """
+    scratch = Scratch(df.sparkSession, "neardup")
+    rows, last, members, chosen = _classes(df, scratch, key, text, version)
+    pairs = scratch.cut(candidates(chosen), "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     wanted = last.join(ends, "id", "left_semi").select("id", "version")
     texts = rows.where("body is not null").join(wanted, ["id", "version"], "left_semi").dropDuplicates(["id"]).select("id", "body")

@@ -1,10 +1,10 @@
 """Filling containers of fixed capacity: hierarchical residual packing.
 
-Every partition packs its own items best-fit, decreasing. Bins filled to ``FULL`` of the capacity are emitted; the
-underfull ones travel on as single items, a fixed number of partitions to one, and are packed best-fit again, until one
-task has seen what is left. How many underfull bins a partition may pass on is bounded (``RESIDUE``): of bins more than
-half full no two can share a container, so the emptiest ones go on and the rest are emitted as they are. A round
-therefore never gathers more than ``FAN_IN * RESIDUE`` bins in a task, whatever the size of the input.
+Every partition packs its own items best-fit, decreasing. Bins filled to ``FULL`` of the capacity are emitted; all
+underfull ones travel on as single items, are dealt into as many partitions as their number asks for, and packed
+best-fit again, until one partition holds what is left. A partition sees about ``ITEMS`` items in every round, however
+many there are; dealt by a fresh hash, it sees the same mix of loads as the whole. So a round in which the number of bins
+falls by less than ``GAIN`` shows that what is left does not combine (bins more than half full, say), and ends the tree.
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from strataloom.llm.tokens import VOCABULARY, token_counts
 from strataloom.runtime import Scratch
 
-#: Items a first-round partition holds on average; bins filled to this share are emitted; partitions merged to one; bins
-#: a partition may pass on.
-ITEMS, FULL, FAN_IN, RESIDUE = 40_000, 0.995, 8, 2_000
+#: Items a partition holds on average, in every round; bins filled to this share are emitted; least share of its items
+#: by which a round reduces their number if another is to follow.
+ITEMS, FULL, GAIN = 40_000, 0.995, 0.01
 
 
 class BestFit:
@@ -51,46 +51,38 @@ def pack_partition(sizes: list[int], capacity: int) -> tuple[list[int], list[int
     return out, bins.loads
 
 
-def pass_on(loads: list[int], capacity: int, residue: int) -> set[int]:
-    """Underfull bins that go to the next round: the emptiest ``residue``."""
-    under = sorted((load, b) for b, load in enumerate(loads) if load < FULL * capacity)
-    return {b for _, b in under[:residue]}
-
-
-def _round(capacity: int, level: int, last: bool, residue: int):
+def _round(capacity: int, level: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "item"], ascending=[False, True], kind="stable")
         part = int(pdf["part"].iloc[0])
         at, loads = pack_partition(pdf["size"].tolist(), capacity)
-        on = set() if last else pass_on(loads, capacity, residue)
         base = (level << 56) | (part << 28)
-        return pd.DataFrame({"item": pdf["item"], "bin": [base + b for b in at], "load": [loads[b] for b in at], "open": [b in on for b in at]})
+        return pd.DataFrame({"item": pdf["item"], "bin": [base + b for b in at], "load": [loads[b] for b in at], "open": [loads[b] < FULL * capacity for b in at]})
 
     return run
 
 
-def pack(items: DataFrame, scratch: Scratch, capacity: int, partitions: int, residue: int = RESIDUE) -> DataFrame:
-    """``(item, bin, load)`` for items (item bigint unique, size bigint in 1..capacity, part int below ``partitions``).
+def pack(items: DataFrame, scratch: Scratch, capacity: int, n: int, each: int = ITEMS) -> DataFrame:
+    """``(item, bin, load)`` for n items (item bigint unique, size bigint in 1..capacity).
 
-    Bins are numbered by round, partition and order of opening. The last column of each round's table tells which bins
-    travelled on; membership is resolved by joining the rounds back to front.
+    Bins are numbered by round, partition and order of opening. Underfull bins of a round are the items of the next one;
+    membership is resolved by joining the rounds back to front.
     """
     schema = "item bigint, bin bigint, load bigint, open boolean"
-    level, parts, rounds = 0, max(1, partitions), []
-    current = items.select("item", F.col("size").cast("bigint").alias("size"), "part")
+    level, rounds = 0, []
+    current = items.select("item", F.col("size").cast("bigint").alias("size"))
     while True:
-        last = parts == 1
-        done = scratch.cut(current.groupBy("part").applyInPandas(_round(capacity, level, last, residue), schema), "round")
+        parts = max(1, -(-n // each))
+        dealt = current.withColumn("part", F.pmod(F.xxhash64(F.lit(level), "item"), F.lit(parts)).cast("int"))
+        done = scratch.cut(dealt.groupBy("part").applyInPandas(_round(capacity, level), schema), "round")
         rounds.append(done)
-        if last:
+        if parts == 1:
+            break
+        current = scratch.cut(done.where("open").groupBy(F.col("bin").alias("item")).agg(F.first("load").alias("size")), "open")
+        left = current.count()
+        if not left or left > (1 - GAIN) * n:
             break
-        parts = -(-parts // FAN_IN)
-        level += 1
-        # The part of an open bin is in its number; FAN_IN neighbours meet.
-        current = (
-            done.where("open").groupBy(F.col("bin").alias("item")).agg(F.first("load").alias("size"))
-            .withColumn("part", F.floor(F.shiftright(F.col("item").bitwiseAND(F.lit((1 << 56) - 1)), 28) / FAN_IN).cast("int"))
-        )
+        n, level = left, level + 1
     found = rounds.pop().select("item", "bin", "load")
     while rounds:
         here = rounds.pop()
@@ -123,8 +115,7 @@ def pack_documents(
         "k", F.posexplode(F.sequence(F.lit(0), ((F.col("n_tokens") - 1) / largest).cast("int"))).alias("piece_ix", "_i"), "n_tokens"
     ).select("k", "piece_ix", F.least(F.lit(largest), F.col("n_tokens") - F.col("piece_ix").cast("bigint") * largest).alias("size"))
     pieces = scratch.cut(pieces.withColumn("item", F.monotonically_increasing_id()), "pieces")
-    parts = max(1, -(-pieces.count() // items))
-    placed = pack(pieces.select("item", "size", F.pmod(F.xxhash64("k", "piece_ix"), F.lit(parts)).cast("int").alias("part")), scratch, largest, parts)
+    placed = pack(pieces.select("item", "size"), scratch, largest, pieces.count(), items)
     kind = F.lit(largest)
     for c in reversed(sizes[:-1]):
         kind = F.when(F.col("load") <= c, c).otherwise(kind)

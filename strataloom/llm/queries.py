@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from strataloom.functions.paths import canonical_identity
 from strataloom.llm.chunking import split_oversized
 from strataloom.llm.components import group_identities
-from strataloom.llm.language import fit_model, label_language, tag_documents
+from strataloom.llm.language import fit_model, label_language, tag_documents, tag_words
 from strataloom.llm.leximin import leximin_order, leximin_top, leximin_vectors
 from strataloom.llm.mixing import mix_sources
-from strataloom.llm.neardup import all_pairs, near_duplicates
+from strataloom.llm.neardup import all_pairs, near_duplicates, trie_pairs
 from strataloom.llm.packing import pack_documents
 from strataloom.llm.vectors import recall, similar_pairs
 from strataloom.operators.ordering import keep_best
@@ -54,6 +54,11 @@ def _near(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return near_duplicates(table(spark, d, "blocks"), "block_id", "content", "loaded_at")
 
 
+def p3_method(spark: SparkSession, d: str) -> DataFrame:
+    """What the tries give before the exact check: pairs of classes within the error budget, with their differing bits."""
+    return trie_pairs(table(spark, d, "blocks"), "block_id", "content", "loaded_at")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs as TESTDATA.md fixes them; groups of equal contents are spelled out here only."""
     return all_pairs(*_near(spark, d), "block_id", "block_a", "block_b")
@@ -124,10 +129,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that had to be cut: the packing has more than one piece of them."""
-    return p7_containers(spark, d).where("piece_ix = 1").select("doc_id")
+    return p7_method(spark, d).where("piece_ix = 1").select("doc_id")
 
 
-def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+def p7_method(spark: SparkSession, d: str) -> DataFrame:
+    """Every piece of every document in its container."""
     return pack_documents(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "container_specs"), "capacity_tokens")
 
 
@@ -143,7 +149,8 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return _mix(spark, d)[1]
 
 
-def p8_copies(spark: SparkSession, d: str) -> DataFrame:
+def p8_method(spark: SparkSession, d: str) -> DataFrame:
+    """How often each document is used."""
     return _mix(spark, d)[0]
 
 
@@ -170,9 +177,16 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     return _tagged(spark, d).select("doc_id", F.explode("segments").alias("s")).select("doc_id", "s.*")
 
 
+def p9_words(spark: SparkSession, d: str) -> DataFrame:
+    """The runs of words in one language, also within a line."""
+    documents = table(spark, d, "documents")
+    return tag_words(documents, "doc_id", "text", fit_model(documents, "doc_id", "text", "lang"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_found": p1_found,
     "p1_order": p1_order,
+    "p3_method": p3_method,
     "p3_found": p3_found,
     "p3_classes": p3_classes,
     "p4_found": p4_found,
@@ -180,12 +194,13 @@ QUERIES: dict[str, Query] = {
     "p5_found": p5_found,
     "p5_recall": p5_recall,
     "p6_found": p6_found,
+    "p7_method": p7_method,
     "p7_found": p7_found,
-    "p7_containers": p7_containers,
+    "p8_method": p8_method,
     "p8_found": p8_found,
     "p8_report": p8_report,
-    "p8_copies": p8_copies,
     "p9_found": p9_found,
     "p9_documents": p9_documents,
     "p9_segments": p9_segments,
+    "p9_words": p9_words,
 }

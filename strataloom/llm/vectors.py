@@ -3,7 +3,9 @@
 The index is a set of posting lists, one for each centroid. A vector is put into the list of its nearest centroid and,
 near a boundary, into further lists whose centroids are almost as near. A search walks a small graph over the centroids
 and reads only the lists whose centroid is within a ratio of the nearest one's distance. Centroids are fitted on a
-bounded sample; every vector is indexed and every vector is searched for.
+bounded sample; every vector is indexed and every vector is searched for. Where the bounded number of lists leaves some
+of them long, these are split into lists of their own, with centroids fitted where they are, so that the length of lists
+does not grow with the number of vectors.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ class Settings:
     sample: vectors for each centroid in the fit, and sample_most altogether; replicas and replica_ratio: most lists a
     vector is put into, and how much farther than the nearest centroid they may be; probes and probe_ratio: the same
     for reading; beam and degree: width of the graph walk and links of a centroid; block: members of a list, and queries
-    against it, that one task holds (a longer list is cut into blocks, all of which are read).
+    against it, that one task holds (a longer list is cut into blocks, all of which are read); split: rows from which on
+    a list is split into lists of its own.
     """
 
     per_list: int = 400
@@ -42,6 +45,7 @@ class Settings:
     beam: int = 16
     degree: int = 24
     block: int = 4096
+    split: int = 16_384
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -188,7 +192,7 @@ def fit_index(classes: DataFrame, dims: int, s: Settings) -> dict[str, tuple[int
 
 
 def probe(classes: DataFrame, index: dict[str, tuple[int, CentroidGraph]], dims: int, s: Settings) -> DataFrame:
-    """``(list, cid, member)``: the lists each vector reads, and whether it is also put into them."""
+    """``(list, cid, member, d)``: the lists each vector reads, whether it is also put into them, and how far off they are."""
     shared = classes.sparkSession.sparkContext.broadcast(index)  # at most ``lists`` centroids a group, see Settings
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,10 +213,81 @@ def probe(classes: DataFrame, index: dict[str, tuple[int, CentroidGraph]], dims:
                     r, c = np.nonzero(read)
                     at = pa.array(r)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(first + ids[r, c].astype(np.int64)), part.column("cid").take(at), pa.array(put[r, c])], names=["list", "cid", "member"]
+                        [pa.array(first + ids[r, c].astype(np.int64)), part.column("cid").take(at), pa.array(put[r, c]), pa.array(d[r, c].astype(np.float32))], names=["list", "cid", "member", "d"]
                     )
 
-    return classes.select("cid", "g", "v").mapInArrow(run, "list bigint, cid bigint, member boolean")
+    return classes.select("cid", "g", "v").mapInArrow(run, "list bigint, cid bigint, member boolean, d float")
+
+
+def _fit_list(dims: int, s: Settings):
+    """For applyInArrow over the sample of one long list: its own centroids."""
+
+    def run(t: pa.Table) -> pa.Table:
+        cid = t.column("cid").to_numpy()
+        x = unit(_floats(t.column("v"), dims))[np.argsort(cid, kind="stable")]
+        k = max(1, min(int(t.column("k")[0].as_py()), len(x)))
+        c = fit_centroids(x, k)
+        return pa.table({"list": pa.array([t.column("list")[0].as_py()] * k, pa.int64()), "sub": pa.array(range(k), pa.int32()), "centre": pa.array([r.tobytes() for r in c], pa.binary())})
+
+    return run
+
+
+def _assign_list(dims: int, s: Settings, round_: int):
+    """For a cogroup of some rows of a long list with its centroids: (list, cid, d) of the lists it is split into."""
+
+    def run(rows: pa.Table, centres: pa.Table) -> pa.Table:
+        out: list = [[], [], []]
+        if len(rows) and len(centres):
+            sub, c = centres.column("sub").to_numpy(), _floats(centres.column("centre"), dims)
+            cid = rows.column("cid").to_numpy()
+            owner = abs(int(rows.column("list")[0].as_py())) + 1
+            x = unit(_floats(rows.column("v"), dims))
+            m = min(s.probes, len(c))
+            for i in range(0, len(x), 1024):
+                sims = x[i : i + 1024] @ c.T
+                near = np.argpartition(-sims, m - 1, axis=1)[:, :m]
+                d = np.sqrt(np.maximum(0, 2 - 2 * np.take_along_axis(sims, near, 1))).astype(np.float32)
+                r, k = np.nonzero(d <= d.min(axis=1, keepdims=True) * s.probe_ratio + 1e-6)
+                # Lists of later rounds are numbered below zero: by the list they come from, their place in it, the round.
+                out[0].append(-((owner * s.lists + sub[near[r, k]].astype(np.int64)) * 4 + round_))
+                out[1].append(cid[i + r])
+                out[2].append(d[r, k])
+        kinds = (pa.int64(), pa.int64(), pa.float32())
+        return pa.table({n: pa.array(np.concatenate(v) if v else [], t) for n, v, t in zip(("list", "cid", "d"), out, kinds, strict=True)})
+
+    return run
+
+
+def split_lists(probes: DataFrame, classes: DataFrame, scratch: Scratch, dims: int, s: Settings) -> DataFrame:
+    """The probes, with every list of more than ``split`` rows replaced by lists of about ``per_list`` members.
+
+    Centroids of a long list are fitted in one task on a bounded sample of its members; its rows are assigned to them in
+    parts of bounded size, wherever they are. A vector then keeps the nearest of all its lists, old and new, under the
+    same ratios and numbers as in a flat index. What is still long after two rounds (equal distances everywhere, say) is
+    read in blocks.
+    """
+    parts = s.split // 2
+    for round_ in (1, 2):
+        sizes = probes.groupBy("list").agg(F.count("*").alias("n"), F.count_if("member").alias("m")).where(F.col("n") > s.split)
+        k = F.least(F.lit(max(2, min(s.lists, s.sample_most // s.sample))), F.ceil(F.col("m") / s.per_list)).cast("int")
+        long = scratch.cut(sizes.select("list", "n", F.greatest(k, F.lit(2)).alias("k"), "m"), "long")
+        if long.isEmpty():
+            return probes
+        inside = scratch.cut(probes.join(long, "list").join(classes.select("cid", "v"), "cid"), "inside")
+        chance = F.least(F.lit(1.0), F.col("k") * s.sample * 1.1 / F.greatest("m", F.lit(1)))
+        sample = inside.where(F.col("member") & (F.pmod(F.xxhash64(F.lit("split"), "cid"), F.lit(1_000_000)) < chance * 1_000_000 + 1))
+        centres = scratch.cut(sample.select("list", "cid", "v", "k").groupBy("list").applyInArrow(_fit_list(dims, s), "list bigint, sub int, centre binary"), "centres")
+        salts = F.ceil(F.col("n") / parts).cast("int")
+        salted = inside.select("list", F.pmod(F.xxhash64(F.lit("salt"), "cid"), salts).cast("int").alias("salt"), "cid", "v")
+        spread = centres.join(long.select("list", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")), "list").select("list", "salt", "sub", "centre")
+        new = salted.groupBy("list", "salt").cogroup(spread.groupBy("list", "salt")).applyInArrow(_assign_list(dims, s, round_), "list bigint, cid bigint, d float")
+        kept = probes.join(long.select("list"), "list", "left_anti").select("list", "cid", "d")
+        w = W.partitionBy("cid").orderBy("d", "list")
+        ranked = kept.unionByName(new).withColumn("_r", F.row_number().over(w)).withColumn("_d", F.min("d").over(W.partitionBy("cid"))).where(F.col("_r") <= s.probes)
+        put = (F.col("d") <= F.col("_d") * s.replica_ratio + 1e-6) & (F.col("_r") <= s.replicas)
+        near = ranked.where(F.col("d") <= F.col("_d") * s.probe_ratio + 1e-6)
+        probes = scratch.cut(near.select("list", "cid", put.alias("member"), "d"), "probes")
+    return probes
 
 
 def blocks_of(probes: DataFrame, block: int) -> DataFrame:
@@ -268,6 +343,7 @@ def scan_block(dims: int, k: int, floor: float):
 def nearest_classes(classes: DataFrame, scratch: Scratch, dims: int, k: int, floor: float, s: Settings) -> DataFrame:
     """``(q, c, sim)``: for every distinct vector the k most similar other ones found, with cosine of at least floor."""
     probes = scratch.cut(probe(classes, fit_index(classes, dims, s), dims, s), "probes")
+    probes = split_lists(probes, classes, scratch, dims, s)
     cells = blocks_of(probes, s.block).join(classes.select("cid", "v").hint("shuffle_hash"), "cid")  # vectors are copied here only
     found = cells.groupBy("list", "mb", "qb").applyInArrow(scan_block(dims, k, floor), "q bigint, c bigint, sim double")
     best = found.groupBy("q", "c").agg(F.max("sim").alias("sim"))  # the same pair from several lists
@@ -281,7 +357,8 @@ def similar_pairs(df: DataFrame, key: str, group: str, vec: str, k: int = 5, flo
 
     Vectors that are null, of another length, not finite or all zero take no part, nor do null keys or groups; repeated
     keys count once; other columns are ignored. Equal vectors under different keys are one class in the index and come
-    back as all the pairs asked for, at most k for each of them. Approximate across classes: see ``Settings``.
+    back as all the pairs asked for, at most k for each of them. Approximate across classes: see ``Settings``. There may
+    be at most 1,000 groups (each has an index); more are an error.
     """
     scratch = Scratch(df.sparkSession, "vectors")
     s = settings or Settings()

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from strataloom.llm.language import Fit, Layout, Tagger, fit_model, form, label_language, tag_documents, train
+from strataloom.llm.language import Fit, Layout, Tagger, fit_model, form, label_language, tag_documents, tag_words, train
 
 WORDS = {
     "en": "the cache is full and we should not keep the old file because nobody reads this table with these names".split(),
@@ -49,6 +49,30 @@ def test_held_out_lines(spark):
     assert right >= 0.98 * len(truth) and len(set(got) - set(truth)) <= 0.01 * len(truth)
 
 
+def test_lines_that_switch(spark):
+    """Words of lines in two languages, with code between: by word, on held-out lines."""
+    rows, _ = corpus(400, 1)
+    model = fit_model(spark.createDataFrame(rows, "k int, t string, label string"), "k", "t", "label", Fit(documents=200, lines=500))
+    rng, held, truth = random.Random(4), [], {}
+    for k in range(300):
+        a, b = rng.sample(list(WORDS), 2)
+        parts = [(a, rng.sample(WORDS[a], rng.randint(5, 9))), (b, rng.sample(WORDS[b], rng.randint(4, 8)))] + ([(a, rng.sample(WORDS[a], rng.randint(4, 7)))] if k % 2 else [])
+        words = [(l, w) for l, ws in parts for w in ws]
+        if k % 3 == 0:
+            words.insert(len(parts[0][1]), (None, "pkg/a/b.go:12:3"))
+        truth |= {(k, 2, i): l for i, (l, _) in enumerate(words, 1) if l}
+        held.append((k, "\n" + " ".join(w for _, w in words) + ".\n}"))
+    df = spark.createDataFrame(held, "k int, t string")
+    got = {}
+    for r in tag_words(df, "k", "t", model).collect():
+        assert 0 < r["confidence"] <= 1 and r["first_word"] <= r["last_word"]
+        got |= {(r["k"], r["line_no"], i): r["lang"] for i in range(r["first_word"], r["last_word"] + 1)}
+    right = sum(got.get(x) == l for x, l in truth.items())
+    assert right >= 0.95 * len(truth), right / len(truth)
+    none = spark.createDataFrame([(1, None), (2, ""), (3, " \n"), (None, "```\n}")], "k int, line_no string")
+    assert tag_words(none, "k", "line_no", model).count() == 0 == tag_words(df.limit(0), "k", "t", model).count()
+
+
 def test_dirt(spark):
     rows, _ = corpus(150, 3)
     model = train([(t, l) for _, t, l in rows], Fit(lines=200))

@@ -6,8 +6,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from strataloom.llm.mixing import mix_sources
-from strataloom.llm.packing import BestFit, pack_documents, pack_partition
+from strataloom.llm.packing import BestFit, pack, pack_documents, pack_partition
 from strataloom.llm.tokens import VOCABULARY, encoding, token_counts
+from strataloom.runtime import Scratch
 
 pytestmark = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary here")
 
@@ -58,6 +59,30 @@ def test_pack_documents(spark):
         pack_documents(docs, "doc_id", "text", caps.where("cap is null"), "cap")
 
 
+def packed(spark, sizes, each):
+    items = spark.createDataFrame(list(enumerate(sizes)), "item bigint, size bigint")
+    got = pack(items, Scratch(spark, "test"), 100, len(sizes), each).collect()
+    assert sorted(r["item"] for r in got) == list(range(len(sizes)))
+    loads = {}
+    for r in got:
+        loads.setdefault(r["bin"], [r["load"], 0])[1] += sizes[r["item"]]
+    assert all(a == b <= 100 for a, b in loads.values())
+    return len(loads)
+
+
+def test_every_underfull_bin_is_merged(spark):
+    sizes = [1 + (i * 7919 + i * i) % 97 for i in range(6000)]
+    assert packed(spark, sizes, 500) <= 1.02 * sum(sizes) / 100 + 1  # 12 partitions, each with bins left over
+    # Thousands of underfull bins in every round: most of the larger halves meet a smaller one in a later round only.
+    assert packed(spark, [55] * 5500 + [45] * 5500, 3) <= 1.2 * 5500
+
+
+def test_bins_that_do_not_combine_end_the_rounds(spark):
+    assert packed(spark, [51] * 5000, 500) == 5000
+    assert packed(spark, [51] * 30, 500) == 30
+    assert packed(spark, [100] * 40, 7) == 40
+
+
 def test_mix(spark):
     rows = [(i, f"text number {i} " * (1 + i % 9), ["Main-Feed", "main_feed ", "MAIN_FEED"][i % 3], 0) for i in range(600)]
     rows += [(1000 + i, "small one " * 3, "small", 0) for i in range(5)] + [(2000 + i, "other text here", "other", 0) for i in range(100)]
@@ -78,5 +103,11 @@ def test_mix(spark):
     by = sorted((r["n_tokens"], r["rate"]) for r in c if r["source"] == "main_feed")
     assert all(len({round(x, 9) for n2, x in by if n2 == n}) == 1 for n, _ in by)  # the rate depends on the size only
     assert abs(sum(r["actual_share"] for r in rep.values()) - 1) < 1e-9
+    exact = docs.where("doc_id between 1000 and 1004 or doc_id >= 2000 and doc_id < 2100")  # the target is just what all repeats give
+    t = {k: sum(len(e(x)) for i, x, s, _ in rows if s == k and i != 3001) for k in ("small", "other")}
+    half = spark.createDataFrame([("small", 4 * t["small"] / (t["small"] + t["other"]), 4), ("other", 0.01, 1)], "source string, target_share double, max_repeats int")
+    assert not any(r["short"] for r in mix_sources(exact, "doc_id", "text", "source", half)[1].collect())
+    less = half.withColumn("max_repeats", half["max_repeats"] - 1)
+    assert {r["source"]: r["short"] for r in mix_sources(exact, "doc_id", "text", "source", less)[1].collect()} == {"small": True, "other": True}
     none = mix_sources(docs.limit(0), "doc_id", "text", "source", targets)
     assert none[0].count() == 0 and none[1].count() == 6

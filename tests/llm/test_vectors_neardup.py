@@ -5,8 +5,9 @@ from fractions import Fraction
 import numpy as np
 
 from strataloom.llm import neardup
-from strataloom.llm.neardup import Tries, all_pairs, candidates, near_duplicates
-from strataloom.llm.vectors import CentroidGraph, Settings, fit_centroids, similar_pairs, unit
+from strataloom.llm.neardup import BUDGET, Tries, all_pairs, candidates, near_duplicates, trie_pairs
+from strataloom.llm.vectors import CentroidGraph, Settings, equal_classes, fit_centroids, fit_index, probe, similar_pairs, split_lists, unit, usable
+from strataloom.runtime import Scratch
 
 
 def brute_pairs(rows, k=5, floor=0.85):
@@ -48,6 +49,23 @@ def test_recall_against_brute_force(spark):
     assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(got)
 
 
+def test_long_lists_are_split(spark):
+    """Four lists a group only: those over the bound are split, twice where need be, and little is lost."""
+    rows = make_vectors(4000)
+    for s in (Settings(per_list=50, lists=4, split=400), Settings(per_list=50, lists=4, split=300, sample=100, sample_most=400)):
+        got, want = run(spark, rows, settings=s), brute_pairs(rows)
+        assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.05 * len(got)
+    df = spark.createDataFrame(rows, "id bigint, ch string, vec array<float>")
+    scratch = Scratch(spark, "test")
+    classes = scratch.cut(equal_classes(usable(df, "id", "ch", "vec", 64), 5), "classes")
+    s = Settings(per_list=50, lists=4, split=400)
+    flat = scratch.cut(probe(classes, fit_index(classes, 64, s), 64, s), "probes")
+    split = split_lists(flat, classes, scratch, 64, s)
+    longest = lambda p: p.groupBy("list").count().agg({"count": "max"}).first()[0]
+    assert longest(flat) > 1000 and longest(split) < longest(flat) / 2
+    assert split.where("member").select("cid").distinct().count() == classes.count()  # every vector is in some list
+
+
 def test_recall_query(spark, data):
     from strataloom.llm.queries import p5_recall
 
@@ -134,6 +152,8 @@ def test_hot_keys_are_cut_into_parts(spark, monkeypatch):
     monkeypatch.setattr(neardup, "SAMPLE", 4)
     df = spark.createDataFrame(rows, "id bigint, body string, version int")
     _, links = near_duplicates(df, "id", "body", "version")
+    alone = {(r["class_a"], r["class_b"]): r["bits"] for r in trie_pairs(df, "id", "body", "version").collect()}
+    assert {(r["class_a"], r["class_b"]) for r in links.collect()} <= set(alone) and all(0 <= b <= BUDGET for b in alone.values())
     whole = {tuple(r) for r in links.select("class_a", "class_b").collect()}
     real = candidates
     monkeypatch.setattr(neardup, "candidates", lambda reps: real(reps, part=40))
