@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from strataloom.frontends.syntax import Func, Node
+from strataloom.frontends.syntax import Func, Node, walk
 
 MAX_STATES = 32
 
@@ -170,7 +170,7 @@ def written(nodes: list[Node]) -> set[str]:
 def decided(f: Func) -> list[tuple[int, str, str]]:
     """Findings: conditions that are always true or always false where they stand, and operands of them that are."""
     out: list[tuple[int, str, str]] = []
-    if any(n.head[:1] == ["goto"] for n in f.body):
+    if any(n.head[:1] == ["goto"] for n, _, _, _ in walk(f.body)):
         return out
 
     def run(nodes: list[Node], states: list[dict]) -> list[dict]:

@@ -140,15 +140,17 @@ def wrappers(u: Unit) -> Iterator[Finding]:
 def sizes(u: Unit) -> Iterator[Finding]:
     if u.lines > FILE_LINES:
         yield 1, "oversized_owner_file", f"{u.lines} lines"
-    passed = Counter(t for n, _, _, _ in walk(u.top) for t in n.head)
+    passed, calls = Counter(), set()
+    for n, _, _, _ in walk(u.top):
+        passed.update(n.head)
+        calls |= {a for a, b in zip(n.head, n.head[1:], strict=False) if b == "("}
     for f in u.funcs:
         count = statements(f.body)
         if count > STATEMENTS:
             top = sorted(((statements([n]), -i, n) for i, n in enumerate(f.body)), key=lambda x: (-x[0], -x[1]))[:3]
             largest = ", ".join(f"{c} at line {n.line}" for c, _, n in top if c > 1)
             yield f.line, "long_function", f"{f.name} has {count} statements; largest: {largest}"
-        called = any(n.head[i : i + 2] == [f.name, "("] for n, _, _, _ in walk(u.top) for i in range(len(n.head)))
-        callback = u.lang != "go" and passed[f.name] > 1 and not called
+        callback = u.lang != "go" and passed[f.name] > 1 and f.name not in calls
         if len(f.params) > PARAMS and not callback:
             yield f.line, "long_param_list", f"{f.name} has {len(f.params)} parameters"
         if len(f.results) > RESULTS:

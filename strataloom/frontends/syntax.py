@@ -118,6 +118,13 @@ class Braces:
                 self.i += 1
         return self.t[self.i]
 
+    def ahead(self) -> Token:
+        """The next token that is no line end."""
+        i = self.i
+        while self.t[i].kind == "nl":
+            i += 1
+        return self.t[i]
+
     def block(self) -> tuple[list[Node], int]:
         """Statements up to the closing brace; the opening one was read."""
         out = []
@@ -159,7 +166,7 @@ class Braces:
                 if t.text == "}" or t.text == ";" and not stop_at_brace:
                     return out
                 if t.kind == "nl" and out:
-                    nxt = next(x for x in self.t[self.i :] if x.kind != "nl")
+                    nxt = self.ahead()
                     if not stop_at_brace and (self.lang == "go" and out[-1] not in CONTINUES or self.lang != "go" and out[-1] not in CONTINUES and nxt.text not in (".", "?", ":", "&&", "||", "+", "??")):
                         return out
             self.i += 1

@@ -69,10 +69,16 @@ def facts_match(cached: DataFrame, current: DataFrame, owner: str, keys: list[st
     return cached.join(c, keys, "left").groupBy(owner).agg(F.bool_and(F.col(value).eqNullSafe(F.col("_now"))).alias("holds"))
 
 
+def _row(columns: list[str]) -> Column:
+    """MD5 of a row: every value behind its length in characters, nulls as a mark of their own, so no two rows share a text."""
+    text = [F.col(c).cast("string") for c in columns]
+    return F.md5(F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text]))
+
+
 def digest(df: DataFrame, columns: list[str], group: list[str]) -> DataFrame:
     """``(group..., digest, rows)``: SHA-256 of order-free sums of row hashes and the number of rows. Equal multisets of
     rows have equal digests; no rows are gathered, so a group may be of any size."""
-    row = F.md5(F.concat_ws("\x01", *[F.coalesce(F.col(c).cast("string"), F.lit("\x02")) for c in columns]))
+    row = _row(columns)
     half = lambda a: F.conv(F.substring(row, a, 15), 16, 10).cast("decimal(38,0)")
     b = df.groupBy(*group).agg(F.sum(half(1)).alias("_x"), F.sum(half(16)).alias("_y"), F.count("*").alias("rows"))
     text = F.concat_ws(":", F.col("_x").cast("string"), F.col("_y").cast("string"), F.col("rows").cast("string"))
@@ -82,7 +88,7 @@ def digest(df: DataFrame, columns: list[str], group: list[str]) -> DataFrame:
 def table_digest(df: DataFrame, columns: list[str], buckets: int = 256) -> DataFrame:
     """One row ``(digest, rows)`` over a table of any size: SHA-256 of the digests of hash buckets, each of which is an
     order-free sum of its rows' 128-bit MD5 halves. Equal multisets of rows have equal digests."""
-    row = F.md5(F.concat_ws("\x01", *[F.coalesce(F.col(c).cast("string"), F.lit("\x02")) for c in columns]))
+    row = _row(columns)
     half = lambda a: F.conv(F.substring(row, a, 15), 16, 10).cast("decimal(38,0)")
     b = df.groupBy(F.conv(F.substring(row, 31, 2), 16, 10).cast("int").alias("b")).agg(F.sum(half(1)).alias("x"), F.sum(half(16)).alias("y"), F.count("*").alias("n"))
     text = F.concat_ws(":", F.col("b").cast("string"), F.col("x").cast("string"), F.col("y").cast("string"), F.col("n").cast("string"))

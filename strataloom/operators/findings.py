@@ -79,14 +79,24 @@ def close_pairs(items: DataFrame, within: list[str], item: str, calls: str, line
     """``(within..., a, b, n)``, a < b: items of one file that share enough calls.
 
     At least min(shared, either's number of calls) and overlap times the larger number, and no more than most_lines
-    together. Pairs are counted through the calls they share, so items without a common call never meet.
+    together. Items meet by their rarest calls only: of n calls at least ceil(overlap * n) must be shared, so with all
+    calls in one order, the rarest first, two such items agree in one of their first n - ceil(overlap * n) + 1. A call
+    that every item makes is met by it only where an item has few others. The calls of those that met are then compared
+    whole.
     """
-    sized = items.withColumn("_n", F.size(F.array_distinct(calls))).where("_n > 0")
-    one = sized.select(*within, F.col(item).alias("i"), F.col("_n").alias("n"), F.col(lines).alias("l"), F.explode(F.array_distinct(calls)).alias("call"))
-    other = one.select(*within, F.col("i").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), "call")
-    met = one.select(*within, F.col("i").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"), "call").join(other, [*within, "call"]).where("a < b")
-    n = met.groupBy(*within, "a", "b", "na", "nb", "la", "lb").agg(F.count("*").alias("n"))
-    return n.where((F.col("n") >= F.least(F.lit(shared), "na", "nb")) & (F.col("n") >= overlap * F.greatest("na", "nb")) & (F.col("la") + F.col("lb") <= most_lines)).select(*within, "a", "b", "n")
+    one = items.select(*within, F.col(item).alias("i"), F.col(lines).alias("l"), F.array_distinct(F.filter(calls, lambda c: c.isNotNull())).alias("c")).where(F.size("c") > 0)
+    each = one.select(*within, "i", F.explode("c").alias("call"))
+    often = each.groupBy(*within, "call").agg(F.count("*").alias("n")).where("n > 1")  # a call of one item joins nothing
+    first = each.join(often, [*within, "call"]).groupBy(*within, "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "call"))), lambda x: x["call"]).alias("rare"))
+    # The calls of one item only are the rarest: they take up the first places without meeting anyone.
+    n = F.size("c")
+    places = n - F.ceil(overlap * n - 1e-9).cast("int") + 1 - (n - F.size("rare"))
+    probe = one.join(first, [*within, "i"]).where(places > 0).select(*within, "i", F.explode(F.slice("rare", F.lit(1), places)).alias("call"))
+    met = probe.withColumnRenamed("i", "a").join(probe.withColumnRenamed("i", "b"), [*within, "call"]).where("a < b").select(*within, "a", "b").distinct()
+    side = lambda s: one.select(*within, F.col("i").alias(s), F.col("c").alias(f"c{s}"), F.col("l").alias(f"l{s}"))
+    both = met.join(side("a"), [*within, "a"]).join(side("b"), [*within, "b"]).withColumn("n", F.size(F.array_intersect("ca", "cb")))
+    na, nb = F.size("ca"), F.size("cb")
+    return both.where((F.col("n") >= F.least(F.lit(shared), na, nb)) & (F.col("n") >= overlap * F.greatest(na, nb)) & (F.col("la") + F.col("lb") <= most_lines)).select(*within, "a", "b", F.col("n").cast("bigint").alias("n"))
 
 
 def report(findings: DataFrame, rules: DataFrame | None = None) -> DataFrame:
@@ -104,10 +114,20 @@ def report(findings: DataFrame, rules: DataFrame | None = None) -> DataFrame:
 
 
 def as_json(findings: DataFrame, rules: DataFrame) -> DataFrame:
-    """One row with one JSON text: the findings in order and the rules they name. For reports, which people read."""
-    one = F.struct(F.concat_ws(":", "file", F.col("line").cast("string"), F.col("col").cast("string")).alias("position"), "kind", "message")
-    issues = findings.agg(F.transform(F.array_sort(F.collect_list(F.struct("file", "line", "col", "message", one.alias("o")))), lambda r: r["o"]).alias("issues"))
-    named = rules.join(findings.select("kind").distinct(), "kind", "left_semi")
-    dim = named.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", F.struct("finds", "fix").alias("r"))))).alias("rules"))
-    return issues.join(F.broadcast(dim)).select(F.to_json(F.struct("issues", "rules")).alias("json"))
+    """``(place, text)``: the lines, in order, of one JSON document: the findings in order and the rules they name.
 
+    A line a finding, so that a document of any size is written by range partitions and its parts joined. Places come from
+    running counts; the rules are a line a rule.
+    """
+    f = findings.select("file", "line", "col", "kind", "message", F.lit(1).alias("one"), F.lit(1).alias("all"))
+    order = [F.col(c) for c in ("file", "line", "col", "message")]
+    placed = running_total(f, Scratch(findings.sparkSession, "json"), ["all"], order, "one", "before")
+    issue = F.to_json(F.struct(F.concat_ws(":", "file", F.col("line").cast("string"), F.col("col").cast("string")).alias("position"), "kind", "message"))
+    named = rules.join(findings.select("kind").distinct(), "kind", "left_semi").select("kind", F.to_json(F.struct("finds", "fix")).alias("r"), F.lit(1).alias("one"), F.lit(1).alias("all"))
+    ruled = running_total(named, Scratch(findings.sparkSession, "json"), ["all"], [F.col("kind")], "one", "before")
+    comma = F.when(F.col("before") > 0, ",").otherwise("")
+    n = findings.agg(F.count("*").alias("n"), F.countDistinct("kind").alias("k"))
+    issues = placed.select((F.col("before") + 1).alias("place"), F.concat(comma, issue).alias("text"))
+    after = ruled.join(F.broadcast(n)).select((F.col("n") + 2 + F.col("before")).alias("place"), F.concat(comma, F.concat(F.lit('"'), F.col("kind"), F.lit('":')), F.col("r")).alias("text"))
+    frame = n.select(F.explode(F.array(*[F.struct(at.cast("bigint").alias("place"), F.lit(t).alias("text")) for at, t in ((F.lit(0), '{"issues":['), (F.col("n") + 1, '],"rules":{'), (F.col("n") + F.col("k") + 2, "}}"))])).alias("x")).select("x.*")
+    return frame.unionByName(issues).unionByName(after)

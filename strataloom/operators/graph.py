@@ -6,10 +6,10 @@ of any hashable, orderable type. Null ends are dropped, repeated edges count onc
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from strataloom.operators.ordering import running_total
 from strataloom.runtime import Scratch
 
 ROUNDS = 10_000
@@ -30,9 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
     them, until each hangs on the least vertex of its component.
     """
     scratch = Scratch(edges.sparkSession, "components")
-    start = clean(edges)
-    every = scratch.cut(vertices(start), "vertices")
-    now = scratch.cut(start.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct(), "edges")
+    every = scratch.cut(vertices(clean(edges)), "vertices")
+    now = scratch.cut(clean(edges).where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct(), "edges")
     mark = None
     for _ in range(ROUNDS):
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -42,13 +41,12 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("x"), "a", "m")
         new = small.select(F.col("x").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        new = scratch.cut(new, "small")
-        seen = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
+        seen = Observation()  # measured while the table is written
+        new = scratch.cut(new.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("h")), "small")
         scratch.drop(large, now)
-        now = new
-        if seen == mark:
+        now, last, mark = new, mark, (seen.get["n"], seen.get["h"])
+        if mark == last or not mark[0]:
             break
-        mark = seen
     else:
         raise RuntimeError("no fixed point")
     return every.join(now.select(F.col("a").alias("v"), "b"), "v", "left").select("v", F.coalesce("b", "v").alias("component"))
@@ -241,12 +239,13 @@ def totals_through(parts: DataFrame, own: DataFrame, rounds: int = ROUNDS) -> Da
 def ancestors(nodes: DataFrame, node: str, start: str, end: str, within: list[str]) -> DataFrame:
     """``(within..., node, depth)``: how many nodes of the same tree enclose each one, from nested-set bounds.
 
-    Enclosing intervals are those opened and not yet closed: a running count over opens and closes, no interval join.
+    Enclosing intervals are those opened and not yet closed: a running count over opens and closes, no interval join. It is
+    taken over range partitions, so a tree may hold any share of the nodes.
     """
     at = F.explode(F.array(F.struct(F.col(start).alias("p"), F.lit(1).alias("d"), (-F.col(end)).alias("o")), F.struct(F.col(end).alias("p"), F.lit(-1).alias("d"), (-F.col(start)).alias("o"))))
     marks = nodes.select(*within, node, at.alias("x")).select(*within, node, "x.*")
-    w = W.partitionBy(*within).orderBy("p", F.col("d").desc(), "o", node).rowsBetween(W.unboundedPreceding, -1)
-    return marks.withColumn("depth", F.coalesce(F.sum("d").over(w), F.lit(0))).where("d = 1").select(*within, node, F.col("depth").cast("int").alias("depth"))
+    counted = running_total(marks, Scratch(nodes.sparkSession, "ancestors"), within, [F.col("p"), F.col("d").desc(), F.col("o"), F.col(node)], "d", "depth")
+    return counted.where("d = 1").select(*within, node, F.col("depth").cast("int").alias("depth"))
 
 
 def first_of_group(matches: DataFrame, left: str, right: str, labels: DataFrame, keep: list[Column]) -> DataFrame:

@@ -19,6 +19,8 @@ from strataloom.runtime import Scratch
 #: Most items and bytes of an embedding call, and most records, bytes and padding a record of a prompt (fixed values).
 EMBED_ITEMS, EMBED_BYTES = 128, 64_000
 PROMPT_RECORDS, PROMPT_BYTES, PADDING, ATTEMPTS = 16, 64_000, 32, 2
+#: Requests that one task packs into prompts.
+LANE = 20_000
 
 
 class Embedder(Protocol):
@@ -125,9 +127,10 @@ def balanced(sizes: list[int], most: int = PROMPT_RECORDS, most_bytes: int = PRO
     return out
 
 
-def balanced_batches(df: DataFrame, key: str, size: str, lanes: int = 8) -> DataFrame:
-    """``(lane, batch, key, size)``: prompt batches within the caps. Rows are dealt to lanes by hash; a lane packs its own
-    rows longest first, so no task sees more than its share."""
+def balanced_batches(df: DataFrame, key: str, size: str, per_lane: int = LANE) -> DataFrame:
+    """``(lane, batch, key, size)``: prompt batches within the caps. Rows are dealt by hash to as many lanes as their number
+    asks for; a lane packs its own rows longest first, so no task sees more than about ``per_lane`` of them."""
+    lanes = max(1, -(-df.count() // per_lane))
     rows = df.select(F.pmod(F.xxhash64(key), F.lit(lanes)).cast("int").alias("lane"), key, F.col(size).cast("bigint").alias("size"))
     schema = T.StructType([T.StructField("lane", T.IntegerType()), T.StructField("batch", T.IntegerType()), rows.schema[key], T.StructField("size", T.LongType())])
 

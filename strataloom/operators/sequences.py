@@ -93,10 +93,12 @@ def cut_at_caps(df: DataFrame, group: list[str], order: list[str], size: str, mo
     return rows.repartition("_key").sortWithinPartitions("_key", *order).mapInArrow(run, schema).drop("_key")
 
 
-def running_batches(df: DataFrame, order: list[str], size: str, most_items: int, most_size: int, lanes: int = 8) -> DataFrame:
+def running_batches(df: DataFrame, order: list[str], size: str, most_items: int, most_size: int, per_lane: int = 100_000) -> DataFrame:
     """Length-ordered batches within count and size caps: ``lane`` and ``unit`` name a batch.
 
-    Rows are dealt into lanes by size range, so a batch holds rows of like size; each lane is cut on its own.
+    Rows are dealt into ranges by size, as many as their number asks for, so a batch holds rows of like size; each lane is
+    cut on its own.
     """
+    lanes = max(1, -(-df.count() // per_lane))
     ranged = df.repartitionByRange(lanes, *order).withColumn("lane", F.spark_partition_id())
     return cut_at_caps(ranged, ["lane"], order, size, most_items, most_size)

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from strataloom.functions.paths import locality_tier
 from strataloom.functions.text import directory
+from strataloom.runtime import Scratch
 
 
 @dataclass(frozen=True)
@@ -156,7 +157,7 @@ def _scan(dims: int, source_floor: float, description_floor: float):
     return run
 
 
-def similar_blocks(units: DataFrame, vectors: DataFrame, gates: Gates, dims: int = 64, digits: int = 6, part: int = 512) -> DataFrame:
+def similar_blocks(units: DataFrame, vectors: DataFrame, gates: Gates, dims: int = 64, digits: int = 6, part: int = 512, most_part: int = 8192) -> DataFrame:
     """Pairs of blocks within tier 2, of one language and repository, that pass the gate of either channel.
 
     units: (id, path, dir, lang, repo, is_test, changed), one row a block; pairs with neither side changed are left out.
@@ -164,18 +165,23 @@ def similar_blocks(units: DataFrame, vectors: DataFrame, gates: Gates, dims: int
     vectors of either side; it starts at 0, and the first pair of pieces that reaches it is named. Scores are rounded
     before they are compared. Result: (left, right, tier, embedding, left_chunk, right_chunk, description).
     """
+    scratch = Scratch(units.sparkSession, "blocks")
     kinds = vectors.groupBy("id").pivot("channel", ["source", "description"]).agg(F.first("m"))
-    u = units.join(kinds, "id").where("path is not null and dir is not null and lang is not null and repo is not null")
+    u = scratch.cut(units.join(kinds, "id").where("path is not null and dir is not null and lang is not null and repo is not null"), "units")
     keys = F.array_distinct(F.array(F.col("dir"), F.when(F.col("dir") == "", "").otherwise(directory(F.col("dir")))))
-    rows = u.select("*", F.explode(keys).alias("key"))
-    held = F.sum(F.coalesce(F.octet_length("source"), F.lit(0)) + F.coalesce(F.octet_length("description"), F.lit(0))) / (8 * dims)
-    parts = F.greatest(F.ceil(F.col("n") / part), F.ceil(F.col("held") / (32 * part)))  # by blocks, and by vectors where blocks have many
-    sizes = rows.groupBy("repo", "lang", "key").agg(F.count("*").alias("n"), held.alias("held")).where("n > 1").select("repo", "lang", "key", F.least(parts, "n").cast("int").alias("parts"))
-    rows = rows.join(sizes, ["repo", "lang", "key"])
+    held = F.coalesce(F.octet_length("source"), F.lit(0)) + F.coalesce(F.octet_length("description"), F.lit(0))
+    rows = u.select("id", "dir", "repo", "lang", "is_test", "changed", held.alias("held"), F.explode(keys).alias("key"))
+    # A cell holds ``part`` blocks a side; in very large directories more, as every block is sent to as many cells as there
+    # are parts. Where blocks have many vectors, parts go by these.
+    sizes = rows.groupBy("repo", "lang", "key").agg(F.count("*").alias("n"), (F.sum("held") / (8 * dims)).alias("held")).where("n > 1")
+    share = F.least(F.greatest(F.col("n") / 16, F.lit(part)), F.lit(most_part))
+    parts = F.greatest(F.ceil(F.col("n") / share), F.ceil(F.col("held") / (32 * share)))
+    sizes = sizes.select("repo", "lang", "key", F.least(parts, "n").cast("int").alias("parts"))
     slack = 10.0**-digits  # rounding comes after
     own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     cell = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(own, o).alias("x"), F.greatest(own, o).alias("y"), F.when(own == o, 3).when(own < o, 1).otherwise(2).alias("role"))))
-    rows = rows.select("repo", "lang", "key", "id", "dir", "is_test", "changed", "source", "description", cell.alias("c")).select("*", "c.x", "c.y", "c.role").drop("c")
+    cells = rows.drop("held").join(sizes, ["repo", "lang", "key"]).select("repo", "lang", "key", "id", "dir", "is_test", "changed", cell.alias("c")).select("*", "c.x", "c.y", "c.role").drop("c")
+    rows = cells.join(u.select("id", "source", "description").hint("shuffle_hash"), "id")  # vectors are copied here only
     found = rows.groupBy("repo", "lang", "key", "x", "y").applyInArrow(_scan(dims, min(gates.source) + gates.shift - slack, min(gates.description) + gates.shift - slack), "left string, right string, embedding double, left_chunk int, right_chunk int, description double")
     side = lambda s: u.select(F.col("id").alias(s), F.struct("path", "dir", "is_test").alias(f"_{s}"))
     both = found.join(side("left"), "left").join(side("right"), "right")

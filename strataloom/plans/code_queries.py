@@ -10,21 +10,11 @@ from strataloom.frontends import scan as C
 from strataloom.functions.text import line_count
 from strataloom.operators import chunks, clones, graph, sequences
 from strataloom.operators import findings as R
+from strataloom.plans.registry import registrar
 from strataloom.plans.text_queries import BLOCKS_SQL, blocks
 from strataloom.runtime import Scratch, table
 
-SQL: dict[str, str] = {}
-QUERIES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registrar()
 
 
 def _code(spark: SparkSession, d: str) -> DataFrame:
@@ -52,7 +42,7 @@ def code_functions(spark: SparkSession, d: str) -> DataFrame:
 def behaviour_clones(spark: SparkSession, d: str) -> DataFrame:
     """Functions that do the same as another one, whatever their names; each tied to one source."""
     f = C.functions(_code(spark, d), ["block_id", "package_dir", "repo", "relative_path"], "content", "lang").where("statements >= 3")
-    f = f.dropna(subset=["package_dir", "repo", "relative_path"])
+    f = Scratch(spark, "functions").cut(f.dropna(subset=["package_dir", "repo", "relative_path"]), "functions")  # parsed once
     often = clones.repeated_only(f, "digest")
     return clones.clone_sources(often, "digest", "package_dir", "line", "end_line", ["repo", "relative_path", "block_id"], ["name", "effects"]).select("block_id", "name", "source_block_id", "effects")
 
@@ -142,9 +132,9 @@ def single_use_functions(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def test_units(spark: SparkSession, d: str) -> DataFrame:
     """Close tests of a package as units: connected, cut at 8 tests or 400 lines, worth merging."""
-    t = _code(spark, d).where("is_test and content is not null and package_dir is not null")
-    t = t.select("package_dir", "block_id", "line", F.size(F.split("content", "\n")).alias("lines"), F.regexp_extract_all("content", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\("), F.lit(1)).alias("calls"))
-    pairs = R.close_pairs(t, ["package_dir"], "block_id", "calls", "lines", overlap=0.2)
+    t = _code(spark, d).where("is_test and content is not null and package_dir is not null and repo is not null")
+    t = t.select("repo", "package_dir", "block_id", "line", F.size(F.split("content", "\n")).alias("lines"), F.regexp_extract_all("content", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)\("), F.lit(1)).alias("calls"))
+    pairs = R.close_pairs(t, ["repo", "package_dir"], "block_id", "calls", "lines", overlap=0.2)
     groups = graph.components(pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("v").alias("block_id"), "component")
     units = sequences.cut_at_caps(groups.join(t.drop("calls"), "block_id"), ["component"], ["line", "block_id"], "lines", 8, 400)
     u = units.groupBy("component", "unit").agg(F.count("*").alias("tests"), F.sum("lines").alias("lines"))

@@ -7,22 +7,12 @@ from pyspark.sql import functions as F
 
 from strataloom.functions.paths import canonical_identity
 from strataloom.operators import graph as G
+from strataloom.plans.registry import registrar
 from strataloom.plans.sql_text import CANONICAL_IDENTITY
 from strataloom.plans.text_queries import BLOCKS_SQL, blocks
 from strataloom.runtime import table
 
-SQL: dict[str, str] = {}
-QUERIES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registrar()
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:

@@ -12,22 +12,12 @@ from strataloom.operators import deltas as D
 from strataloom.operators import findings as R
 from strataloom.operators.incremental import baselines, successful_runs
 from strataloom.operators.ordering import keep_best, running_total
+from strataloom.plans.registry import registrar
 from strataloom.plans.sql_text import CANONICAL_IDENTITY, CANONICAL_PATH
 from strataloom.plans.text_queries import BLOCKS_SQL, blocks
 from strataloom.runtime import Scratch, table
 
-SQL: dict[str, str] = {}
-QUERIES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registrar()
 
 
 # Clones.
@@ -137,8 +127,15 @@ def findings_by_kind(spark: SparkSession, d: str) -> DataFrame:
     return R.report(findings(spark, d))
 
 
-@query()
+@query(
+    f"""with {_F}, k as (select kind, row_number() over (order by kind) r from (select distinct kind from f)), n as (select count(*) n, count(distinct kind) k from f),
+    p as (select *, row_number() over (order by file, line, col, message) r from f)
+    select 0 place, '{{"issues":[' as text union all select n + 1, '],"rules":{{' from n union all select n + k + 2, '}}}}' from n
+    union all select r, case when r > 1 then ',' else '' end || to_json({{'position': file || ':' || line || ':' || col, 'kind': kind, 'message': message}})::varchar from p
+    union all select n + 1 + r, case when r > 1 then ',' else '' end || '"' || kind || '":' || to_json({{'finds': 'lines with ' || kind, 'fix': 'see the guide'}})::varchar from k, n"""
+)
 def findings_json(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of one JSON document with all findings and the rules they name."""
     f = findings(spark, d)
     rules = f.select("kind").distinct().withColumn("finds", F.concat(F.lit("lines with "), "kind")).withColumn("fix", F.lit("see the guide"))
     return R.as_json(f, rules)
@@ -209,15 +206,15 @@ _CALLS = r"([A-Za-z_][A-Za-z0-9_]*)\("
 
 
 @query(
-    f"""with t as (select block_id, package_dir, len(string_split(body, chr(10))) l, list_distinct(regexp_extract_all(body, '{_CALLS}', 1)) c from {BLOCKS_SQL} where is_test and body is not null and package_dir is not null)
-    select a.package_dir, a.block_id a, b.block_id b, len(list_intersect(a.c, b.c))::bigint n from t a join t b on a.package_dir = b.package_dir and a.block_id < b.block_id
+    f"""with t as (select block_id, repo, package_dir, len(string_split(body, chr(10))) l, list_distinct(regexp_extract_all(body, '{_CALLS}', 1)) c from {BLOCKS_SQL} where is_test and body is not null and package_dir is not null and repo is not null)
+    select a.repo, a.package_dir, a.block_id a, b.block_id b, len(list_intersect(a.c, b.c))::bigint n from t a join t b on a.package_dir = b.package_dir and a.repo = b.repo and a.block_id < b.block_id
     where len(list_intersect(a.c, b.c)) > 0 and len(list_intersect(a.c, b.c)) >= least(2, len(a.c), len(b.c)) and len(list_intersect(a.c, b.c)) >= 0.4 * greatest(len(a.c), len(b.c)) and a.l + b.l <= 400"""
 )
 def close_tests(spark: SparkSession, d: str) -> DataFrame:
     """Test blocks of a package that call much the same."""
-    t = blocks(spark, d, "package_dir", "content", "is_test").where("is_test and content is not null and package_dir is not null")
-    t = t.select("block_id", "package_dir", F.size(F.split("content", "\n")).alias("lines"), F.regexp_extract_all("content", F.lit(_CALLS), F.lit(1)).alias("calls"))
-    return R.close_pairs(t, ["package_dir"], "block_id", "calls", "lines")
+    t = blocks(spark, d, "repo", "package_dir", "content", "is_test").where("is_test and content is not null and package_dir is not null and repo is not null")
+    t = t.select("block_id", "repo", "package_dir", F.size(F.split("content", "\n")).alias("lines"), F.regexp_extract_all("content", F.lit(_CALLS), F.lit(1)).alias("calls"))
+    return R.close_pairs(t, ["repo", "package_dir"], "block_id", "calls", "lines")
 
 
 # States.
@@ -328,7 +325,7 @@ def replayable_pairs(spark: SparkSession, d: str) -> DataFrame:
     return D.replayable(p, [("left_identity", "lh"), ("right_identity", "rh")], now, "identity", "h", ["grp"]).select("pair_id").distinct()
 
 
-@query(f"with {_RUN_FILES} select run_id, sha256(sum(('0x' || substr(md5(path || chr(1) || h), 1, 15))::bigint) || ':' || sum(('0x' || substr(md5(path || chr(1) || h), 16, 15))::bigint) || ':' || count(*)) digest, count(*) \"rows\" from s where run_id is not null group by 1")
+@query(f"with {_RUN_FILES} select run_id, sha256(sum(('0x' || substr(md5(length(path) || ':' || path || length(h) || ':' || h), 1, 15))::bigint) || ':' || sum(('0x' || substr(md5(length(path) || ':' || path || length(h) || ':' || h), 16, 15))::bigint) || ':' || count(*)) digest, count(*) \"rows\" from s where run_id is not null group by 1")
 def source_digests(spark: SparkSession, d: str) -> DataFrame:
     """A digest of the files of every run, whatever their order."""
     s = table(spark, d, "source_files").where("run_id is not null and sha256 is not null and file_path is not null").groupBy("run_id", canonical_path(F.col("file_path")).alias("path")).agg(F.max(F.lower("sha256")).alias("h"))
@@ -336,7 +333,7 @@ def source_digests(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """with m as (select md5(concat_ws(chr(1), coalesce(l_orderkey::varchar, chr(2)), coalesce(l_partkey::varchar, chr(2)), coalesce(l_linenumber::varchar, chr(2)), coalesce(l_returnflag, chr(2)))) h from lineitem),
+    """with m as (select md5(coalesce(length(l_orderkey::varchar) || ':' || l_orderkey::varchar, '-') || coalesce(length(l_partkey::varchar) || ':' || l_partkey::varchar, '-') || coalesce(length(l_linenumber::varchar) || ':' || l_linenumber::varchar, '-') || coalesce(length(l_returnflag) || ':' || l_returnflag, '-')) h from lineitem),
     b as (select ('0x' || substr(h, 31, 2))::int b, sum(('0x' || substr(h, 1, 15))::bigint) x, sum(('0x' || substr(h, 16, 15))::bigint) y, count(*) n from m group by 1)
     select sha256(string_agg(t, chr(10) order by t)) digest, sum(n)::bigint \"rows\" from (select b || ':' || x || ':' || y || ':' || n t, n from b)"""
 )

@@ -9,21 +9,11 @@ from pyspark.sql import functions as F
 from strataloom.functions.text import listing
 from strataloom.operators import sequences as S
 from strataloom.operators.ordering import keep_best
+from strataloom.plans.registry import registrar
 from strataloom.plans.text_queries import BLOCKS_SQL, blocks
 from strataloom.runtime import table
 
-SQL: dict[str, str] = {}
-QUERIES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registrar()
 
 
 USER, TIME = ["user_id"], ["ts", "event_id"]

@@ -7,23 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataloom.operators import models as M
+from strataloom.plans.registry import registrar
 from strataloom.plans.text_queries import BLOCKS_SQL, blocks
 from strataloom.runtime import Scratch, table
 from strataloom.sources import files as S
 from strataloom.sources import stores as K
 
-SQL: dict[str, str] = {}
-QUERIES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registrar()
 
 
 @query("select doc_id, source, n_chars from documents where doc_id is not null")

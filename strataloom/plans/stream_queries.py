@@ -7,21 +7,11 @@ from pyspark.sql import functions as F
 
 from strataloom.operators.incremental import CHANGES
 from strataloom.plans.incremental_queries import SQL as INCREMENTAL
+from strataloom.plans.registry import registrar
 from strataloom.runtime import table
 from strataloom.streaming import events as S
 
-SQL: dict[str, str] = {}
-QUERIES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registrar()
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -31,19 +21,10 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
 @query("select time_bucket(interval 6 hour, ts) as start, event_type, count(*) n, round(sum(value), 4) total from events group by all")
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Counts and sums of events in windows of 6 hours, by kind."""
-    w = S.windowed(_events(spark, d), "ts", "6 hours", "40 days", ["event_type"], F.count("*").alias("n"), F.sum("value").alias("total"))
+    w = S.windowed(_events(spark, d), "ts", "6 hours", _span(spark, d), ["event_type"], F.count("*").alias("n"), F.sum("value").alias("total"))
     out = S.scratch_folder(spark, "windows")
-    _complete(w, out)
-    return spark.read.parquet(f"{out}/data").select("start", "event_type", "n", F.round("total", 4).alias("total"))
-
-
-def _complete(w: DataFrame, out: str) -> None:
-    """All windows after each batch, in place of the ones before."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/data")
-
-    w.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    S.updates(w, f"{out}/data", f"{out}/checkpoint")
+    return S.latest(spark, f"{out}/data", ["start", "event_type"]).select("start", "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("select event_id, user_id from events where event_type = 'purchase'")

@@ -8,20 +8,10 @@ from pyspark.sql import functions as F
 from strataloom.functions import paths as P
 from strataloom.functions import text as X
 from strataloom.operators.ordering import keep_best
+from strataloom.plans.registry import registrar
 from strataloom.runtime import table
 
-SQL: dict[str, str] = {}
-QUERIES: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, SQL, query = registrar()
 
 
 #: The latest row of every block, for SQL.

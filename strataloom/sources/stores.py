@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import json
 import struct
+import time
+import uuid
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -107,32 +110,84 @@ class Snapshots:
 
 
 class Entries:
-    """Keyed entries, appended as Parquet with the time they were used; the last one of a key counts."""
+    """Keyed entries, appended as Parquet with the time they were written; the last one of a key counts.
+
+    Times of use lie in a table of their own beside them: every ``get`` notes the keys it found, so that ``prune`` goes by
+    the last use, not by the last write. Both are in the folder of a generation, whose number one small file holds.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    def _fs(self):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        return p, p(self.path).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, name: str) -> str:
+        return f"{self.path}/g{read_text(self.spark, f'{self.path}/generation') or 0}/{name}"
+
     def put(self, df: DataFrame, key: str) -> None:
-        df.withColumn("_key", F.col(key).cast("string")).withColumn("_used", F.current_timestamp()).write.mode("append").parquet(self.path)
+        df.withColumn("_key", F.col(key).cast("string")).withColumn("_used", F.current_timestamp()).write.mode("append").parquet(self._at("entries"))
+
+    def get(self, keys: DataFrame, key: str, touch: bool = True) -> DataFrame:
+        """The entries of these keys; which of them are missing is an anti-join for the caller. Only entries asked for are
+        reduced to the last one of their key. With ``touch`` the use is noted."""
+        e = self.spark.read.parquet(self._at("entries"))
+        e = e.join(keys.select(F.col(key).cast("string").alias("_key")).distinct(), "_key", "left_semi")
+        if touch:
+            e.select("_key").distinct().withColumn("_used", F.current_timestamp()).write.mode("append").parquet(self._at("uses"))
+        return keep_best(e, ["_key"], [F.col("_used")]).drop("_key", "_used")
+
+    def used(self) -> DataFrame:
+        """``(key, used)``: when each entry was last written or read."""
+        p, fs = self._fs()
+        times = self.spark.read.parquet(self._at("entries")).select("_key", "_used")
+        if fs.exists(p(self._at("uses"))):
+            times = times.unionByName(self.spark.read.parquet(self._at("uses")))
+        return times.groupBy(F.col("_key").alias("key")).agg(F.max("_used").alias("used"))
+
+    def prune(self, now: datetime, known: Column | None = None, unused_days: int = 30, unknown_days: int = 7, every: timedelta = timedelta(days=1)) -> bool:
+        """Drop entries not used for so long; returns whether it was done: at most once in ``every``, by one caller at a time.
 
-    def get(self, keys: DataFrame, key: str) -> DataFrame:
-        """The entries of these keys; which of them are missing is an anti-join for the caller."""
-        e = self.spark.read.parquet(self.path)
-        rest = [c for c in e.columns if c not in ("_key",)]
-        return keep_best(e, ["_key"], [F.col("_used")], rest).join(keys.select(F.col(key).cast("string").alias("_key")).distinct(), "_key", "left_semi").drop("_key", "_used")
+        known: a condition on ``key`` for entries that are kept for unused_days, others for unknown_days. What stays is
+        written as the next generation, which then takes effect at once. A lock older than an hour counts as left behind.
+        """
+        from strataloom.operators.deltas import unused
+
+        p, fs = self._fs()
+        lock, last = p(f"{self.path}/lock"), read_text(self.spark, f"{self.path}/pruned")
+        if last and now - datetime.fromisoformat(last) < every or not fs.exists(p(self._at("entries"))):
+            return False
+        if fs.exists(lock) and time.time() - fs.getFileStatus(lock).getModificationTime() / 1000 > 3600:
+            fs.delete(lock, False)
+        if fs.exists(lock):
+            return False
+        fs.create(lock, False).close()
+        try:
+            old = unused(self.used(), "used", F.lit(now), F.lit(True) if known is None else known, unused_days, unknown_days).select(F.col("key").alias("_key"))
+            number = int(read_text(self.spark, f"{self.path}/generation") or 0)
+            for name in ("entries", "uses"):
+                if fs.exists(p(self._at(name))):
+                    self.spark.read.parquet(self._at(name)).join(old, "_key", "left_anti").write.mode("overwrite").parquet(f"{self.path}/g{number + 1}/{name}")
+            write_text(self.spark, f"{self.path}/generation", str(number + 1))
+            delete(self.spark, f"{self.path}/g{number}")
+            write_text(self.spark, f"{self.path}/pruned", now.isoformat())
+        finally:
+            fs.delete(lock, False)
+        return True
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file, whole or not at all: written beside its place, then renamed over it."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path
-    fs = p(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    out = fs.create(p(path + ".part"), True)
+    """A small file, whole or not at all: written beside its place, then renamed over it in one step."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop
+    p, conf = hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    part = f"{path}.{uuid.uuid4().hex}.part"
+    out = p(path).getFileSystem(conf).create(p(part), True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(p(path), False)
-    if not fs.rename(p(path + ".part"), p(path)):
-        raise OSError(f"{path} could not be written")
+    over = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = spark.sparkContext._jvm.java.lang.Enum.valueOf(spark.sparkContext._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), "OVERWRITE")
+    hadoop.fs.FileContext.getFileContext(p(path).toUri(), conf).rename(p(part), p(path), over)
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:

@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from strataloom.operators.incremental import MODULE, IncrementalTable, file_sums, refresh_changed_files
+from strataloom.operators.ordering import keep_best
 from strataloom.runtime import Scratch
 
 
+#: Parts by module in which a stream keeps its arrivals, so that the files of some buckets are read without the others.
+SLOTS = 256
+
+
 def files_stream(spark: SparkSession, path: str, schema: StructType, per_batch: int = 4) -> DataFrame:
     """New Parquet files under a path, or one file of its folder, as a stream; a bounded number a batch."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -58,8 +63,22 @@ def each_batch(stream: DataFrame, out: str, checkpoint: str, make: Callable[[Dat
     (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()).awaitTermination()
 
 
-#: Parts by module in which a stream keeps its arrivals, so that the files of some buckets are read without the others.
-SLOTS = 256
+def updates(stream: DataFrame, out: str, checkpoint: str) -> None:
+    """Write the groups that each batch changed, with their new values, as a partition of the batch's own.
+
+    A batch costs what it touches, not all groups so far; state behind the watermark is dropped. ``latest`` gives the
+    groups as they stand.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        _replace(batch.withColumn("batch", F.lit(number)), out, "batch")
+
+    (stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()).awaitTermination()
+
+
+def latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    """The last values of every group that ``updates`` wrote."""
+    return keep_best(spark.read.parquet(out), keys, [F.col("batch")]).drop("batch")
 
 
 def changed_files_stream(spark: SparkSession, arrivals: DataFrame, runs: DataFrame, folder: str) -> IncrementalTable:
