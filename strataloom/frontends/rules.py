@@ -11,12 +11,29 @@ from strataloom.frontends.syntax import Func, Node, Unit, group, body_key, state
 #: Limits (fixed values): lines of a file, statements, parameters and results of a function; runs of declarations.
 FILE_LINES, STATEMENTS, PARAMS, RESULTS, RUN = 1000, 40, 6, 3, 10
 GENERIC = {"helper", "manager", "processor", "util", "utils", "base", "impl", "wrapper"}
-MEMBERSHIP = {"Contains", "Index", "includes", "indexOf"}
-COMPILES = {"MustCompile", "Compile", "NewReplacer", "RegExp", "compile"}
+MEMBERSHIP = {"Contains", "Index"}
+#: Calls that sort, that leave the process and that build what does not change (fixed values).
+SORTS = {"sort": {"Float64s", "Ints", "Slice", "SliceStable", "Sort", "Stable", "Strings"}, "slices": {"Sort", "SortFunc", "SortStableFunc"}}
+NETWORK = {"Get", "Head", "Post", "PostForm"}
+DATABASE = {"Exec", "ExecContext", "Query", "QueryContext", "QueryRow", "QueryRowContext"}
+COMPILES = {
+    "regexp": {"Compile", "CompilePOSIX", "MustCompile", "MustCompilePOSIX"},
+    "strings": {"NewReplacer"},
+    "template": {"Must", "ParseFiles", "ParseFS", "ParseGlob"},
+}
+COMPLEXITY_LINTERS = {"cyclop", "gocognit", "nestif"}
 SLEEPS = re.compile(r"\b(?:time \. (?:Sleep|sleep)|asyncio \. sleep|setTimeout|sleep) \(")
 FAKES = re.compile(r"useFakeTimers|fakeClock|monkeypatch|freeze_time|mock\.patch|synctest")
 ASSERTS = re.compile(r"\b(?:t|b) \. (?:Error|Errorf|Fatal|Fatalf|Fail|FailNow)\b|\b(?:assert|require|expect|raises)\b|\bassertEqual\b|\bpanic \(")
-NOISE = {"the", "a", "an", "of", "for", "and", "to", "is", "returns", "return", "this", "function", "method"}
+#: Words of a comment that say nothing, and most words of one that may only repeat a name (fixed values).
+NOISE = set(
+    "a an and const for func function helper internal local method of or private return returns set sets struct that the this to type var value".split()
+)
+COMMENT_WORDS = 6
+#: How an error is named, where no types are known.
+ERROR = re.compile(r"err$|[a-z]\w*Err$|[eE]rr[A-Z]\w*$")
+#: Directives in comments: why a test runs alone; what a function guarantees.
+SERIAL, ENSURES = "strataloom:serial", "strataloom:ensures"
 
 Finding = tuple[int, str, str]
 
@@ -61,12 +78,13 @@ def branches(u: Unit) -> Iterator[Finding]:
                 if a and body_key(a) == body_key(b):
                     yield a[0].line, "control_flow_merge", f"{la} does the same as the next case"
             labels = {label.removeprefix("case ") for label, _ in n.blocks}
-            if {"true", "false"} <= labels and "default" in labels:
+            fallback = n.block("default")
+            if {"true", "false"} <= labels and fallback is not None and not (len(fallback) == 1 and fallback[0].head[:2] == ["panic", "("]):
                 yield n.line, "redundant_default", "true and false are both covered"
             seen: set[str] = set()
             for label, _ in n.blocks:
                 for one in label.removeprefix("case ").split(" , "):
-                    if one in seen and one != "default":
+                    if one in seen and one != "default" and u.lang != "go":  # Go: see facts
                         yield n.line, "unreachable_case", f"{one} was matched before"
                     seen.add(one)
         if n.kind == "if" and (not i or _guard(siblings[i - 1]) is None or _guard(siblings[i - 1]) != _guard(n)):
@@ -143,7 +161,7 @@ def sizes(u: Unit) -> Iterator[Finding]:
     passed, calls = Counter(), set()
     for n, _, _, _ in walk(u.top):
         passed.update(n.head)
-        calls |= {a for a, b in zip(n.head, n.head[1:], strict=False) if b == "("}
+        calls |= {b for a, b, c in zip(["", *n.head], n.head, n.head[1:], strict=False) if c == "(" and a not in ("function", "func", "def")}
     for f in u.funcs:
         count = statements(f.body)
         if count > STATEMENTS:
@@ -173,7 +191,31 @@ def signatures(u: Unit) -> Iterator[Finding]:
                     yield f.line, "unused_private_param", f"{f.name} never uses {p}"
 
 
-def go_ceremonies(u: Unit) -> Iterator[Finding]:
+def shallow(nodes: list[Node]) -> Iterator[Node]:
+    """All statements, without those inside function literals."""
+    for n in nodes:
+        yield n
+        for label, b in n.blocks:
+            if label != "body":
+                yield from shallow(b)
+
+
+def _error(tokens: list[str], kinds: dict[str, str]) -> bool:
+    return len(tokens) == 1 and (bool(ERROR.match(tokens[0])) or kinds.get(tokens[0]) == "error") or tokens[:4] == ["fmt", ".", "Errorf", "("] or tokens[:3] in (["errors", ".", "New"], ["errors", ".", "Join"])
+
+
+def panics(u: Unit, is_test: bool) -> Iterator[Finding]:
+    """Production functions that panic with an error; function literals are left to their callers."""
+    if u.lang != "go" or is_test:
+        return
+    for f in u.funcs:
+        for n in shallow(f.body):
+            args = group(n.head[1:])[0] if n.head[:2] == ["panic", "("] else []
+            if len(args) == 1 and _error(args[0], dict(f.params)):
+                yield n.line, "prod_must_panic", f"{f.name} panics with the error {''.join(args[0])}"
+
+
+def go_ceremonies(u: Unit, is_test: bool) -> Iterator[Finding]:
     if u.lang != "go":
         return
     for n, path, siblings, i in walk(u.top):
@@ -188,9 +230,7 @@ def go_ceremonies(u: Unit) -> Iterator[Finding]:
                     yield n.line, "range_ceremony", "range over nothing does nothing"
             if h[-2:] == ["!=", "nil"] and body[0].kind == "for" and "range" in b and b[b.index("range") + 1 :] == h[:-2]:
                 yield n.line, "range_ceremony", "range over nil does nothing"
-        if n.head[:2] == ["panic", "("] and n.head[2:3] == ["err"]:
-            yield n.line, "prod_must_panic", "an error becomes a panic"
-        if i and n.head[:2] == ["panic", "("] and siblings[i - 1].head[:4] in (["t", ".", "Fatal", "("], ["t", ".", "Fatalf", "("]):
+        if is_test and i and n.head[:2] == ["panic", "("] and siblings[i - 1].head[:4] in (["t", ".", "Fatal", "("], ["t", ".", "Fatalf", "("]):
             yield n.line, "test_fatal_panic", "never reached"
     for f in u.funcs:
         seen: dict[str, int] = {}
@@ -212,7 +252,7 @@ def go_ceremonies(u: Unit) -> Iterator[Finding]:
                     yield n.line, "normalization_ceremony", f"{call} was computed before"
 
 
-def loops(u: Unit) -> Iterator[Finding]:
+def loops(u: Unit, is_test: bool) -> Iterator[Finding]:
     if u.lang != "go":
         return
     for n, path, _, _ in walk(u.top):
@@ -227,15 +267,20 @@ def loops(u: Unit) -> Iterator[Finding]:
         h = n.head
         free = lambda tokens: not bound & set(tokens)  # noqa: B023,E731
         for j, x in enumerate(h):
-            args = h[j + 2 :]
-            if h[j - 2 : j] == ["slices", "."] and x in MEMBERSHIP and free(args[: args.index(",")] if "," in args else args):
+            if j < 2 or h[j - 1] != "." or h[j + 1 : j + 2] != ["("]:
+                continue
+            owner, parts = h[j - 2], group(h[j + 1 :])[0]
+            args = [t for p in parts for t in p]
+            if owner == "slices" and x in MEMBERSHIP and len(parts) >= 2 and free(parts[0]):
                 yield n.line, "loop_membership_scan", f"slices.{x} scans the same collection in every round"
-            if h[j - 2 : j] in (["sort", "."], ["slices", "."]) and x.startswith(("Sort", "Slice", "Strings", "Ints")) and free(args):
+            if x in SORTS.get(owner, ()) and parts and free(args):
                 yield n.line, "loop_sort", f"{x} sorts the same in every round"
-            if h[j - 2 : j] in (["http", "."], ["sql", "."], ["db", "."]) and h[j + 1 : j + 2] == ["("] and not free(args):
+            network = x in NETWORK and owner == "http" or x in NETWORK | {"Do"} and re.search(r"(?i)client$", owner)
+            database = x in DATABASE and re.search(r"(?i)(?:^|_)(?:db|tx|conn|stmt)$|DB$", owner)
+            if (network or database) and not free(args) and not is_test:
                 yield n.line, "loop_external_call", f"{x} is called for every item"
-            if x in COMPILES and h[j + 1 : j + 2] == ["("] and free(args):
-                yield n.line, "loop_invariant_work", f"{x} does the same in every round"
+            if x in COMPILES.get(owner, ()) and free(args):
+                yield n.line, "loop_invariant_work", f"{owner}.{x} does the same in every round"
         if n.kind == "for" and "range" in h and "range" in loop.head:
             inner, outer = h[h.index("range") + 1 :], loop.head[loop.head.index("range") + 1 :]
             body = n.block("then") or []
@@ -284,19 +329,63 @@ def tests(u: Unit, is_test: bool, text: str) -> Iterator[Finding]:
             yield n.line, "test_focused", "only this test runs"
         if u.lang == "go" and re.match(r"\w+ := \[ \] struct ", line) and line.count("{") - 1 > 10 and not re.search(r"\b(?:name|desc|description)\b", line):
             yield n.line, "table_test_grouping", "more than 10 cases without a name"
+    helpers = {f.name: f for f in u.funcs if not f.receiver}
     for f in u.funcs:
         if test_func(f, u.lang):
             body = " ".join(_tokens(f.body))
             if u.lang == "go" and f.name.startswith("Test"):
-                if not ASSERTS.search(body):
+                t = f.params[0][0] if f.params else "t"
+                skipped = f.body and f.body[0].head[:3] == [t, ".", "Skip"]
+                handed_on = re.search(rf"[(,{{=] {re.escape(t)} [,)}}]", body)  # to a helper that may fail the test
+                if not skipped and not handed_on and not ASSERTS.search(body.replace(f"{t} .", "t .")):
                     yield f.line, "test_no_assertion", f"{f.name} cannot fail"
-                if body.count("t . Parallel (") != 1:
-                    yield f.line, "test_not_parallel", f"{f.name} calls Parallel {body.count('t . Parallel (')} times"
+                yield from _parallel(f, t, helpers)
             checks = [n for n, _, _, _ in walk(f.body) if n.head[:1] == ["assert"]]
             if checks and all(not re.search(r"[A-Za-z_]", re.sub(r"'[^']*'|\"[^\"]*\"|\b(?:assert|True|False|None|in|not|is|and|or)\b", "", " ".join(n.head))) for n in checks):
                 yield f.line, "const_value_test", f"{f.name} only compares fixed values"
 
 
+def parallel_calls(f: Func, t: str, helpers: dict[str, Func], visiting: frozenset[str] = frozenset()) -> int:
+    """How often a test calls Parallel on its ``t``, also through helpers it hands ``t`` to; recursion counts nothing."""
+    total = 0
+    for n in shallow(f.body):
+        h = n.head
+        for j, x in enumerate(h):
+            if h[j : j + 4] == [t, ".", "Parallel", "("]:
+                total += 1
+            elif x in helpers and h[j + 1 : j + 2] == ["("] and (not j or h[j - 1] != ".") and x not in visiting:
+                for i, arg in enumerate(group(h[j + 1 :])[0]):
+                    if arg == [t] and i < len(helpers[x].params):
+                        total += parallel_calls(helpers[x], helpers[x].params[i][0], helpers, visiting | {x})
+    return total
+
+
+def _parallel(f: Func, t: str, helpers: dict[str, Func]) -> Iterator[Finding]:
+    calls = parallel_calls(f, t, helpers, frozenset([f.name]))
+    marks = [l[len(SERIAL) :].strip() for l in f.doc.split("\n") if re.match(SERIAL + r"(?:\s|$)", l)]
+    if calls > 1 or not calls and not marks:
+        yield f.line, "test_not_parallel", f"{f.name} calls Parallel {calls} times"
+    elif marks and calls:
+        yield f.line, "test_not_parallel", f"{f.name} runs in parallel in spite of its mark"
+    elif marks and not marks[0]:
+        yield f.line, "test_not_parallel", f"{f.name} does not say why it runs alone"
+
+
+def contracts(u: Unit) -> Iterator[Finding]:
+    """Guarantees in comments that cannot be read: a parameter (or a field of one), == or !=, and a constant."""
+    for f in u.funcs if u.lang == "go" else []:
+        names = {p for p, _ in f.params} | {f.own} - {""}
+        for line in f.doc.split("\n"):
+            if line.startswith(ENSURES) and contract(line, names) is None:
+                yield f.line, "invalid_contract", f"the contract of {f.name} cannot be read: {line[len(ENSURES):].strip()}"
+
+
+def contract(line: str, names: set[str]) -> tuple[str, str, str] | None:
+    """(name or name.field, == or !=, constant) of a line that begins with the mark, or None."""
+    m = re.match(r"\s*(\w+)((?:\s*\.\s*\w+)*)\s*(!=|==)\s*(nil|true|false|[+-]?\d+|\"(?:[^\"\\\n]|\\.)*\"|`[^`]*`|'(?:[^'\\\n]|\\.)')\s*$", line[len(ENSURES) :])
+    return (m[1] + re.sub(r"\s", "", m[2]), m[3], m[4]) if m and m[1] in names else None
+
+
 def declarations(u: Unit) -> Iterator[Finding]:
     if u.lang != "go":
         return
@@ -323,14 +412,15 @@ def _declared(line: int, kind: str, names: list[str]) -> Iterator[Finding]:
             yield line, "mixed_const_prefixes", "const declarations mix " + ", ".join(mixed)
 
 
-def comments(u: Unit, text: str) -> Iterator[Finding]:
+def comments(u: Unit, is_test: bool) -> Iterator[Finding]:
     for f in u.funcs:
         said = [w for w in re.split(r"[\W_]+", f.doc.lower()) if w and w not in NOISE]
         named = words(f.name)
         stems = [{w, re.sub("s$", "", w), re.sub("ed$", "", w), re.sub("ing$", "", w)} for w in said]
-        if said and private(f, u.lang) and len(said) == len(named) <= 8 and all(any(n in s for s in stems) for n in named) and all(s & set(named) for s in stems):
+        if said and private(f, u.lang) and len(said) == len(named) <= COMMENT_WORDS and all(any(n in s for s in stems) for n in named) and all(s & set(named) for s in stems):
             yield f.line, "comment_noise", f"the comment only repeats {f.name}"
-        if "nolint" in f.doc and re.search(r"cyclop|gocyclo|complexity", f.doc) and not any(n.kind in ("if", "for", "switch", "while") for n, _, _, _ in walk(f.body)):
+        linters = {x for l in f.doc.split("\n") if l.startswith("nolint:") for x in l.split()[0][len("nolint:") :].split(",")}
+        if linters & COMPLEXITY_LINTERS and not is_test and not any(n.kind in ("if", "for", "switch", "while") for n, _, _, _ in walk(f.body)):
             yield f.line, "stale_complexity_suppression", f"{f.name} decides nothing"
     for n, _, siblings, i in walk(u.top):
         if n.kind == "try":
@@ -347,7 +437,7 @@ def calls_of(u: Unit) -> dict[str, list[list[list[str]]]]:
     """Arguments of the plain calls in a file, by name."""
     out: dict[str, list[list[list[str]]]] = {}
     for n, _, _, _ in walk(u.top):
-        h = n.head
+        h = n.head if n.head[:1] != ["func"] else []
         for i in range(len(h) - 1):
             if h[i + 1] == "(" and re.match(r"[A-Za-z_]\w*$", h[i]) and (not i or h[i - 1] not in (".", "func", "function", "def")):
                 out.setdefault(h[i], []).append(group(h[i + 1 :])[0])
@@ -411,9 +501,9 @@ def whole_file(u: Unit, is_test: bool) -> Iterator[Finding]:
 
 def all_rules(u: Unit, is_test: bool, text: str) -> list[Finding]:
     out: list[Finding] = []
-    for rule in (branches, pyramids, aliases, wrappers, sizes, signatures, go_ceremonies, loops, simplifications, declarations):
+    for rule in (branches, pyramids, aliases, wrappers, sizes, signatures, simplifications, declarations, contracts):
         out += rule(u)
+    for rule in (panics, go_ceremonies, loops, comments, whole_file):
+        out += rule(u, is_test)
     out += tests(u, is_test, text)
-    out += comments(u, text)
-    out += whole_file(u, is_test)
     return sorted(set(out))

@@ -104,7 +104,7 @@ def _unit(row: dict) -> Unit:
 
 def functions(df: DataFrame, keys: list[str], text: str, lang: str) -> DataFrame:
     """One row a function of the texts that can be read."""
-    schema = T._parse_datatype_string("name string, receiver string, params int, results int, statements int, line int, end_line int, digest string, effects int, gives string")
+    schema = T._parse_datatype_string("name string, receiver string, params int, results int, statements int, line int, end_line int, digest string, effects int, gives string, exported boolean")
 
     def make(row: dict) -> list[tuple]:
         try:
@@ -112,7 +112,7 @@ def functions(df: DataFrame, keys: list[str], text: str, lang: str) -> DataFrame
         except ValueError:
             return []
         return [
-            (f.name, f.receiver, len(f.params), len(f.results), statements(f.body), f.line, f.end, hashlib.sha256(behaviour_key(f).encode("utf-8", "surrogatepass")).hexdigest(), effects(f), facts.returns(f))
+            (f.name, f.receiver, len(f.params), len(f.results), statements(f.body), f.line, f.end, hashlib.sha256(behaviour_key(f).encode("utf-8", "surrogatepass")).hexdigest(), effects(f), facts.returns(f), f.exported)
             for f in u.funcs
         ]
 
@@ -129,8 +129,9 @@ def findings(df: DataFrame, keys: list[str], text: str, lang: str, is_test: str)
         except ValueError as e:
             return [(1, "parse_error", str(e)[:200])]
         found = rules.all_rules(u, bool(row[is_test]), row["_text"])
+        summaries = facts.summarise(u.funcs, u.lang)
         for f in u.funcs:
-            found += facts.decided(f)
+            found += facts.decided(f, u.lang, summaries)
         return sorted(set(found))
 
     return _each(df, keys, text, lang, [is_test], make, schema)

@@ -55,6 +55,8 @@ class Func:
     end: int
     doc: str = ""
     decorators: list[str] = field(default_factory=list)
+    exported: bool = False
+    own: str = ""  # the name of a method's receiver inside it
 
 
 @dataclass
@@ -285,18 +287,19 @@ class Braces:
         if self.lang == "go":
             if head[:1] != ["func"] or len(head) < 3:
                 return
-            i, receiver = 1, ""
+            i, receiver, own = 1, "", ""
             if head[1] == "(":
                 j = head.index(")")
                 names = [x for x in head[2:j] if re.match(r"[A-Za-z_]", x)]
                 receiver = ("*" if "*" in head[2:j] else "") + names[-1] if names else ""
+                own = names[0] if len(names) > 1 else ""
                 i = j + 1
             if i >= len(head) or not re.match(r"[A-Za-z_]", head[i]):
                 return
             name, rest = head[i], head[i + 1 :]
             params, after = group(rest)
             results = group(after)[0] if after[:1] == ["("] else [after] if after else []
-            self.funcs.append(Func(name, receiver, _go_params(params), [" ".join(r) for r in results if r], body, line, end))
+            self.funcs.append(Func(name, receiver, _go_params(params), [" ".join(r) for r in results if r], body, line, end, exported=name[:1].isupper(), own=own))
             return
         toks = [x for x in head if x not in ("export", "default", "async")]
         name = ""
@@ -314,7 +317,7 @@ class Braces:
         params, after = group(rest)
         kinds = [(p[0] if p[:1] != ["..."] else p[1] if len(p) > 1 else "", " ".join(p[2:] if p[1:2] == [":"] else p[1:])) for p in params if p]
         result = " ".join(x for x in after[1:] if x != "=>") if after[:1] == [":"] else ""
-        self.funcs.append(Func(name, "", kinds, [result] if result and result != "void" else [], body, line, end))
+        self.funcs.append(Func(name, "", kinds, [result] if result and result != "void" else [], body, line, end, exported="export" in head[: len(head) - len(toks) + 1]))
 
 
 def group(tokens: list[str]) -> tuple[list[list[str]], list[str]]:
@@ -369,7 +372,7 @@ class _Python(ast.NodeVisitor):
                     params = params[1:]
                 has = any(isinstance(r, ast.Return) and r.value is not None for r in ast.walk(s))
                 doc = ast.get_docstring(s) or ""
-                self.funcs.append(Func(s.name, owner, params, ["value"] if has else [], inner[1:] if doc else inner, s.lineno, s.end_lineno, doc, [ast.unparse(d) for d in s.decorator_list]))
+                self.funcs.append(Func(s.name, owner, params, ["value"] if has else [], inner[1:] if doc else inner, s.lineno, s.end_lineno, doc, [ast.unparse(d) for d in s.decorator_list], not s.name.startswith("_")))
                 out.append(Node("func", ["def", s.name], s.lineno, s.end_lineno, [("body", inner)]))
                 continue
             head, kind, blocks = [type(s).__name__.lower()], "simple", []
@@ -425,9 +428,10 @@ def parse(text: str, lang: str) -> Unit:
             top.append(b.statement())
     except RecursionError:
         raise ValueError("nested too deeply") from None
-    docs = {}
+    docs: dict[int, str] = {}  # by the line below: the comments that stand directly above it, together
     for line, c in b.comments:
-        docs[line + c.count("\n") + 1] = re.sub(r"^(//+|/\*+)\s*|\s*\*/$", "", c)
+        above = docs.get(line, "")
+        docs[line + c.count("\n") + 1] = (above + "\n" if above else "") + re.sub(r"^(//+|/\*+)\s*|\s*\*/$", "", c)
     for f in b.funcs:
         f.doc = docs.get(f.line, "")
     return Unit(lang, b.funcs, top, b.comments, lines)

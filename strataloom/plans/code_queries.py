@@ -75,8 +75,8 @@ def dead_functions(spark: SparkSession, d: str) -> DataFrame:
     scratch = Scratch(spark, "dead")
     f = scratch.cut(C.functions(code, ["repo", "package_dir", "is_test", "block_id"], "content", "lang"), "functions")
     name = F.concat_ws("::", "repo", "package_dir", "name")
-    v = f.select(name.alias("v"), "is_test", "name", F.col("block_id").alias("rank"))
-    roots = v.where("is_test or name rlike '^[A-Z]' or name in ('main', 'init')").select("v")
+    v = f.select(name.alias("v"), "is_test", "exported", "name", F.col("block_id").alias("rank"))
+    roots = v.where("is_test or exported or name in ('main', 'init')").select("v")
     c = C.calls(code, ["repo", "package_dir"], "content", "lang")
     known = v.select("v").distinct()
     e = c.select(F.concat_ws("::", "repo", "package_dir", "caller").alias("src"), F.concat_ws("::", "repo", "package_dir", "callee").alias("dst"))

@@ -1,3 +1,34 @@
-"""placeholder"""
-QUERIES: dict = {}
-SQL: dict = {}
+"""Queries on the rules: small sources for every rule, with the findings they must have."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from strataloom.frontends import scan
+from strataloom.plans.registry import registrar
+from strataloom.plans.rule_cases import CASES
+
+QUERIES, SQL, query = registrar()
+
+
+def values(rows: list[tuple], columns: str, empty: str = "") -> str:
+    """A literal table in SQL."""
+    quoted = lambda x: "null" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+    return f"select * from (values {', '.join('(' + ', '.join(map(quoted, r)) + ')' for r in rows)}) t({columns})"
+
+
+def _group(name: str):
+    cases = CASES[name]
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        rows = spark.createDataFrame([(c, lang, test, text) for c, lang, test, text, _ in cases], "name string, lang string, is_test boolean, content string")
+        return scan.findings(rows, ["name"], "content", "lang", "is_test").select("name", "line", "kind")
+
+    run.__doc__ = f"Findings of the {name} rules in small sources."
+    run.__name__ = f"rules_{name}"
+    found = [(c, int(f.split()[0]), f.split()[1]) for c, _, _, _, fs in cases for f in fs]
+    return query(values(found, "name, line, kind"))(run)
+
+
+for _name in CASES:
+    _group(_name)

@@ -95,7 +95,8 @@ it.only("x", () => { expect(1); });
 def kinds(text, lang, test=False):
     u = parse(text, lang)
     found = {k for _, k, _ in rules.all_rules(u, test, text)}
-    return found | {k for f in u.funcs for _, k, _ in facts.decided(f)}
+    summaries = facts.summarise(u.funcs, lang)
+    return found | {k for f in u.funcs for _, k, _ in facts.decided(f, lang, summaries)}
 
 
 def test_rules_find():
@@ -165,15 +166,16 @@ def test_unreadable(text, lang):
 
 def test_facts():
     def go(body):
-        return {(line, k) for f in parse("package a\nfunc f(x int, y bool) {\n" + body + "\n}\n", "go").funcs for line, k, _ in facts.decided(f)}
+        u = parse("package a\nfunc f(x int, y bool) {\n" + body + "\n}\n", "go")
+        return {(line, k) for f in u.funcs for line, k, _ in facts.decided(f, "go", facts.summarise(u.funcs, "go"))}
 
     assert go("\tif x == 1 {\n\t\treturn\n\t}\n\tif x == 1 {\n\t\tgo1()\n\t}") == {(6, "redundant_condition")}
     assert go("\tif x == 1 {\n\t\tx = 2\n\t}\n\tif x == 1 {\n\t\tgo1()\n\t}") == {(6, "redundant_condition")}
     assert go("\tif y {\n\t\tx = g()\n\t}\n\tif x == 1 {\n\t\tgo1()\n\t}") == set()
     assert go("\tif !y {\n\t\treturn\n\t}\n\tif y && x == 3 {\n\t\tgo1()\n\t}") == {(6, "redundant_subexpression")}
     assert go("\tfor i := range xs {\n\t\tx = i\n\t}\n\tif x == 1 {\n\t\tgo1()\n\t}") == set()
-    states = [{"a": ("is", frozenset([str(i)])), "b": ("is", frozenset(["1"]))} for i in range(40)]
-    assert facts.bounded(states) == [{"b": ("is", frozenset(["1"]))}]
+    states = [{"a": facts.Fact(str(i)), "b": facts.Fact("1")} for i in range(40)]
+    assert facts.bounded(states) == [{"a": facts.Fact(None, frozenset(), (0, False), (39, False)), "b": facts.Fact("1")}]
     assert facts.returns(parse("package a\nfunc f() bool {\n\tif x {\n\t\treturn true\n\t}\n\treturn true\n}\n", "go").funcs[0]) == "always true"
 
 
