@@ -45,15 +45,16 @@ SENTENCE_WORDS, SENTENCE_SHARE = 2.5, 0.5
 @dataclass(frozen=True)
 class Fit:
     """Bounds of the fit: labelled documents a language, characters of a document (longer ones are passed over), lines a
-    label that train the field, feature buckets, one in how many training lines switches language (every other one of
-    these has another line after it, the rest have some words of another line put in), and the training: passes, lines a
-    step, step size, weight decay."""
+    label that train the field, feature buckets, one in how many training lines has another one behind it, one in how many
+    has words of another language put in (0: none; for ``tag_words``, as it makes switches cheap, which costs a little
+    where only whole lines are told apart), and the training: passes, lines a step, step size, weight decay."""
 
     documents: int = 300
     characters: int = 20_000
     lines: int = 1000
     buckets: int = 1 << 16
     joined: int = 8
+    spliced: int = 0
     epochs: int = 8
     batch: int = 300
     rate: float = 0.15
@@ -168,7 +169,7 @@ def looks(line: str) -> int:
 
 def train(rows: list[tuple[str, str]], fit: Fit) -> Model:
     """Fit the field on (text, language label) rows. Without rows everything is ``NONE``."""
-    rng = np.random.default_rng(5)
+    rng, inner = np.random.default_rng(5), np.random.default_rng(6)
     sentences, code = [], []
     for text, label in rows:
         for line in text.split("\n"):
@@ -204,7 +205,11 @@ def train(rows: list[tuple[str, str]], fit: Fit) -> Model:
     ids, target, sizes = [], [], []
     for i, line in enumerate(chosen):
         # Some lines switch, so that transitions between languages, and to and from NONE, are learned.
-        parts = _switching(line, chosen[rng.integers(len(chosen))], rng, i // fit.joined % 2 == 1) if i % fit.joined == 0 else [line]
+        parts = [line]
+        if i % fit.joined == 0:
+            parts = [line, chosen[rng.integers(len(chosen))]]
+        elif fit.spliced and i % fit.spliced == fit.spliced // 2:
+            parts = _spliced(line, chosen[inner.integers(len(chosen))], inner)
         for tokens, l in parts:
             for t in tokens:
                 k, ok = see(t)
@@ -238,11 +243,12 @@ def train(rows: list[tuple[str, str]], fit: Fit) -> Model:
     return Model(weights, mean[1], mean[2], lexicon, fit.buckets)
 
 
-def _switching(line: tuple[list[str], int], other: tuple[list[str], int], rng: np.random.Generator, inside: bool) -> list[tuple[list[str], int]]:
-    """A line with another one behind it or, ``inside``, with some words of the other put between two of its own."""
+def _spliced(line: tuple[list[str], int], other: tuple[list[str], int], rng: np.random.Generator) -> list[tuple[list[str], int]]:
+    """A sentence with some words of another language put between two of its own; the line as it is where either is code:
+    code has no sentences inside, and what code stands in sentences is learned from these themselves."""
     tokens, l = line
-    if not inside or len(tokens) < 4:
-        return [line, other]
+    if len(tokens) < 4 or NONE in (l, other[1]):
+        return [line]
     at = int(rng.integers(2, len(tokens) - 1))
     first = int(rng.integers(0, max(1, len(other[0]) - 2)))
     return [(tokens[:at], l), (other[0][first : first + int(rng.integers(2, 8))], other[1]), (tokens[at:], l)]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from strataloom.functions.paths import canonical_identity
 from strataloom.llm.chunking import split_oversized
 from strataloom.llm.components import group_identities
-from strataloom.llm.language import fit_model, label_language, tag_documents, tag_words
+from strataloom.llm.language import Fit, fit_model, label_language, tag_documents, tag_words
 from strataloom.llm.leximin import leximin_order, leximin_top, leximin_vectors
 from strataloom.llm.mixing import mix_sources
 from strataloom.llm.neardup import all_pairs, near_duplicates, trie_pairs
@@ -180,7 +180,7 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
 def p9_words(spark: SparkSession, d: str) -> DataFrame:
     """The runs of words in one language, also within a line."""
     documents = table(spark, d, "documents")
-    return tag_words(documents, "doc_id", "text", fit_model(documents, "doc_id", "text", "lang"))
+    return tag_words(documents, "doc_id", "text", fit_model(documents, "doc_id", "text", "lang", Fit(spliced=8)))
 
 
 QUERIES: dict[str, Query] = {

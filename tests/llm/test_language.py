@@ -52,7 +52,7 @@ def test_held_out_lines(spark):
 def test_lines_that_switch(spark):
     """Words of lines in two languages, with code between: by word, on held-out lines."""
     rows, _ = corpus(400, 1)
-    model = fit_model(spark.createDataFrame(rows, "k int, t string, label string"), "k", "t", "label", Fit(documents=200, lines=500))
+    model = fit_model(spark.createDataFrame(rows, "k int, t string, label string"), "k", "t", "label", Fit(documents=200, lines=500, spliced=8))
     rng, held, truth = random.Random(4), [], {}
     for k in range(300):
         a, b = rng.sample(list(WORDS), 2)
