@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataloom.frontends import facts, rules
-from strataloom.frontends.syntax import Func, Unit, parse, scan, statements, walk
+from strataloom.frontends.syntax import Func, Unit, group, parse, scan, statements, walk
 
 KEYWORDS = set(
     "func return if else for range switch case default go defer select break continue goto var const type struct interface map chan package import "
@@ -46,18 +47,41 @@ def rename_fingerprint(text: str) -> str:
     return hashlib.sha256("\0".join(body).encode("utf-8", "surrogatepass")).hexdigest()
 
 
+def local_names(f: Func) -> set[str]:
+    """Parameters, the receiver, and what the body declares."""
+    out = {p for p, _ in f.params} | {f.own} - {""}
+    for n, _, _, _ in walk(f.body):
+        h = n.head
+        for i, x in enumerate(h):
+            if x == ":=" or x in ("in", "of") and h[:1] == ["for"]:
+                out |= {y for y in h[:i] if (y[:1].isalpha() or y[:1] == "_") and y not in KEYWORDS}
+            if x in ("const", "let", "var") and i + 1 < len(h):
+                out.add(h[i + 1])
+        if h[1:2] == ["="] and n.kind == "simple":
+            out.add(h[0])
+    return out
+
+
+def type_key(kind: str, generics: dict[str, str]) -> str:
+    """A type with the type parameters of its function numbered, and without blanks."""
+    return re.sub(r"[A-Za-z_]\w*", lambda m: generics.get(m[0], m[0]), re.sub(r"\s+", "", kind))
+
+
 def behaviour_key(f: Func) -> str:
-    """What a function does, whatever its names: parameters numbered, locals by first use, calls and fields as they are."""
-    names = {p: f"p{i}" for i, (p, _) in enumerate(f.params)}
-    out = [",".join(k for _, k in f.params), ",".join(f.results)]
+    """What a function does, whatever it and its own names are called: parameters numbered, locals by first use; whatever
+    lies outside (callees, globals, fields, constants) as it is."""
+    names = {p: f"p{i}" for i, (p, _) in enumerate(f.params)} | ({f.own: "p"} if f.own else {})
+    local = local_names(f)
+    generics = {g: f"T{i}" for i, g in enumerate(f.generics)}
+    out = [",".join(type_key(k, generics) for _, k in f.params), ",".join(type_key(k, generics) for k in f.results)]
     for n, path, _, _ in walk(f.body):
         last = ""
         parts = []
         for x in n.head:
-            if x[:1].isalpha() and x not in KEYWORDS and last != ".":
+            if x in local and last != ".":
                 parts.append(names.get(x) or names.setdefault(x, f"v{len(names)}"))
             else:
-                parts.append(x)
+                parts.append(generics.get(x, x))
             last = x
         out.append(f"{len(path)}:{n.kind}:{' '.join(parts)}")
     return "\n".join(out)
@@ -79,7 +103,7 @@ def effects(f: Func) -> int:
 def _each(df: DataFrame, keys: list[str], text: str, lang: str, extra: list[str], make: Callable[[dict], list[tuple]], schema: T.StructType) -> DataFrame:
     rows = df.where(F.col(text).isNotNull() & F.col(lang).isin("go", "ts", "py")).select(*keys, F.col(text).alias("_text"), F.col(lang).alias("_lang"), *extra)
     out_schema = T.StructType([rows.schema[k] for k in keys] + list(schema))
-    arrow = {"string": pa.string(), "integer": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
+    arrow = {"string": pa.string(), "integer": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "array": pa.list_(pa.string())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -156,6 +180,216 @@ def calls(df: DataFrame, keys: list[str], text: str, lang: str) -> DataFrame:
     return _each(df, keys, text, lang, [], make, schema)
 
 
+def uses(df: DataFrame, keys: list[str], text: str, lang: str) -> DataFrame:
+    """(keys, owner, name, member): every identifier in the body of a function, or outside of any (owner null); member tells
+    that it stands behind a dot. The owner of a method is Receiver.name."""
+    schema = T._parse_datatype_string("owner string, name string, member boolean")
+
+    def make(row: dict) -> list[tuple]:
+        try:
+            u = _unit(row)
+        except ValueError:
+            return []
+        out: set[tuple] = set()
+
+        def take(owner: str | None, head: list[str]) -> None:
+            for a, b in zip(["", *head], head, strict=False):
+                if (b[:1].isalpha() or b[:1] == "_") and b not in KEYWORDS:
+                    out.add((owner, b, a == "."))
+
+        headers = {(f.line, f.name) for f in u.funcs}
+        for f in u.funcs:
+            for n, _, _, _ in walk(f.body):
+                take(label(f), n.head)
+        for n in u.top:
+            inside = n.kind in ("func", "class") or any((n.line, x) in headers for x in n.head)
+            take(None, n.head if not inside else [x for x in n.head if (n.line, x) not in headers])
+            if not inside:
+                for m, _, _, _ in walk([n]):
+                    take(None, m.head)
+        return sorted(out, key=repr)
+
+    return _each(df, keys, text, lang, [], make, schema)
+
+
+def label(f: Func) -> str:
+    return f"{f.receiver.lstrip('*')}.{f.name}" if f.receiver else f.name
+
+
+def interface_methods(df: DataFrame, keys: list[str], text: str, lang: str) -> DataFrame:
+    """(keys, interface, method) of the interfaces that Go files declare."""
+    schema = T._parse_datatype_string("interface string, method string")
+
+    def make(row: dict) -> list[tuple]:
+        try:
+            u = _unit(row)
+        except ValueError:
+            return []
+        out = []
+        for n in u.top:
+            h = n.head
+            for i in range(len(h) - 2):
+                if h[i + 1 : i + 3] == ["interface", "{"] and (h[:1] == ["type"]):
+                    depth, j = 1, i + 3
+                    while j < len(h) and depth:
+                        depth += (h[j] in "({[") - (h[j] in ")}]")
+                        if depth == 1 and h[j + 1 : j + 2] == ["("] and (h[j][:1].isalpha() or h[j][:1] == "_"):
+                            out.append((h[i], h[j]))
+                        j += 1
+        return out
+
+    return _each(df, keys, text, lang, [], make, schema)
+
+
+_STRUCT = re.compile(r"^type\s+(\w+)(?:\[[^\]]*\])?\s+struct\s*\{(.*?)^\}", re.M | re.S)
+_EMBEDDED = re.compile(r"^\s*\*?(?:\w+\.)?(\w+)\s*(?:`[^`]*`)?\s*(?://.*)?$")
+_CLASS = re.compile(r"^(?:export\s+)?(?:abstract\s+)?class\s+(\w+)(?:\(([^)]*)\)|\s+extends\s+([\w.]+))?", re.M)
+
+
+def types(df: DataFrame, keys: list[str], text: str, lang: str) -> DataFrame:
+    """(keys, type, line, embeds): the structs and classes of a file with the types they embed or inherit from."""
+    schema = T._parse_datatype_string("type string, line int, embeds string")
+
+    def make(row: dict) -> list[tuple]:
+        t, out = row["_text"], []
+        if row["_lang"] == "go":
+            for m in _STRUCT.finditer(t):
+                own = [e[1] for e in map(_EMBEDDED.match, m[2].split("\n")) if e]
+                out += [(m[1], t.count("\n", 0, m.start()) + 1, e) for e in own or [None]]
+        else:
+            for m in _CLASS.finditer(t):
+                own = [x.strip().split(".")[-1] for x in (m[2] or m[3] or "").split(",") if x.strip() and "=" not in x]
+                out += [(m[1], t.count("\n", 0, m.start()) + 1, e) for e in own or [None]]
+        return out
+
+    return _each(df, keys, text, lang, [], make, schema)
+
+
+_IMPORT = re.compile(r'^import\s+(?:[\w.]+\s+)?"([^"]+)"|^\s+(?:[\w.]+\s+)?"([^"]+)"\s*$', re.M)
+
+
+def imports(df: DataFrame, keys: list[str], text: str, lang: str) -> DataFrame:
+    """(keys, path): the packages a Go file imports."""
+    schema = T._parse_datatype_string("imported string")
+
+    def make(row: dict) -> list[tuple]:
+        t = row["_text"]
+        head = t[: m.start()] if (m := re.search(r"^(?:func|type|var|const)\b", t, re.M)) else t
+        return [(a or b,) for a, b in _IMPORT.findall(head)] if row["_lang"] == "go" else []
+
+    return _each(df, keys, text, lang, [], make, schema)
+
+
+def written_fixtures(df: DataFrame, keys: list[str], text: str, lang: str, least: int = 16) -> DataFrame:
+    """(keys, line, literal): the literals of at least ``least`` bytes that Go code hands to writeFile."""
+    schema = T._parse_datatype_string("line int, literal string")
+
+    def make(row: dict) -> list[tuple]:
+        try:
+            u = _unit(row)
+        except ValueError:
+            return []
+        out = []
+        for n, _, _, _ in walk(u.top):
+            for i, x in enumerate(n.head):
+                if x == "writeFile" and n.head[i + 1 : i + 2] == ["("] and n.head[:1] != ["func"]:
+                    out += [(n.line, a[0]) for a in group(n.head[i + 1 :])[0] if len(a) == 1 and a[0][:1] in "\"`" and len(a[0].encode("utf-8", "surrogatepass")) - 2 >= least]
+        return out
+
+    return _each(df, keys, text, lang, [], make, schema)
+
+
+def function_texts(df: DataFrame, keys: list[str], text: str, lang: str, least: int = 50) -> DataFrame:
+    """(keys, name, line, end_line, content): the functions of at least ``least`` tokens, comments not counted, with their
+    lines."""
+    schema = T._parse_datatype_string("name string, line int, end_line int, content string")
+
+    def make(row: dict) -> list[tuple]:
+        try:
+            u = _unit(row)
+        except ValueError:
+            return []
+        lines = row["_text"].split("\n")
+        out = []
+        for f in u.funcs:
+            body = "\n".join(lines[f.line - 1 : f.end])
+            if sum(t.kind not in ("comment", "nl") for t in scan(body)) >= least:
+                out.append((label(f), f.line, f.end, body))
+        return out
+
+    return _each(df, keys, text, lang, [], make, schema)
+
+
+def test_calls(df: DataFrame, keys: list[str], text: str, lang: str) -> DataFrame:
+    """(keys, name, line, end_line, calls): the test functions of Go and Python with the names they call."""
+    schema = T._parse_datatype_string("name string, line int, end_line int, calls array<string>")
+
+    def make(row: dict) -> list[tuple]:
+        try:
+            u = _unit(row)
+        except ValueError:
+            return []
+        out = []
+        for f in u.funcs:
+            if rules.test_func(f, u.lang):
+                names = {x for n, _, _, _ in walk(f.body) for x, y in zip(n.head, n.head[1:], strict=False) if y == "(" and x[:1].isalpha() and x not in KEYWORDS}
+                out.append((f.name, f.line, f.end, sorted(names)))
+        return out
+
+    return _each(df, keys, text, lang, [], make, schema)
+
+
+def review_items(df: DataFrame, keys: list[str], text: str, lang: str, is_test: str) -> DataFrame:
+    """(keys, item, line, name, content): what a reviewer is asked about. Items: comment (of a function), error (a dropped
+    one), test, serial (the reason a test gives for running alone), helper (a function used once, with its one caller)."""
+    schema = T._parse_datatype_string("item string, line int, name string, content string")
+
+    def make(row: dict) -> list[tuple]:
+        try:
+            u = _unit(row)
+        except ValueError:
+            return []
+        lines, out = row["_text"].split("\n"), []
+        span = lambda a, b: "\n".join(lines[a - 1 : b])
+        test = bool(row[is_test])
+        for f in u.funcs:
+            said = [l for l in f.doc.split("\n") if l.strip() and not re.match(r"(?:nolint|go|strataloom):", l)]
+            if said:
+                out.append(("comment", f.line, label(f), "\n".join(said) + "\n" + span(f.line, f.end)))
+            if test and rules.test_func(f, u.lang):
+                out.append(("test", f.line, f.name, span(f.line, f.end)))
+                out += [("serial", f.line, f.name, l[len(rules.SERIAL) :].strip()) for l in f.doc.split("\n") if re.match(rules.SERIAL + r"\s+\S", l)]
+        for line, kind, _ in rules.comments(u, test):
+            if kind == "swallowed_error":
+                out.append(("error", line, "", span(max(1, line - 3), line + 6)))
+        for line, kind, message in rules.whole_file(u, test):
+            if kind == "split_helper_candidate":
+                name = message.split(" ")[0]
+                f = next(f for f in u.funcs if f.name == name)
+                caller = next((g for g in u.funcs if g is not f and any(name in n.head for n, _, _, _ in walk(g.body))), None)
+                out.append(("helper", line, name, (span(caller.line, caller.end) + "\n\n" if caller else "") + span(f.line, f.end)))
+        return out
+
+    return _each(df, keys, text, lang, [is_test], make, schema)
+
+
+def exports(df: DataFrame, keys: list[str], text: str, lang: str) -> DataFrame:
+    """(keys, signature): what other packages see of a file: exported functions with the kinds of their parameters and
+    results, and the declarations of exported types, constants and variables."""
+    schema = T._parse_datatype_string("signature string")
+
+    def make(row: dict) -> list[tuple]:
+        try:
+            u = _unit(row)
+        except ValueError:
+            return [(hashlib.sha256(row["_text"].encode("utf-8", "surrogatepass")).hexdigest(),)]
+        out = [(f"{label(f)}({','.join(k for _, k in f.params)})({','.join(f.results)})",) for f in u.funcs if f.exported]
+        out += [(" ".join(n.head),) for n in u.top if n.head[:1] in (["type"], ["const"], ["var"]) and len(n.head) > 1 and (n.head[1][:1].isupper() or n.head[1] == "(")]
+        return sorted(set(out))
+
+    return _each(df, keys, text, lang, [], make, schema)
+
+
 def canonical(df: DataFrame, keys: list[str], text: str, lang: str, least: int = 50) -> DataFrame:
     """(keys, tokens, digest, fingerprint) of texts with at least ``least`` canonical tokens."""
     schema = T._parse_datatype_string("tokens int, digest string, fingerprint string")
@@ -167,4 +401,7 @@ def canonical(df: DataFrame, keys: list[str], text: str, lang: str, least: int =
     return _each(df, keys, text, lang, [], make, schema)
 
 
-__all__ = ["behaviour_key", "calls", "canonical", "canonical_tokens", "effects", "findings", "functions", "rename_fingerprint"]
+__all__ = [
+    "behaviour_key", "calls", "canonical", "canonical_tokens", "effects", "exports", "findings", "function_texts", "functions", "imports", "interface_methods",
+    "label", "rename_fingerprint", "review_items", "test_calls", "types", "uses", "written_fixtures",
+]

@@ -57,6 +57,7 @@ class Func:
     decorators: list[str] = field(default_factory=list)
     exported: bool = False
     own: str = ""  # the name of a method's receiver inside it
+    generics: list[str] = field(default_factory=list)
 
 
 @dataclass
@@ -296,10 +297,13 @@ class Braces:
                 i = j + 1
             if i >= len(head) or not re.match(r"[A-Za-z_]", head[i]):
                 return
-            name, rest = head[i], head[i + 1 :]
+            name, rest, generics = head[i], head[i + 1 :], []
+            if rest[:1] == ["["]:
+                kinds, rest = group(["(", *rest[1 : rest.index("]")], ")"])[0], rest[rest.index("]") + 1 :]
+                generics = [k[0] for k in kinds]
             params, after = group(rest)
             results = group(after)[0] if after[:1] == ["("] else [after] if after else []
-            self.funcs.append(Func(name, receiver, _go_params(params), [" ".join(r) for r in results if r], body, line, end, exported=name[:1].isupper(), own=own))
+            self.funcs.append(Func(name, receiver, _go_params(params), [" ".join(r) for r in results if r], body, line, end, exported=name[:1].isupper(), own=own, generics=generics))
             return
         toks = [x for x in head if x not in ("export", "default", "async")]
         name = ""

@@ -75,15 +75,24 @@ class HttpEmbedder:
 
 
 class SubprocessResponder:
-    """One process a prompt: prompt to its input, one JSON document from its output."""
+    """One process a prompt: prompt to its input, one JSON document from its output.
 
-    def __init__(self, command: list[str], timeout: float = 600.0):
+    With a schema, its JSON form lies in a file while the process runs, whose path stands for ``{schema}`` in the command.
+    """
+
+    def __init__(self, command: list[str], timeout: float = 600.0, schema: T.StructType | None = None):
         self.command, self.timeout = command, timeout
+        self.schema = json.dumps(json_schema(schema)) if schema is not None else None
 
     def ask(self, prompt: str) -> str:
         import subprocess
+        import tempfile
 
-        return subprocess.run(self.command, input=prompt, capture_output=True, text=True, timeout=self.timeout, check=True).stdout
+        with tempfile.NamedTemporaryFile("w", suffix=".json") as f:
+            f.write(self.schema or "{}")
+            f.flush()
+            command = [f.name if c == "{schema}" else c for c in self.command]
+            return subprocess.run(command, input=prompt, capture_output=True, text=True, timeout=self.timeout, check=True).stdout
 
 
 def packs(sizes: list[int], most_items: int, most_bytes: int) -> Iterator[tuple[int, int]]:
@@ -186,37 +195,64 @@ def decode_strict(text: Column, schema: T.StructType) -> Column:
 
 
 def run_tasks(
-    requests: DataFrame, key: str, prompt: str, provider: Responder, schema: T.StructType, valid: Callable[[Column], Column] | None = None, done: DataFrame | None = None, attempts: int = ATTEMPTS
+    requests: DataFrame, key: str, prompt: str, provider: Responder, schema: T.StructType, valid: Callable[[Column], Column] | None = None,
+    done: DataFrame | Callable[[], DataFrame] | None = None, attempts: int = ATTEMPTS, progress: Callable[[int, int], None] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(answers (key, answer), unresolved requests). Valid answers are kept, the rest is asked again, up to ``attempts``
-    times without progress. ``done`` holds answers of other runs: (key, answer); those requests are not asked."""
+    times without progress.
+
+    done: answers of other runs, (key, answer): those requests are not asked; as a function it is looked at before every
+    round, so that what another process has answered meanwhile is not asked again. progress(answered, all) is told after
+    every round.
+    """
     scratch = Scratch(requests.sparkSession, "tasks")
-    rest = requests if done is None else requests.join(done.select(key), key, "left_anti")
-    rest = scratch.cut(rest, "requests")
-    answers = done.select(key, "answer") if done is not None else None
-    left, tries = rest.count(), 0
+    rest = scratch.cut(requests, "requests")
+    every = left = rest.count()
+    answers, tries = None, 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [provider.ask(p) if p is not None else None for p in b.column(prompt).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array(out, pa.string())], names=[key, "raw"])
 
+    def keep(got: DataFrame) -> tuple[DataFrame, int]:
+        nonlocal answers
+        got = scratch.cut(got, "answers")  # asked once, whatever is read later
+        answers = got if answers is None else answers.unionByName(got)
+        new = scratch.cut(rest.join(got.select(key), key, "left_anti"), "rest")
+        return new, new.count()
+
     while left and tries < attempts:
+        if done is not None and (callable(done) or answers is None):
+            known = done() if callable(done) else done
+            rest, left = keep(known.join(rest.select(key), key, "left_semi").select(key, "answer"))
+            if not left:
+                break
         got = rest.select(key, prompt).mapInArrow(run, T.StructType([rest.schema[key], T.StructField("raw", T.StringType())]))
         got = got.select(key, decode_strict(F.col("raw"), schema).alias("answer")).where("answer is not null")
         if valid is not None:
             got = got.where(valid(F.col("answer")))
-        got = scratch.cut(got, "answers")  # asked once, whatever is read later
-        answers = got if answers is None else answers.unionByName(got)
-        rest = scratch.cut(rest.join(got.select(key), key, "left_anti"), "rest")
-        now = rest.count()
-        tries = 0 if now < left else tries + 1
-        left = now
+        before = left
+        rest, left = keep(got)
+        tries = 0 if left < before else tries + 1
+        if progress:
+            progress(every - left, every)
     if answers is None:
         answers = requests.sparkSession.createDataFrame([], T.StructType([requests.schema[key], T.StructField("answer", schema)]))
     return answers, rest
 
 
 def prompt_text(instruction: str, schema: T.StructType, body: Column) -> Column:
-    """A prompt: what to do, the shape of the answer, the request."""
-    return F.concat(F.lit(instruction + "\nAnswer with one JSON object of this shape: " + json.dumps({f.name: f.dataType.simpleString() for f in schema}) + "\n\n"), body)
+    """A prompt: what to do, the schema of the answer, the request."""
+    return F.concat(F.lit(instruction + "\nAnswer with one JSON object of this schema: " + json.dumps(json_schema(schema)) + "\n\n"), body)
+
+
+def json_schema(kind: T.DataType) -> dict:
+    """The JSON schema of a type: objects with exactly their fields, all required."""
+    if isinstance(kind, T.StructType):
+        return {"type": "object", "properties": {f.name: json_schema(f.dataType) for f in kind}, "required": kind.names, "additionalProperties": False}
+    if isinstance(kind, T.ArrayType):
+        return {"type": "array", "items": json_schema(kind.elementType)}
+    if isinstance(kind, T.BooleanType):
+        return {"type": "boolean"}
+    return {"type": "integer" if isinstance(kind, T.IntegralType) else "number" if isinstance(kind, T.NumericType) else "string"}

@@ -1112,3 +1112,148 @@ def run(a, b):
 case("unreadable", "brace", "go", "package a\n\nfunc Run() {\n", "1 parse_error")
 case("unreadable", "colon", "py", "def run(:\n", "1 parse_error")
 case("unreadable", "readable", "ts", "export const a = 1;\n")
+
+# A tree: rules over several files, directives, and what an embedder and a reviewer decide.
+
+_LONG = "".join(f"\tif step{i}(a, b) > limit {{\n\t\treturn note(a, b, {i})\n\t}}\n" for i in range(4))
+_WIDE = "".join(f"func (w *wide) Part{i}() int {{ return {i} }}\n" for i in range(30))
+_MORE = "".join(f"func (c *core) Item{i}() int {{ return {i + 50} }}\n" for i in range(12))
+TREE: list[tuple[str, str]] = [
+    ("app/main.go", """
+package main
+
+import "example.org/m/internal/kit"
+
+func main() {
+	run(kit.Open("a"))
+}
+
+func run(n int) int {
+	return used(n)
+}
+
+func used(n int) int { return n + 1 }
+
+func forgotten(n int) int {
+	return alsoForgotten(n + 2)
+}
+
+func alsoForgotten(n int) int { return n + 3 }
+
+//strataloom:ignore dead_code -- for the next release
+func planned(n int) int { return n + 4 }
+
+//strataloom:ignore dead_code -- no longer so
+var kept = 1
+
+//strataloom:ignore
+//strataloom:ignore parse_error -- never
+"""),
+    ("app/values.go", """
+package main
+
+var table = []func(int) int{byValue}
+
+func byValue(n int) int { return n + 5 }
+
+type shape interface {
+	area() int
+}
+
+type square struct{ side int }
+
+func (s square) area() int { return s.side * s.side }
+
+func (s square) edge() int { return s.side * 4 }
+
+func (s square) String() string { return "square" }
+"""),
+    ("app/clone.go", f"""
+package main
+
+func First(a, b int) int {{
+{_LONG}	return a
+}}
+
+func Second(x, y int) int {{
+{_LONG.replace("a, b", "x, y")}	return x
+}}
+"""),
+    ("wide/wide.go", f"""
+package wide
+
+type core struct {{
+	size int
+}}
+
+type wide struct {{
+	*core
+	name string
+}}
+
+{_WIDE}
+{_MORE}"""),
+    ("internal/kit/kit.go", "package kit\n\nfunc Open(path string) int { return len(path) }\n"),
+    ("internal/fakes/clock.go", "// Package fakes holds doubles.\npackage fakes\n\nfunc Now() int { return 7 }\n"),
+    ("internal/fakes/disk_test_support.go", "package fakes\n\nfunc Disk() int { return 8 }\n"),
+    ("app/main_test.go", """
+package main
+
+import (
+	"testing"
+
+	"example.org/m/internal/fakes"
+)
+
+func TestA(t *testing.T) {
+	t.Parallel()
+	writeFile(t, "a.go", "package a // 123456")
+	check(t, open(t, fakes.Now()))
+	done(t)
+}
+
+func TestB(t *testing.T) {
+	t.Parallel()
+	writeFile(t, "b.go", "package a // 123456")
+	check(t, open(t, fakes.Disk()))
+	done(t)
+}
+
+//strataloom:serial changes the folder
+func TestC(t *testing.T) {
+	writeFile(t, "c.go", "package a // 123456")
+	alone(t)
+}
+"""),
+    ("web/send.ts", """
+// Works around the old server, see the wiki.
+export function send(a: string): number {
+  return step(a.trim());
+}
+function step(a: string): number {
+  return a.length + 1;
+}
+"""),
+    ("web/send_a.py", "def load(path, names, limit):\n    rows = read(path)\n    out = []\n    for r in rows:\n        if r.name in names and r.size < limit:\n            out.append((r.name, r.size, r.path, r.time))\n    out.sort(key=lambda r: r[1])\n    return out[:limit]\n"),
+    ("web/send_b.py", "def fetch(path, names, limit):\n    rows = read(path)\n    out = []\n    for r in rows:\n        if r.name in names and r.size < limit:\n            out.append((r.name, r.size, r.path, r.time))\n    out.sort(key=lambda r: r[1])\n    return out[:limit]\n"),
+    ("web/other.py", "def total(values):\n    result = 0\n    for v in values:\n        result += v\n    return result\n"),
+]
+TREE = [(path, text.removeprefix("\n")) for path, text in TREE]
+TREE_FINDINGS: list[tuple[str, int, str]] = [
+    ("app/clone.go", 19, "behavior_clone"),
+    ("app/main.go", 9, "trivial_wrapper"),
+    ("app/main.go", 15, "dead_code"),
+    ("app/main.go", 24, "stale_ignore"),
+    ("app/main.go", 27, "invalid_ignore"),
+    ("app/main.go", 28, "invalid_ignore"),
+    ("app/main_test.go", 9, "test_repeated_steps"),
+    ("app/main_test.go", 24, "test_serial_excuse"),
+    ("app/main_test.go", 25, "repeated_test_fixture"),
+    ("app/values.go", 7, "abstraction_overkill"),
+    ("app/values.go", 15, "dead_code"),
+    ("internal/fakes/clock.go", 2, "test_support_filename"),
+    ("web/send.ts", 2, "comment_excuse"),
+    ("web/send.ts", 5, "helper_fragment"),
+    ("web/send_a.py", 1, "semantic_duplicate"),
+    ("wide/wide.go", 7, "god_receiver"),
+]

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from strataloom.frontends import scan
+from strataloom.operators.models import HashEmbedder
+from strataloom.operators.reviews import VERDICTS
+from strataloom.plans import engine
 from strataloom.plans.registry import registrar
-from strataloom.plans.rule_cases import CASES
+from strataloom.plans.rule_cases import CASES, TREE, TREE_FINDINGS
+from strataloom.sources.files import scripts as classified
 
 QUERIES, SQL, query = registrar()
 
@@ -32,3 +39,38 @@ def _group(name: str):
 
 for _name in CASES:
     _group(_name)
+
+
+class TreeReviewer:
+    """Offline stand-in: decides by what the items say, and changes its mind on one of them."""
+
+    def ask(self, prompt: str) -> str:
+        if "repeat each other's steps" in prompt:
+            return json.dumps({"members": ["TestA", "TestB"], "saved": 15 + len(prompt) % 3})
+        key, item = re.search(r"item (\w+) \((\w+)\)", prompt).groups()
+        body = prompt.split("\n\n", 1)[1]
+        verdict = VERDICTS[item][0]
+        if item == "comment" and "Works around" in body:
+            verdict = "excuse"
+        if item == "serial" and "folder" in body:
+            verdict = "serial_excuse"
+        if item == "helper" and "a.length + 1" in body:
+            verdict = "fragment"
+        return json.dumps({"id": key, "verdict": verdict, "advice": "say what it does instead of this"})
+
+
+class TwoWords:
+    """Offline stand-in for an embedder: counts of words, with those of the first line left out."""
+
+    name = "words"
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return HashEmbedder(32).embed([t.split("\n", 1)[-1] for t in texts])
+
+
+@query(values(TREE_FINDINGS, "file, line, kind"))
+def rules_over_files(spark: SparkSession, d: str) -> DataFrame:
+    """A whole run over a small tree: all rules, an embedder, a reviewer, and directives."""
+    files = classified(spark.createDataFrame(TREE, "path string, content string"), ["..."]).where("not generated")
+    found = engine.analyse(files, TwoWords(), 32, TreeReviewer(), {"model": "stand-in"})
+    return engine.outcome(files, found, True, (*engine.EMBEDDED, *engine.REVIEWED)).findings.select("file", "line", "kind")

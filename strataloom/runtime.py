@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
 import zipfile
+from collections.abc import Callable
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 
 #: Serialized rows that may be shipped to every executor; joins with anything larger, or of unknown size, shuffle.
@@ -101,3 +104,39 @@ class Scratch:
 
     def clear(self) -> None:
         delete(self.spark, self.root)
+
+
+def together(spark: SparkSession, tasks: dict[str, Callable[[], object]], grace: float = 2.0) -> dict[str, object]:
+    """The results of functions that start Spark jobs, run at the same time, each in a scheduler pool of its name.
+
+    If one fails, or the caller is interrupted, the jobs of the others are cancelled by their tag, and they get ``grace``
+    seconds to end before the failure is passed on.
+    """
+    context, tag = spark.sparkContext, f"together-{uuid.uuid4().hex}"
+    results: dict[str, object] = {}
+    failures: list[BaseException] = []
+
+    def work(name: str, task: Callable[[], object]) -> None:
+        context.setLocalProperty("spark.scheduler.pool", name)
+        context.addJobTag(tag)
+        try:
+            results[name] = task()
+        except BaseException as e:  # noqa: BLE001
+            failures.append(e)
+
+    threads = [InheritableThread(target=work, args=(n, t), daemon=True) for n, t in tasks.items()]
+    try:
+        for t in threads:
+            t.start()
+        while any(t.is_alive() for t in threads) and not failures:
+            for t in threads:
+                t.join(0.05)
+    except BaseException as e:  # noqa: BLE001
+        failures.append(e)
+    if failures:
+        context.cancelJobsWithTag(tag)
+        end = time.monotonic() + grace
+        for t in threads:
+            t.join(max(0.0, end - time.monotonic()))
+        raise failures[0]
+    return {n: results[n] for n in tasks}

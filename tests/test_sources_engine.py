@@ -1,14 +1,19 @@
+import datetime
 import hashlib
 import json
 import os
 import struct
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
+from strataloom import cli
 from strataloom.frontends import facts, rules, scan
 from strataloom.frontends.syntax import parse
+from strataloom.operators import reviews
 from strataloom.plans import engine
-from strataloom.runtime import Scratch
+from strataloom.runtime import Scratch, together
 from strataloom.sources import files as S
 from strataloom.sources import stores as K
 
@@ -217,9 +222,9 @@ def test_run_over_a_tree(spark, tree):
     r = engine.run(spark, tree)
     assert {x["path"] for x in r.files.collect()} == {"a/x.py", "a/y.go", "a/z.go", "a/bad.py", "b/c/d.ts"}
     got = {(x["file"], x["line"], x["kind"]) for x in r.findings.collect()}
-    assert got == {("a/x.py", 2, "swallowed_error"), ("a/y.go", 5, "prod_must_panic"), ("a/bad.py", 1, "parse_error"), ("a/z.go", 10, "invalid_ignore")}
+    assert got == {("a/x.py", 2, "swallowed_error"), ("a/y.go", 5, "prod_must_panic"), ("a/bad.py", 1, "parse_error"), ("a/z.go", 10, "invalid_ignore"), ("a/y.go", 4, "dead_code"), ("a/y.go", 3, "stale_ignore"), ("a/z.go", 9, "stale_ignore")}
     assert {(x["file"], x["rule"]) for x in r.stale.collect()} == {("a/y.go", "prod_must_panic"), ("a/z.go", "dead_code")}
-    assert [line for line in K.text_report(r.report())][0].startswith("invalid_ignore (1)")
+    assert [line for line in K.text_report(r.report())][0].startswith("dead_code (1)")
     part = engine.run(spark, tree, ["b/..."])
     assert {x["path"] for x in part.files.collect()} == {"b/c/d.ts"} and part.stale.count() == 0
     stamp = Scratch(spark, "stamp").path("stamp.json")
@@ -233,18 +238,101 @@ def test_run_finds_clones_and_judges_its_own_rules(spark, tmp_path):
     for path, text in {
         "a/x.go": "package a\n\nfunc First" + body, "a/y.go": "package a\n\nfunc Second" + body, "b/z.go": "package b\n\n// strataloom:ignore behavior_clone -- agreed\nfunc Third" + body,
         "b/z_test.go": "package b\n\nfunc Fourth" + body,
-        "c/w.go": "package c\n\n" + "".join(f"// strataloom:ignore {r} -- agreed\n" for r in (*engine.ELSEWHERE, "behavior_clone", "dead_code")) + "var a = 1\n",
+        "c/w.go": "package c\n\n" + "".join(f"// strataloom:ignore {r} -- agreed\n" for r in (*engine.EMBEDDED, *engine.REVIEWED, "behavior_clone", "dead_code")) + "var a = 1\n",
     }.items():
         os.makedirs(tmp_path / os.path.dirname(path), exist_ok=True)
         (tmp_path / path).write_text(text)
     r = engine.run(spark, str(tmp_path))
     assert [(x["file"], x["line"], x["message"]) for x in r.findings.where("kind = 'behavior_clone'").collect()] == [("a/y.go", 3, "Second does the same as First at a/x.go:3")]
     assert {(x["file"], x["rule"]) for x in r.stale.collect()} == {("c/w.go", "behavior_clone"), ("c/w.go", "dead_code")}
-    apart = engine.run(spark, str(tmp_path), elsewhere=(*engine.ELSEWHERE, "dead_code"))
-    assert {x["rule"] for x in apart.stale.collect()} == {"behavior_clone"}
     assert not engine.attest(spark, engine.run(spark, str(tmp_path), ["a"]), Scratch(spark, "stamp").path("stamp.json"), {})
 
 
+def test_command_line(spark, tmp_path, capsys):
+    tree, store, stamp = tmp_path / "tree", str(tmp_path / "store"), str(tmp_path / "stamp.json")
+    os.makedirs(tree / "a")
+    (tree / "a/x.py").write_text("def f(a):\n    try:\n        g(a)\n    except E:\n        pass\n")
+    said: list[str] = []
+    main = lambda *a: cli.main([*a], spark, said.append)
+    assert main() == cli.USAGE and main(str(tree), "--format", "none") == cli.USAGE and main(str(tree), "--verify") == cli.USAGE
+    assert main(str(tree), "--format", "lines", "--store", store) == cli.FOUND and said == ["a/x.py:2:1: swallowed_error: the error is dropped"]
+    assert engine.run(spark, str(tree), dims=1024, store=store, policy={"model": "", "patterns": []}).replayed
+    said.clear()
+    assert main(str(tree), "--format", "json") == cli.FOUND
+    assert json.loads("".join(said)) == {"issues": [{"position": "a/x.py:2:1", "kind": "swallowed_error", "message": "the error is dropped"}], "rules": {"swallowed_error": {"finds": "swallowed_error", "fix": ""}}}
+    assert main(str(tree), "--verify", "--stamp", stamp) == cli.FOUND
+    (tree / "a/x.py").write_text("def f(a):\n    return g(a)\n")
+    assert main(str(tree), "--stamp", stamp) == cli.CLEAN == main(str(tree), "--verify", "--stamp", stamp)
+    (tree / "a/y.py").write_text("x = 1\n")
+    assert main(str(tree), "--verify", "--stamp", stamp) == cli.FOUND and said[-1] == "digest differs"
+    assert main(str(tmp_path / "nowhere")) == cli.FAILURE
+    assert cli.INTERRUPTED == 130 and "Path does not exist" in capsys.readouterr().err
+
+
+def test_packages_with_the_same_key_are_not_analysed_again(spark):
+    store = Scratch(spark, "packages").path("entries")
+    lib = "package lib\n\nfunc Open(n int) int { return {} }\n"
+
+    def go(body, main="package app\n\nimport \"m/lib\"\n\nfunc Run() {\n\tpanic(err)\n}\n", signature="n int"):
+        rows = [("lib/a.go", lib.replace("{}", body).replace("n int", signature)), ("app/b.go", main), ("other/c.go", "package other\n")]
+        files = S.scripts(spark.createDataFrame(rows, "path string, content string"), ["..."])
+        found, n = engine.package_findings(spark, files, store, {"v": 1})
+        return sorted((r["file"], r["line"], r["kind"]) for r in found.collect()), n
+
+    want = [("app/b.go", 6, "prod_must_panic")]
+    assert go("n + 1") == (want, 3) and go("n + 1") == (want, 0)
+    assert go("n + 2") == (want, 1)  # the package alone: what it exports is as before
+    assert go("n + 2", signature="n int64") == (want, 2)  # and the one that imports it
+    assert engine.package_keys(S.scripts(spark.createDataFrame([("a.go", "package a\n")], "path string, content string"), ["..."]), {"v": 2}).count() == 1
+
+
+def test_jobs_at_the_same_time(spark):
+    assert together(spark, {"a": lambda: spark.range(10).count(), "b": lambda: spark.range(20).count()}) == {"a": 10, "b": 20}
+
+    def fails():
+        raise ValueError("no")
+
+    slow = lambda: spark.range(8).repartition(8).selectExpr("sum(cast(java_method('java.lang.Thread', 'sleep', 20000L) is null as int))").collect()
+    start = time.monotonic()
+    with pytest.raises(ValueError):
+        together(spark, {"slow": slow, "fails": fails})
+    assert time.monotonic() - start < 10
+
+
+def test_entries_are_pruned_by_use(spark):
+    e = K.Entries(spark, Scratch(spark, "entries").path("e"))
+    e.put(spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int"), "k")
+    later = datetime.datetime.now(datetime.timezone.utc) + datetime.timedelta(days=20)
+    used = e.used().where("key = 'a'").first()["used"]
+    assert [r["v"] for r in e.get(spark.createDataFrame([("a",)], "k string"), "k").collect()] == [1]
+    assert e.used().where("key = 'a'").first()["used"] > used
+    assert e.prune(later, F.col("key") == "a") and not e.prune(later)  # once a day
+    assert {r["key"] for r in e.used().collect()} == {"a"}
+    e.put(spark.createDataFrame([("a", 3)], "k string, v int"), "k")
+    assert [r["v"] for r in e.get(spark.createDataFrame([("a",), ("b",)], "k string"), "k").collect()] == [3]
+
+
+def test_reviews(spark):
+    class Fickle:
+        def ask(self, prompt):
+            key = prompt.split("\nitem ")[1].split(" ")[0]
+            return json.dumps({"id": key, "verdict": "restates" if "plain" in prompt else "keep" if "fine" in prompt else "mock_only", "advice": "say why it is so and not what" if "short" not in prompt else "no"})
+
+    items = spark.createDataFrame([("a.go", "comment", 3, "f", "plain"), ("b.go", "comment", 4, "g", "plain"), ("a.go", "comment", 9, "h", "fine"), ("a.go", "comment", 12, "i", "odd"), ("a.go", "comment", 15, "j", "plain short")], "path string, item string, line int, name string, content string")
+    told: list[tuple[int, int]] = []
+    found, every = reviews.judged(items, Fickle(), {}, ["path"], lambda a, b: told.append((a, b)))
+    assert {tuple(r) for r in found.collect()} == {("a.go", 3, "comment_noise", "say why it is so and not what"), ("b.go", 4, "comment_noise", "say why it is so and not what")}
+    assert {(r["vote"], r["verdict"]) for r in every.collect()} == {(1, "restates"), (1, "keep"), (2, "restates")} and told[0] == (2, 4)
+    c = spark.createDataFrame([("a.go", 5, "repeated_test_fixture"), ("a.go", 1, "split_helper_candidate"), ("a.go", 2, "dead_code")], "file string, line int, kind string")
+    kept, asked = reviews.candidates_and_findings(c)
+    assert {r["line"] for r in kept.collect()} == {5, 2} and {r["line"] for r in asked.collect()} == {5, 1}
+    d = spark.createDataFrame([("a.go", 1, 9, "outer"), ("a.go", 4, 6, "inner")], "f string, a int, b int, name string")
+    own = d.withColumnRenamed("f", "file").withColumnRenamed("a", "start").withColumnRenamed("b", "fin")
+    assert {(r["line"], r["declaration"]["name"]) for r in reviews.with_declarations(asked, own, "file", "line", "start", "fin").collect()} == {(5, "inner"), (1, "outer")}
+    with pytest.raises(Exception, match="no declaration holds"):
+        reviews.with_declarations(asked.withColumn("line", F.lit(50)), own, "file", "line", "start", "fin").collect()
+
+
 def test_first_of_key_in_any_order_of_files(spark, tmp_path):
     import pandas as pd
 
