@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -110,6 +112,26 @@ def shingles(tokens_: Column, width: int = 5) -> Column:
     return F.when(n < 1, F.array().cast("array<bigint>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), at)))
 
 
+def fnv1a(text: Column) -> Column:
+    """FNV-1a, 64 bits, of the UTF-8 bytes of a text, as an unsigned decimal number; null for null. The multiplication
+    wraps, which no built-in function does, so texts go through Arrow batches, byte by byte for all of a batch at once."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        raw = [None if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
+        sizes = np.array([len(r or b"") for r in raw], np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        flat, starts = np.frombuffer(b"".join(r or b"" for r in raw), np.uint8), np.cumsum(sizes) - sizes
+        h = np.full(len(raw), 14695981039346656037, np.uint64)
+        live = np.searchsorted(-sizes[order], -np.arange(int(sizes.max(initial=0))), side="left")
+        for i, n in enumerate(live):
+            rows = order[:n]
+            h[rows] = (h[rows] ^ flat[starts[rows] + i]) * np.uint64(1099511628211)
+        return pd.Series([None if r is None else str(x) for r, x in zip(raw, h.tolist(), strict=True)], dtype=object)
+
+    return run(text)
+
+
 def jaccard(left: Column, right: Column) -> Column:
     """Share of what either set holds that both hold; 0 where one is empty. The sets must be distinct."""
     both = F.size(F.array_intersect(left, right))

@@ -38,6 +38,14 @@ def following(column: str, group: list[str], order: list[str]) -> Column:
     return F.lead(column).over(W.partitionBy(*group).orderBy(*order))
 
 
+def sized_by_neighbours(df: DataFrame, group: list[str], order: list[str], structured: Column, size: Column, alone: int = 15, beside: int = 9) -> DataFrame:
+    """Structured rows of at least ``alone`` in size, or ``beside`` next to another structured row of their group."""
+    w = W.partitionBy(*group).orderBy(*order)
+    rows = df.withColumn("_s", F.coalesce(structured, F.lit(False)))
+    near = F.coalesce(F.lag("_s").over(w), F.lit(False)) | F.coalesce(F.lead("_s").over(w), F.lit(False))
+    return rows.withColumn("_near", near).where(F.col("_s") & (size >= F.when(F.col("_near"), beside).otherwise(alone))).drop("_s", "_near")
+
+
 def since_last(df: DataFrame, group: list[str], order: list[str], invalidates: Column, same: list[str], occurrence: int = 2) -> DataFrame:
     """The ``occurrence``-th row with equal ``same`` columns since the last row that invalidates; with its epoch."""
     epochs = islands(df, group, order, invalidates & F.lit(True), "epoch").where(~F.coalesce(invalidates, F.lit(False)))

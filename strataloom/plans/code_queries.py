@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from strataloom.frontends import scan as C
 from strataloom.functions.text import line_count
-from strataloom.operators import chunks, clones, graph, sequences
+from strataloom.operators import chunks, clones, graph, sequences, usage
 from strataloom.operators import findings as R
 from strataloom.plans.registry import registrar
+from strataloom.plans.sql_text import PIECES
 from strataloom.plans.text_queries import BLOCKS_SQL, blocks
 from strataloom.runtime import Scratch, table
 
@@ -94,18 +95,20 @@ def repeated_fixtures(spark: SparkSession, d: str) -> DataFrame:
     """The third block of a repository with the same literal of at least 16 characters."""
     b = _code(spark, d).where("content is not null and repo is not null")
     t = b.select("repo", "relative_path", "block_id", F.explode(F.regexp_extract_all("content", F.lit(r'"[^"\n]{16,}"'), F.lit(0))).alias("lit")).distinct()
-    w = W.partitionBy("repo", "lit").orderBy("relative_path", "block_id")
-    return t.withColumn("k", F.row_number().over(w)).where("k <= 3").where("k = 3").select("block_id", "lit")
+    return sequences.nth_occurrence(t, ["repo", "lit"], ["relative_path", "block_id"], 3).select("block_id", "lit")
 
 
-@query(f"select block_id, 0 chunk_ix, strlen(body)::int bytes from {BLOCKS_SQL} where body <> ''")
+_BODIES = f"(select block_id, body from {BLOCKS_SQL} where body <> '')"
+
+
+@query(f"with recursive {PIECES(_BODIES)} select block_id, ix::int chunk_ix, (e - s)::int bytes from p")
 def input_sizes(spark: SparkSession, d: str) -> DataFrame:
-    """Bytes of each block's inputs as one piece, at a limit no block reaches."""
+    """Bytes of the pieces of each block, at the limits that model inputs are cut by."""
     b = blocks(spark, d, "content").where("content <> ''")
-    return chunks.exploded(b, ["block_id"], "content", limit=1_000_000_000).select("block_id", "chunk_ix", F.octet_length("piece").alias("bytes"))
+    return chunks.exploded(b, ["block_id"], "content").select("block_id", "chunk_ix", F.octet_length("piece").alias("bytes"))
 
 
-@query()
+@query(f"with recursive {PIECES(_BODIES)} select block_id, count(*) pieces, max(e - s)::int largest, sum(e - s)::bigint bytes from p group by 1")
 def input_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Blocks as overlapping pieces of at most 2,000 bytes."""
     b = blocks(spark, d, "content").where("content <> ''")
@@ -125,8 +128,7 @@ def single_use_functions(spark: SparkSession, d: str) -> DataFrame:
     b = _code(spark, d).where("repo is not null and package_dir is not null")
     f = b.select("repo", "package_dir", F.regexp_extract("symbol", r"[^.]*$", 0).alias("name"), "block_id")
     w = b.where("content is not null").select("repo", "package_dir", F.explode(F.regexp_extract_all("content", F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))).alias("name"))
-    c = w.groupBy("repo", "package_dir", "name").agg(F.count("*").alias("n")).where("n = 2")
-    return f.join(c, ["repo", "package_dir", "name"], "left_semi").select("block_id")
+    return usage.used_once(f, w, ["repo", "package_dir", "name"]).select("block_id")
 
 
 @query()

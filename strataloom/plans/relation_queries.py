@@ -122,6 +122,19 @@ def stale_directives(spark: SparkSession, d: str) -> DataFrame:
     return R.stale(findings(spark, d), valid, True, F.col("rule") != "dead_code").select("file", "target", "rule")
 
 
+@query(
+    f"""with {_V} select file, line, kind from f where (file, line, kind) not in (select file, target, rule from v) and not (kind = 'oversized_owner_file' and file in (select file from v where rule = 'oversized_owner_file'))
+    union all select file, line, 'invalid_ignore' from d where rule in ('stale_ignore', 'invalid_ignore', 'parse_error') or reason is null
+    union all select file, line, 'stale_ignore' from v where not exists (select 1 from f where f.file = v.file and f.kind = v.rule and (f.line = v.target or v.rule = 'oversized_owner_file'))"""
+)
+def united_streams(spark: SparkSession, d: str) -> DataFrame:
+    """What a report holds: findings no directive covers, and directives that are invalid or of no use."""
+    f, valid = findings(spark, d), R.valid_directives(directives(spark, d))
+    kept = R.suppress(f, valid[0]).select("file", "line", "kind")
+    bad = valid[1].select("file", "line", F.lit("invalid_ignore").alias("kind"))
+    return kept.unionByName(bad).unionByName(R.stale(f, valid[0], True).select("file", "line", F.lit("stale_ignore").alias("kind")))
+
+
 @query(f"with {_F} select kind, count(*) over (partition by kind) n, row_number() over (partition by kind order by file, line, col, message) place, file || ':' || line || ':' || col || ': ' || message as text from f")
 def findings_by_kind(spark: SparkSession, d: str) -> DataFrame:
     return R.report(findings(spark, d))

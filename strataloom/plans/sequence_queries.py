@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from strataloom.functions.text import listing
 from strataloom.operators import sequences as S
+from strataloom.operators import usage as U
 from strataloom.operators.ordering import keep_best
 from strataloom.plans.registry import registrar
-from strataloom.plans.text_queries import BLOCKS_SQL, blocks
+from strataloom.plans.text_queries import BLOCKS_SQL, NAME_SQL, WORDS_SQL, blocks, name_of
 from strataloom.runtime import table
 
 QUERIES, SQL, query = registrar()
@@ -38,10 +39,7 @@ def repeated_windows(spark: SparkSession, d: str) -> DataFrame:
 )
 def neighbour_minimum(spark: SparkSession, d: str) -> DataFrame:
     """Structured events above a size that is lower next to another structured one."""
-    kinds = ("purchase", "signup")
-    e = table(spark, d, "events").withColumn("p", S.previous("event_type", USER, TIME)).withColumn("n", S.following("event_type", USER, TIME))
-    near = F.coalesce(F.col("p").isin(*kinds), F.lit(False)) | F.coalesce(F.col("n").isin(*kinds), F.lit(False))
-    return e.where(F.col("event_type").isin(*kinds) & (F.col("value") >= F.when(near, 9).otherwise(15))).select("event_id")
+    return S.sized_by_neighbours(table(spark, d, "events"), USER, TIME, F.col("event_type").isin("purchase", "signup"), F.col("value")).select("event_id")
 
 
 @query(
@@ -190,15 +188,13 @@ def length_batches(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""with w as (select package_dir, lower(list_first(string_split(symbol, '.'))) p from {BLOCKS_SQL} where package_dir is not null),
-    c as (select package_dir, substr(p, 1, 4) prefix, count(*) n from w group by all),
-    a as (select package_dir, sum(n) items, list(prefix order by prefix) filter (where n >= 2) l from c group by package_dir)
-    select package_dir, items::bigint items, case len(l) when 1 then l[1] else array_to_string(l[1:-2], ', ') || ' and ' || l[-1] end prefixes from a where items >= 6 and len(l) >= 2"""
+    f"""with w as (select repo, package_dir, {WORDS_SQL.format(NAME_SQL)} w from {BLOCKS_SQL} where package_dir is not null and repo is not null and symbol is not null),
+    c as (select repo, package_dir, case when len(w) >= 2 then w[1] end p, count(*) n from w group by all),
+    a as (select repo, package_dir, sum(n)::bigint items, list(p order by p) filter (where n >= 2 and p is not null) l from c group by all)
+    select repo, package_dir, items, case len(l) when 1 then l[1] else array_to_string(l[1:-2], ', ') || ' and ' || l[-1] end prefixes from a where items >= 6 and len(l) >= 3"""
 )
 def mixed_prefixes(spark: SparkSession, d: str) -> DataFrame:
-    """Packages of at least 6 blocks whose names begin in at least two ways that occur twice."""
-    b = blocks(spark, d, "package_dir", "symbol").where("package_dir is not null")
-    p = F.substring(F.lower(F.substring_index("symbol", ".", 1)), 1, 4)
-    c = b.groupBy("package_dir", p.alias("prefix")).agg(F.count("*").alias("n"))
-    a = c.groupBy("package_dir").agg(F.sum("n").alias("items"), F.sort_array(F.collect_list(F.when(F.col("n") >= 2, F.col("prefix")))).alias("l"))
-    return a.where((F.col("items") >= 6) & (F.size("l") >= 2)).select("package_dir", "items", listing(F.col("l")).alias("prefixes"))
+    """Packages of at least 6 blocks whose names begin with at least three words that occur twice."""
+    b = blocks(spark, d, "repo", "package_dir", "symbol").dropna()
+    a = U.mixed_prefixes(b.withColumn("name", name_of(F.col("symbol"))), ["repo", "package_dir"], "name")
+    return a.select("repo", "package_dir", "items", listing(F.col("prefixes")).alias("prefixes"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataloom.operators import models as M
+from strataloom.operators import usage as U
 from strataloom.plans.registry import registrar
 from strataloom.plans.text_queries import BLOCKS_SQL, blocks
 from strataloom.runtime import Scratch, table
@@ -71,11 +72,11 @@ def scripts_in_scope(spark: SparkSession, d: str) -> DataFrame:
     return S.scripts(p, ["./src/...", "pkg/..."]).select("path", "lang")
 
 
-@query(f"select sha1('blob ' || strlen(body) || chr(1) || body) id, block_id from {BLOCKS_SQL} where body is not null")
+@query(f"select sha1(encode('blob ' || strlen(body)) || '\\x00'::blob || encode(body)) id, block_id from {BLOCKS_SQL} where body is not null")
 def blob_names(spark: SparkSession, d: str) -> DataFrame:
-    """Names of contents in the manner of Git (with a separator both engines can hold in a text)."""
+    """Git's names of the contents of blocks."""
     b = blocks(spark, d, "content").where("content is not null")
-    return b.select(F.sha1(F.concat(F.lit("blob "), F.octet_length("content").cast("string"), F.lit("\x01"), F.col("content"))).alias("id"), "block_id")
+    return b.select(S.blob_id(F.col("content")).alias("id"), "block_id")
 
 
 @query(f"select block_id, description is not null has_text, description is not null embedded from {BLOCKS_SQL}")
@@ -133,52 +134,50 @@ def uses_and_calls(spark: SparkSession, d: str) -> DataFrame:
     """How often each name is used and called in a package, and whether it is only ever passed on."""
     b = blocks(spark, d, "package_dir", "content").where("content is not null and package_dir is not null")
     w = b.select("package_dir", F.explode(F.regexp_extract_all("content", F.lit(r"[A-Za-z_][A-Za-z0-9_]*\(?"), F.lit(0))).alias("x"))
-    c = w.groupBy("package_dir", F.rtrim("x", F.lit("(")).alias("name")).agg(F.count("*").alias("refs"), F.count_if(F.col("x").endswith("(")).alias("calls"))
-    return c.withColumn("callback", (F.col("calls") == 0) & (F.col("refs") > 1))
+    w = w.select("package_dir", F.rtrim("x", F.lit("(")).alias("name"), F.col("x").endswith("(").alias("called"))
+    return U.use_counts(w, ["package_dir", "name"], "called")
 
 
-@query("select l_orderkey, count(*) lines from lineitem group by 1 having count(*) > 1 and count(distinct l_returnflag) = 1 and bool_and(l_returnflag = 'N')")
+_GIVEN = r"\b([A-Za-z_][A-Za-z0-9_]*)\((nil|null|None|0|false|False|[A-Za-z_][A-Za-z0-9_]*)\)"
+
+
+@query(
+    f"""with t as (select repo, package_dir, unnest(regexp_extract_all(body, '{_GIVEN}')) x from {BLOCKS_SQL} where body is not null and package_dir is not null and repo is not null),
+    c as (select repo, package_dir, regexp_extract(x, '{_GIVEN}', 1) name, regexp_extract(x, '{_GIVEN}', 2) arg from t)
+    select repo, package_dir, name, count(*) n, min(arg) arg from c group by all having count(*) >= 2 and count(distinct arg) = 1"""
+)
 def always_same_value(spark: SparkSession, d: str) -> DataFrame:
-    """Orders of several lines that all carry the same default flag."""
-    g = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("lines"), F.min("l_returnflag").alias("a"), F.max("l_returnflag").alias("b"))
-    return g.where("lines > 1 and a = b and a = 'N'").select("l_orderkey", "lines")
+    """Functions of a package that are always called with the same one argument."""
+    b = blocks(spark, d, "repo", "package_dir", "content").dropna()
+    x = b.select("repo", "package_dir", F.explode(F.regexp_extract_all("content", F.lit(_GIVEN), F.lit(0))).alias("x"))
+    c = x.select("repo", "package_dir", F.regexp_extract("x", _GIVEN, 1).alias("name"), F.regexp_extract("x", _GIVEN, 2).alias("arg"))
+    return U.always_zero(c, ["repo", "package_dir", "name"], "arg", F.lit(True))
+
+
+_POINTS = {r"\bif\b": 1, r"\b(?:switch|case)\b": 2, r"&&|\|\|": 3}
 
 
 @query(
-    f"""select block_id, (len(regexp_extract_all(body, '\\bif\\b')) + 2 * len(regexp_extract_all(body, '\\b(?:switch|case)\\b')) + 3 * len(regexp_extract_all(body, '&&|\\|\\|')))::int points from {BLOCKS_SQL}
-    where body is not null and (len(regexp_extract_all(body, '\\bif\\b')) + 2 * len(regexp_extract_all(body, '\\b(?:switch|case)\\b')) + 3 * len(regexp_extract_all(body, '&&|\\|\\|'))) >= 3"""
+    f"""with p as (select block_id, {' + '.join(f"{n} * len(regexp_extract_all(body, '{p}'))" for p, n in _POINTS.items())} points from {BLOCKS_SQL} where body is not null)
+    select block_id, points::bigint points from p where points >= 3"""
 )
 def complexity_points(spark: SparkSession, d: str) -> DataFrame:
     """Blocks whose points for branches add up to at least 3."""
-    n = lambda p: F.regexp_count("content", F.lit(p))
-    b = blocks(spark, d, "content").where("content is not null").select("block_id", (n(r"\bif\b") + 2 * n(r"\b(?:switch|case)\b") + 3 * n(r"&&|\|\|")).alias("points"))
-    return b.where("points >= 3")
-
-
-@query("select l_suppkey, bit_or(case l_returnflag when 'A' then 1 when 'N' then 2 else 4 end | case l_linestatus when 'O' then 8 else 16 end)::int effects from lineitem group by 1")
-def effect_union(spark: SparkSession, d: str) -> DataFrame:
-    bit = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(4).bitwiseOR(F.when(F.col("l_linestatus") == "O", 8).otherwise(16))
-    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.bit_or(bit).alias("effects"))
+    b = blocks(spark, d, "content").where("content is not null")
+    each = F.explode(F.array(*[F.regexp_count("content", F.lit(p)).cast("bigint") * n for p, n in _POINTS.items()]))
+    return U.scored(b.select("block_id", each.alias("points")), ["block_id"], "points")
 
 
 @query(
-    """with s as (select s_suppkey, count(distinct l_returnflag) n from supplier join lineitem on l_suppkey = s_suppkey group by 1) select s_suppkey from s where n = (select count(distinct l_returnflag) from lineitem)"""
+    f"""with b as (select distinct repo, package_dir, lang from {BLOCKS_SQL} where repo is not null and package_dir is not null and lang is not null), w as (select repo, count(distinct lang) n from b group by 1),
+    d as (select repo, package_dir from b join w using (repo) group by repo, package_dir, n having count(*) = n)
+    select repo, package_dir, count(*) over (partition by repo) = 1 alone from d"""
 )
 def implements_all(spark: SparkSession, d: str) -> DataFrame:
-    """Relational division: suppliers with lines of every flag."""
-    l = table(spark, d, "lineitem").select("l_suppkey", "l_returnflag").distinct()
-    all_flags = l.select("l_returnflag").distinct().agg(F.count("*").alias("all"))
-    have = l.groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("n"))
-    return have.join(F.broadcast(all_flags), F.col("n") == F.col("all")).select("s_suppkey")
-
-
-@query("select 'customer' kind, c_name name from customer where c_acctbal < 0 union all select 'supplier', s_name from supplier where s_acctbal < 0 union all select 'order', o_orderkey::varchar from orders where o_orderstatus = 'F'")
-def united_streams(spark: SparkSession, d: str) -> DataFrame:
-    """Findings of several analyses as one relation."""
-    c = table(spark, d, "customer").where("c_acctbal < 0").select(F.lit("customer").alias("kind"), F.col("c_name").alias("name"))
-    s = table(spark, d, "supplier").where("s_acctbal < 0").select(F.lit("supplier").alias("kind"), F.col("s_name").alias("name"))
-    o = table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.lit("order").alias("kind"), F.col("o_orderkey").cast("string").alias("name"))
-    return c.unionByName(s).unionByName(o)
+    """Relational division: the packages with blocks in every language of their repository, and whether one is alone in that."""
+    b = blocks(spark, d, "repo", "package_dir", "lang").dropna()
+    every = U.division(b, b.select("repo", "lang"), ["package_dir"], ["repo"], "lang")
+    return every.join(U.only_one(every, ["repo"]).withColumn("alone", F.lit(True)), ["repo", "package_dir"], "left").withColumn("alone", F.coalesce("alone", F.lit(False)))
 
 
 @query(f"select match_id from (select match_id, any_value(left_identity) l from matches where match_id is not null group by 1) where l is not null and l not in (select identity from {BLOCKS_SQL} where identity is not null)")

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strataloom.functions import paths as P
 from strataloom.functions import text as X
+from strataloom.operators import models as M
 from strataloom.operators.ordering import keep_best
 from strataloom.plans.registry import registrar
 from strataloom.runtime import table
@@ -55,19 +58,48 @@ def identifier_tests(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""select block_id, len(list_filter(regexp_extract_all(body, '[A-Za-z0-9_$]+|[^A-Za-z0-9_$]+'), lambda t: t = {NAME_SQL}))::int n
-    from {BLOCKS_SQL} where body is not null and regexp_matches(body, '^[\\x00-\\x7f]*$')"""
+    f"""select block_id, len(list_filter(regexp_extract_all(body, '[A-Za-z0-9_$\\x{{80}}-\\x{{10ffff}}]+'), lambda t: t = {NAME_SQL}))::int n from {BLOCKS_SQL} where body is not null"""
 )
 def whole_identifier_occurrences(spark: SparkSession, d: str) -> DataFrame:
-    b = blocks(spark, d, "symbol", "content").where(r"content is not null and not content rlike '[^\\x00-\\x7f]'")
+    """How often the name of a block stands in its content as a whole identifier."""
+    b = blocks(spark, d, "symbol", "content").where("content is not null")
     return b.select("block_id", X.occurrences(F.col("content"), name_of(F.col("symbol"))).cast("int").alias("n"))
 
 
-@query()
-def identifier_occurrences(spark: SparkSession, d: str) -> DataFrame:
-    """As ``whole_identifier_occurrences``, whose SQL is confined to ASCII texts, over every block with content."""
-    b = blocks(spark, d, "symbol", "content").where("content is not null")
-    return b.select("block_id", X.occurrences(F.col("content"), name_of(F.col("symbol"))).cast("int").alias("n"))
+@query(
+    f"""with t as (select block_id, regexp_extract_all(body, '[A-Za-z0-9_]+|[^ \\t\\r\\n]')[1:64] k from {BLOCKS_SQL} where body <> ''),
+    b as (select block_id, list_transform(string_split(trim(regexp_replace(hex(encode(array_to_string(k, ' '))), '(..)', '\\1 ', 'g')), ' '), lambda h: ('0x' || h)::hugeint) x from t where len(k) > 0)
+    select block_id, list_reduce(list_prepend(14695981039346656037::hugeint, x), lambda h, c: (xor(h, c) * 1099511628211::hugeint) % 18446744073709551616::hugeint)::varchar hash from b"""
+)
+def fnv_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """FNV-1a of the first 64 tokens of every block."""
+    b = blocks(spark, d, "content").where("content <> ''").select("block_id", F.slice(X.tokens(F.col("content")), 1, 64).alias("k")).where(F.size("k") > 0)
+    return b.select("block_id", X.fnv1a(F.array_join("k", " ")).alias("hash"))
+
+
+@query(
+    f"""with t as (select block_id, repo, package_dir, list_distinct(regexp_extract_all(body, '[A-Za-z0-9_]+|[^ \\t\\r\\n]')) k from {BLOCKS_SQL} where body <> '' and repo is not null and package_dir is not null),
+    n as (select *, row_number() over (partition by repo, package_dir order by block_id) i from t)
+    select a.block_id, round(len(list_intersect(a.k, b.k)) / (len(a.k) + len(b.k) - len(list_intersect(a.k, b.k))), 9) similarity
+    from n a join n b on a.repo = b.repo and a.package_dir = b.package_dir and b.i = a.i - 1 where len(a.k) > 0 and len(b.k) > 0"""
+)
+def neighbour_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Jaccard similarity of the token sets of each block and the one before it in its package."""
+    b = blocks(spark, d, "repo", "package_dir", "content").dropna().where("content <> ''")
+    w = W.partitionBy("repo", "package_dir").orderBy("block_id")
+    b = b.withColumn("k", F.array_distinct(X.tokens(F.col("content")))).withColumn("p", F.lag("k").over(w))
+    return b.where("size(k) > 0 and size(p) > 0").select("block_id", F.round(X.jaccard(F.col("k"), F.col("p")), 9).alias("similarity"))
+
+
+@query(
+    """with a as (select event_id, value x, row_number() over (partition by user_id order by ts, event_id) n from events)
+    select event_id, x < n lt, x <= n le, x > n gt, x >= n ge, x = n eq, x <> n ne from a"""
+)
+def ordered_comparisons(spark: SparkSession, d: str) -> DataFrame:
+    """Comparisons by operator text, each taken from its mirror with the sides exchanged."""
+    a = table(spark, d, "events").withColumn("n", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")))
+    names = {"lt": "<", "le": "<=", "gt": ">", "ge": ">=", "eq": "==", "ne": "!="}
+    return a.select("event_id", *[X.compare(F.col("n"), X.REVERSED[op], F.col("value")).alias(name) for name, op in names.items()])
 
 
 @query(
@@ -130,17 +162,14 @@ def locality_tiers(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """select pair_id, 'sim-' || substr(sha256(array_to_string(list_sort([li || chr(1) || lh, ri || chr(1) || rh]), chr(1))), 1, 16) made from
+    """select pair_id, 'sim-' || substr(sha256(e[1] || '\\x00'::blob || e[2]), 1, 16) made from (select pair_id, list_sort([encode(li) || '\\x00'::blob || encode(lh), encode(ri) || '\\x00'::blob || encode(rh)]) e from
     (select pair_id, any_value(left_identity) li, any_value(left_hash) lh, any_value(right_identity) ri, any_value(right_hash) rh from pairs where pair_id is not null group by pair_id)
-    where li is not null and lh is not null and ri is not null and rh is not null"""
+    where li is not null and lh is not null and ri is not null and rh is not null)"""
 )
 def pair_names(spark: SparkSession, d: str) -> DataFrame:
-    """Order-free pair names (with a separator that both engines can hold in a text)."""
+    """Order-free names of pairs."""
     p = table(spark, d, "pairs").where("pair_id is not null").groupBy("pair_id").agg(*[F.any_value(c, True).alias(c) for c in ("left_identity", "left_hash", "right_identity", "right_hash")])
-    whole = p.dropna()
-    sep = F.lit("\x01")
-    ends = F.array_sort(F.array(F.concat("left_identity", sep, "left_hash"), F.concat("right_identity", sep, "right_hash")))
-    return whole.select("pair_id", F.concat(F.lit("sim-"), F.substring(F.sha2(F.array_join(ends, "\x01"), 256), 1, 16)).alias("made"))
+    return p.dropna().select("pair_id", X.pair_id(*map(F.col, ("left_identity", "left_hash", "right_identity", "right_hash"))).alias("made"))
 
 
 @query(
@@ -163,14 +192,13 @@ def printf_directives(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """select event_id, try_cast(json_extract_string(props, '$.k') as bigint) k, case when json_valid(props) then len(json_keys(props)) = 1 and json_keys(props)[1] = 'k' else false end strict from events"""
+    """select event_id, try_cast(json_extract_string(props, '$.k') as bigint) k, case when json_valid(props) then len(json_keys(props)) = 1 and json_keys(props)[1] = 'k' and try_cast(json_extract_string(props, '$.k') as bigint) is not null else false end strict from events"""
 )
 def strict_json(spark: SparkSession, d: str) -> DataFrame:
-    """Decode with a schema; strict tells whether there is nothing else in the record."""
-    keys = F.json_object_keys("props")
-    return table(spark, d, "events").select(
-        "event_id", F.from_json("props", "k bigint").getField("k").alias("k"), F.coalesce((F.size(keys) == 1) & (F.element_at(keys, 1) == "k"), F.lit(False)).alias("strict")
-    )
+    """Decode with a schema; strict tells whether the record is that of the schema and no more."""
+    kind = T.StructType([T.StructField("k", T.LongType())])
+    record = M.decode_strict(F.col("props"), kind)
+    return table(spark, d, "events").select("event_id", F.from_json("props", kind).getField("k").alias("k"), record.isNotNull().alias("strict"))
 
 
 @query(

@@ -55,6 +55,12 @@ def tiered_block_pairs(spark: SparkSession, d: str) -> DataFrame:
     return V.similar_blocks(units(spark, d), packed(spark, d), GATES)
 
 
+@query(f"with {_U} {_PAIRS}".replace("- 0.08 ", "").replace("- 0.08)", ")"))
+def tiered_block_pairs_at_gates(spark: SparkSession, d: str) -> DataFrame:
+    """The same at the gates as they are, which few of the invented vectors pass."""
+    return V.similar_blocks(units(spark, d), packed(spark, d), V.Gates())
+
+
 @query(f"with {_U} {_PAIRS}")
 def tiered_block_pairs_in_steps(spark: SparkSession, d: str) -> DataFrame:
     """The same result from an earlier state and the pairs with a changed side."""
