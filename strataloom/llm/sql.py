@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strataloom.plans.sql_text import CANONICAL_IDENTITY
+from strataloom.plans.sql_text import CANONICAL_IDENTITY, PIECES
 
 SQL: dict[str, str] = {}
 
@@ -68,3 +68,17 @@ with v as (
 ), r as (select i, j, c, row_number() over (partition by i order by round(c, 12) desc, j) k from s)
 select distinct least(i, j) vec_a, greatest(i, j) vec_b from r where k <= 5 and c >= 0.85
 """
+
+_LAST = "(select block_id, max_by(content, loaded_at) body from blocks where block_id is not null group by block_id)"
+_CUT = PIECES(f"(select block_id, body from {_LAST} where strlen(body) > 2000)")
+SQL["p4_found"] = f"with recursive {_CUT} select block_id, ix::int chunk_ix, s::int start_byte, e::int end_byte from p"
+SQL["p4_match_pieces"] = f"""
+with recursive {_CUT},
+c as (select block_id, count(*) k from p group by 1),
+i as (select {CANONICAL_IDENTITY('identity')} identity, max(coalesce(k, 1)) pieces from (select block_id, max_by(identity, loaded_at) identity from blocks where block_id is not null group by 1) left join c using (block_id)
+  where identity is not null group by 1),
+m as (select match_id, max_by(left_identity, loaded_at) li, max_by(right_identity, loaded_at) ri, max_by(left_chunk, loaded_at) lc, max_by(right_chunk, loaded_at) rc from matches where match_id is not null group by 1),
+s as (select match_id, 'left' side, {CANONICAL_IDENTITY('li')} identity, lc chunk_ix from m union all select match_id, 'right', {CANONICAL_IDENTITY('ri')}, rc from m)
+select match_id, side, chunk_ix, case when pieces is null then 'no block' when chunk_ix < pieces then 'piece' else 'out of date' end state
+from s left join i using (identity) where identity is not null and chunk_ix is not null
+"""
