@@ -39,9 +39,14 @@ def canonical_tokens(text: str, keep: set[str] = frozenset()) -> list[str]:
 
 def rename_fingerprint(text: str) -> str:
     """Digest of the tokens with only local bindings erased: names that are declared or assigned inside."""
-    toks = [t for t in scan(text) if t.kind not in ("comment", "nl")]
-    local = {a.text for a, b in zip(toks, toks[1:], strict=False) if a.kind == "id" and b.text in (":=", "=", ",") and a.text not in KEYWORDS}
-    local -= {b.text for a, b in zip(toks, toks[1:], strict=False) if a.text == "." and b.kind == "id"}
+    toks = [t for t in scan(text) if t.kind not in ("comment", "nl") and t.text != ";"]
+    local: set[str] = set()
+    for i, t in enumerate(toks):
+        j = i - 1
+        while t.text in (":=", "=") and j >= 0 and toks[j].kind == "id" and (not j or toks[j - 1].text != "."):
+            local.add(toks[j].text)
+            j = j - 2 if j > 1 and toks[j - 1].text == "," else -1
+    local -= KEYWORDS
     names: dict[str, str] = {}
     body = [names.setdefault(t.text, f"v{len(names)}") if t.text in local else t.text for t in toks]
     return hashlib.sha256("\0".join(body).encode("utf-8", "surrogatepass")).hexdigest()

@@ -5,12 +5,15 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from strataloom.frontends import scan
+from strataloom.operators import graph, usage
 from strataloom.operators.models import HashEmbedder
 from strataloom.operators.reviews import VERDICTS
 from strataloom.plans import engine
+from strataloom.plans.frontend_cases import ALIKE, EXPECTED, FORMS, SOURCES
 from strataloom.plans.registry import registrar
 from strataloom.plans.rule_cases import CASES, TREE, TREE_FINDINGS
 from strataloom.sources.files import scripts as classified
@@ -74,3 +77,109 @@ def rules_over_files(spark: SparkSession, d: str) -> DataFrame:
     files = classified(spark.createDataFrame(TREE, "path string, content string"), ["..."]).where("not generated")
     found = engine.analyse(files, TwoWords(), 32, TreeReviewer(), {"model": "stand-in"})
     return engine.outcome(files, found, True, (*engine.EMBEDDED, *engine.REVIEWED)).findings.select("file", "line", "kind")
+
+
+# What the front ends read from a text.
+
+FRONTEND: list[str] = []
+
+
+def frontend(f):
+    """Register a query on the small sources with its literal rows."""
+    FRONTEND.append(f.__name__)
+    columns, rows = EXPECTED.get(f.__name__, ("", []))
+    return query(values(rows, columns) if rows else None)(f)
+
+
+def _sources(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SOURCES, "src string, lang string, is_test boolean, content string")
+
+
+@frontend
+def frontend_functions(spark: SparkSession, d: str) -> DataFrame:
+    f = scan.functions(_sources(spark), ["src"], "content", "lang")
+    return f.select("src", "line", "end_line", "name", "receiver", "params", "results", "statements", "gives", "exported")
+
+
+@frontend
+def frontend_calls(spark: SparkSession, d: str) -> DataFrame:
+    return scan.calls(_sources(spark), ["src"], "content", "lang")
+
+
+@frontend
+def frontend_uses(spark: SparkSession, d: str) -> DataFrame:
+    """Every name a function uses, by itself or behind a dot."""
+    return scan.uses(_sources(spark), ["src"], "content", "lang").where("owner is not null")
+
+
+@frontend
+def frontend_types(spark: SparkSession, d: str) -> DataFrame:
+    return scan.types(_sources(spark), ["src"], "content", "lang")
+
+
+@frontend
+def frontend_imports(spark: SparkSession, d: str) -> DataFrame:
+    return scan.imports(_sources(spark), ["src"], "content", "lang")
+
+
+@frontend
+def frontend_interfaces(spark: SparkSession, d: str) -> DataFrame:
+    return scan.interface_methods(_sources(spark), ["src"], "content", "lang")
+
+
+@frontend
+def frontend_exports(spark: SparkSession, d: str) -> DataFrame:
+    return scan.exports(_sources(spark), ["src"], "content", "lang")
+
+
+@frontend
+def frontend_tests(spark: SparkSession, d: str) -> DataFrame:
+    t = scan.test_calls(_sources(spark), ["src"], "content", "lang")
+    return t.select("src", "name", "line", "end_line", F.array_join("calls", " ").alias("calls"))
+
+
+@frontend
+def frontend_fixtures(spark: SparkSession, d: str) -> DataFrame:
+    return scan.written_fixtures(_sources(spark), ["src"], "content", "lang")
+
+
+@frontend
+def review_items(spark: SparkSession, d: str) -> DataFrame:
+    return scan.review_items(_sources(spark), ["src"], "content", "lang", "is_test").select("src", "item", "line", "name")
+
+
+@frontend
+def effect_union(spark: SparkSession, d: str) -> DataFrame:
+    """The effects of a function and of all it leads to, as bits."""
+    s = _sources(spark)
+    name = lambda c: F.concat_ws("::", "src", c)
+    own = scan.functions(s, ["src"], "content", "lang").select(name("name").alias("v"), F.col("effects").cast("bigint").alias("bits"))
+    e = scan.calls(s, ["src"], "content", "lang").select(name("caller").alias("src"), name("callee").alias("dst"))
+    return graph.spread_bits(e.join(own.select(F.col("v").alias("dst")), "dst", "left_semi"), own)
+
+
+@frontend
+def behaviour_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Functions that do the same, by the first of each class."""
+    rows = spark.createDataFrame([(n, "go", "package a\n\n" + t) for n, t in ALIKE], "src string, lang string, content string")
+    f = scan.functions(rows, ["src"], "content", "lang")
+    return f.select("src", F.min("src").over(Window.partitionBy("digest")).alias("same_as"))
+
+
+@frontend
+def canonical_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with the same canonical form, and with the same fingerprint, by the first of each class."""
+    rows = spark.createDataFrame([(n, "go", t) for n, t in FORMS], "src string, lang string, content string")
+    c = scan.canonical(rows, ["src"], "content", "lang", least=1)
+    first = lambda k: F.min("src").over(Window.partitionBy(k))
+    return c.select("src", "tokens", first("digest").alias("form_of"), first("fingerprint").alias("fingerprint_of"))
+
+
+@frontend
+def interface_implementations(spark: SparkSession, d: str) -> DataFrame:
+    """Interfaces of the tree with the types that have all their methods, and whether there is only one."""
+    files = classified(spark.createDataFrame(TREE, "path string, content string"), ["..."])
+    wanted = scan.interface_methods(files, ["path"], "content", "lang").select("interface", "method")
+    have = scan.functions(files, ["path"], "content", "lang").where("receiver <> ''").select(F.ltrim(F.col("receiver"), F.lit("*")).alias("type"), F.col("name").alias("method"))
+    found = usage.division(have, wanted, ["type"], ["interface"], "method")
+    return found.join(usage.only_one(found, ["interface"]).withColumn("alone", F.lit(True)), ["interface", "type"], "left").select("interface", "type", F.coalesce("alone", F.lit(False)).alias("alone"))
