@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 import re
+import struct
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +19,7 @@ from strataloom.plans import engine
 from strataloom.plans.frontend_cases import ALIKE, EXPECTED, FORMS, SOURCES
 from strataloom.plans.registry import registrar
 from strataloom.plans.rule_cases import CASES, TREE, TREE_FINDINGS
+from strataloom.sources import files as sources
 from strataloom.sources.files import scripts as classified
 
 QUERIES, SQL, query = registrar()
@@ -183,3 +187,64 @@ def interface_implementations(spark: SparkSession, d: str) -> DataFrame:
     have = scan.functions(files, ["path"], "content", "lang").where("receiver <> ''").select(F.ltrim(F.col("receiver"), F.lit("*")).alias("type"), F.col("name").alias("method"))
     found = usage.division(have, wanted, ["type"], ["interface"], "method")
     return found.join(usage.only_one(found, ["interface"]).withColumn("alone", F.lit(True)), ["interface", "type"], "left").select("interface", "type", F.coalesce("alone", F.lit(False)).alias("alone"))
+
+
+# Listings of packages and the Git index.
+
+_LISTING = [
+    {"ImportPath": "m/app", "Dir": "/m/app", "Imports": ["m/lib", "fmt"]},
+    {"ImportPath": "m/app [m/app.test]", "Dir": "/m/app", "ForTest": "m/app", "Imports": ["m/lib", "m/fakes", "testing"]},
+    {"ImportPath": "m/app_test [m/app.test]", "Dir": "/m/app", "ForTest": "m/app", "Imports": ["m/app [m/app.test]", "m/more"]},
+    {"ImportPath": "m/lib", "Dir": "/m/lib", "DepOnly": True, "Imports": ["m/deep"]},
+    {"ImportPath": "m/deep", "Dir": "/m/deep", "DepOnly": True},
+    {"ImportPath": "m/fakes", "Dir": "/m/fakes", "DepOnly": True, "Imports": ["m/lib"]},
+    {"ImportPath": "m/other", "Dir": "/m/other", "DepOnly": True, "Imports": ["m/lib"]},
+    {"ImportPath": "m/more", "Dir": "/m/more", "DepOnly": True},
+]
+
+
+@query(values([("m/app", "test", 0), ("m/app_test", "external", 0), ("m/lib", "", 1), ("m/fakes", "", 1), ("m/more", "", 1), ("m/deep", "", 2)], "path, variant, depth"))
+def package_targets(spark: SparkSession, d: str) -> DataFrame:
+    """The packages of a listing that a run looks at, each in one variant, and all they import."""
+    text = "\n".join(json.dumps(p) for p in _LISTING)
+    p = sources.packages(spark.createDataFrame([(text,)], "text string"), "text")
+    chosen = sources.target_variants(p, "path", "variant")
+    met = sources.with_dependencies(chosen, chosen.where("not dependency"))
+    return chosen.select("path", "variant").join(met, "path")
+
+
+def index_bytes(entries: list[tuple[str, str, int]], version: int = 2) -> bytes:
+    """A Git index, for tests."""
+    out, before = b"DIRC" + struct.pack(">II", version, len(entries)), b""
+    for path, blob, mode in entries:
+        name = path.encode()
+        e = b"\0" * 24 + struct.pack(">I", mode) + b"\0" * 12 + bytes.fromhex(blob) + struct.pack(">H", len(name))
+        if version == 4:
+            same = len(os.path.commonprefix([before, name]))
+            drop = len(before) - same
+            number = bytes([drop & 0x7F])
+            while drop >> 7:
+                drop = (drop >> 7) - 1
+                number = bytes([0x80 | drop & 0x7F]) + number
+            out += e + number + name[same:] + b"\0"
+        else:
+            e += name
+            out += e + b"\0" * (8 - len(e) % 8)
+        before = name
+    return out + hashlib.sha1(out).digest()
+
+
+_TRACKED = [("a/x.go", 0o100644), ("a/y.py", 0o100755), ("b/link.ts", 0o120000), ("b/z.ts", 0o100644), ("gone.go", 0o100644), ("vendor/v.go", 0o100644)]
+
+
+@query(values([(v, p, lang) for v in (2, 4) for p, lang in (("a/x.go", "go"), ("a/y.py", "py"), ("b/z.ts", "ts"))], "version, path, lang"))
+def tracked_scripts(spark: SparkSession, d: str) -> DataFrame:
+    """The scripts that a Git index tracks and that exist: no links, nothing vendored, nothing untracked."""
+    there = spark.createDataFrame([(p, "x") for p, _ in _TRACKED if p != "gone.go"] + [("a/untracked.go", "x")], "path string, content string")
+    out = None
+    for version in (2, 4):
+        raw = index_bytes([(p, hashlib.sha1(p.encode()).hexdigest(), m) for p, m in _TRACKED], version)
+        index = sources.index_table(spark.createDataFrame([(raw,)], "content binary"), "content")
+        one = sources.tracked_scripts(index, there, ["..."]).select(F.lit(version).alias("version"), "path", "lang")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -90,25 +90,79 @@ def target_variants(packages: DataFrame, base: str, variant: str) -> DataFrame:
     return newest(own, [base], [rank], 1).unionByName(packages.where(F.col(variant) == "external"))
 
 
+#: What a package listing says of a package; further fields are passed over.
+PACKAGE = "ImportPath string, Dir string, ForTest string, DepOnly boolean, Imports array<string>, TestImports array<string>, Error struct<Err: string>"
+
+
+def packages(listing: DataFrame, text: str) -> DataFrame:
+    """Packages of a listing, given as texts of concatenated JSON documents; the first package with an error fails the scan.
+
+    (path, dir, variant, dependency, imports): variant is "test" for a package built with its own tests, "external" for
+    tests of their own package, else "".
+    """
+    p = json_stream(listing, text, T._parse_datatype_string(PACKAGE))
+    path = F.substring_index("ImportPath", " ", 1)
+    variant = F.when(F.coalesce("ForTest", F.lit("")) == "", "").when(path.endswith("_test"), "external").otherwise("test")
+    checked = F.when(F.col("Error.Err").isNotNull(), F.raise_error(F.concat(path, F.lit(": "), F.col("Error.Err")))).otherwise(path)
+    imports = F.transform(F.coalesce("Imports", F.array().cast("array<string>")), lambda i: F.substring_index(i, " ", 1))
+    return p.select(checked.alias("path"), F.col("Dir").alias("dir"), variant.alias("variant"), F.coalesce("DepOnly", F.lit(False)).alias("dependency"), imports.alias("imports"))
+
+
+def with_dependencies(listed: DataFrame, targets: DataFrame) -> DataFrame:
+    """``(path, depth)``: the target packages (depth 0) and all they import, directly or not, as far as they are listed."""
+    from strataloom.operators import graph
+
+    edges = listed.select(F.col("path").alias("src"), F.explode("imports").alias("dst")).join(listed.select(F.col("path").alias("dst")).distinct(), "dst", "left_semi")
+    return graph.reachable(edges, targets.select(F.col("path").alias("v"))).withColumnRenamed("v", "path")
+
+
 def git_index(raw: bytes) -> list[tuple[str, str, int]]:
-    """(path, blob id, mode) of a version 2 or 3 Git index (public format: header DIRC, version, count; 62 bytes an
-    entry, path padded with NULs to a multiple of 8). The index is one file of the working tree, read on the driver."""
+    """(path, blob id, mode) of a Git index of version 2, 3 or 4 (public format: header DIRC, version, count; 62 bytes an
+    entry, then the path: padded with NULs to a multiple of 8, or from version 4 on as the number of bytes to drop from the
+    path before and what follows)."""
     if raw[:4] != b"DIRC":
         raise ValueError("no Git index")
     version, count = struct.unpack(">II", raw[4:12])
-    if version not in (2, 3):
+    if version not in (2, 3, 4):
         raise ValueError(f"Git index of version {version}")
-    at, out = 12, []
+    at, out, path = 12, [], b""
     for _ in range(count):
         mode = struct.unpack(">I", raw[at + 24 : at + 28])[0]
         blob, flags = raw[at + 40 : at + 60].hex(), struct.unpack(">H", raw[at + 60 : at + 62])[0]
         start = at + 62 + (2 if flags & 0x4000 else 0)
-        end = raw.index(b"\0", start)
-        out.append((raw[start:end].decode("utf-8", "surrogateescape"), blob, mode))
-        at += (end - at + 8) // 8 * 8
+        if version == 4:
+            drop = raw[start] & 0x7F
+            while raw[start] & 0x80:
+                start += 1
+                drop = ((drop + 1) << 7) | (raw[start] & 0x7F)
+            end = raw.index(b"\0", start + 1)
+            path = path[: len(path) - drop] + raw[start + 1 : end]
+            at = end + 1
+        else:
+            end = raw.index(b"\0", start)
+            path = raw[start:end]
+            at += (end - at + 8) // 8 * 8
+        out.append((path.decode("utf-8", "surrogateescape"), blob, mode))
     return out
 
 
+def index_table(indexes: DataFrame, content: str) -> DataFrame:
+    """``(path, blob, mode)`` of Git indexes given as binary contents (``spark.read.format("binaryFile")``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [e for raw in b.column(0).to_pylist() if raw is not None for e in git_index(raw)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32())], names=["path", "blob", "mode"])
+
+    return indexes.select(content).mapInArrow(run, "path string, blob string, mode int")
+
+
+def tracked_scripts(index: DataFrame, there: DataFrame, patterns: list[str]) -> DataFrame:
+    """Script files in scope that the index tracks and that exist (there: with path and content), classified."""
+    regular = index.where(F.col("mode").bitwiseAND(0o170000) == 0o100000).select("path").distinct()
+    return scripts(there.join(regular, "path", "left_semi"), patterns)
+
+
 def blob_id(content: Column) -> Column:
     """Git's name of a file's content."""
     body = content.cast("binary")

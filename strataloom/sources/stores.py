@@ -18,11 +18,11 @@ from pyspark.sql import types as T
 from strataloom.operators.ordering import keep_best
 from strataloom.runtime import delete
 
-#: First bytes of a vector record; then dimensions as u32 and values as f32, both little-endian.
+#: First bytes of a vector record unless others are given; then dimensions as u32 and values as f32, both little-endian.
 MAGIC = b"SLV1"
 
 
-def encode_vectors(df: DataFrame, key: str, vec: str) -> DataFrame:
+def encode_vectors(df: DataFrame, key: str, vec: str, magic: bytes = MAGIC) -> DataFrame:
     """``(key, record)``: normalised vectors as binary records; unusable ones (empty, zero, not finite) are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -33,14 +33,14 @@ def encode_vectors(df: DataFrame, key: str, vec: str) -> DataFrame:
                 n = np.sqrt((x * x).sum()) if len(x) else 0.0
                 if np.isfinite(n) and n > 0:
                     keep.append(i)
-                    out.append(MAGIC + struct.pack("<I", len(x)) + (x / n).astype("<f4").tobytes())
+                    out.append(magic + struct.pack("<I", len(x)) + (x / n).astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(keep, pa.int64())), pa.array(out, pa.binary())], names=[key, "record"])
 
     rows = df.select(key, vec)
     return rows.mapInArrow(run, T.StructType([rows.schema[key], T.StructField("record", T.BinaryType())]))
 
 
-def decode_vectors(df: DataFrame, key: str, record: str = "record", most: int = 65536) -> DataFrame:
+def decode_vectors(df: DataFrame, key: str, record: str = "record", most: int = 65536, magic: bytes = MAGIC) -> DataFrame:
     """``(key, vec)`` of valid records; a wrong mark, length or number of dimensions makes a record absent."""
     rows = df.select(key, record)
 
@@ -48,7 +48,7 @@ def decode_vectors(df: DataFrame, key: str, record: str = "record", most: int =
         for b in batches:
             keep, out = [], []
             for i, r in enumerate(b.column(record).to_pylist()):
-                if r is None or len(r) < 8 or r[:4] != MAGIC:
+                if r is None or len(r) < 8 or r[:4] != magic:
                     continue
                 n = struct.unpack("<I", r[4:8])[0]
                 if not 0 < n <= most or len(r) != 8 + 4 * n:

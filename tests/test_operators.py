@@ -269,3 +269,63 @@ def test_pieces_by_brute_force():
     for limit, overlap, search in [(2000, 256, 512)] * 40 + [(40, 8, 12)] * 40:
         text = "".join(r.choice("ab é€😀" + "\n" * r.choice((0, 1))) for _ in range(r.choice((0, 10, 60, 700, 4000)))).encode()
         assert pieces(text, limit, overlap, search) == slow(text, limit, overlap, search)
+
+
+def test_embedding_server_and_subprocess(spark, tmp_path):
+    """Providers against a server and a program of this machine."""
+    import http.server
+    import json
+    import sys
+    import threading
+
+    from pyspark.sql import types as T
+
+    from strataloom.operators import models as M
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            data = [{"index": i, "embedding": [float(len(t)), 1.0]} for i, t in enumerate(asked["input"])][::-1]
+            body = json.dumps({"model": asked["model"], "data": data}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_port}"
+        df = spark.createDataFrame([(1, "abc"), (2, "abc"), (3, None), (4, "abcdef")], "k int, t string")
+        got = M.once_per_content(df, "t", lambda i: M.embed(i, M.HttpEmbedder(url, "m"))).collect()
+        assert {r["k"]: r["vec"] for r in got} == {1: [3.0, 1.0], 2: [3.0, 1.0], 3: None, 4: [6.0, 1.0]}
+        with pytest.raises(ValueError):
+            M.HttpEmbedder(url, "m", most=10).embed(["abc"])
+    finally:
+        server.shutdown()
+    kind = T.StructType([T.StructField("n", T.LongType()), T.StructField("names", T.ArrayType(T.StringType()))])
+    program = tmp_path / "answer.py"
+    program.write_text("import json, sys\ns = json.load(open(sys.argv[1]))\nprint(json.dumps({'n': len(sys.stdin.read()), 'names': s['required']}))")
+    ask = M.SubprocessResponder([sys.executable, str(program), "{schema}"], schema=kind)
+    assert json.loads(ask.ask("four")) == {"n": 4, "names": ["n", "names"]}
+    requests = spark.createDataFrame([("a", "xy"), ("b", "xyz")], "key string, prompt string")
+    answers, rest = M.run_tasks(requests, "key", "prompt", ask, kind)
+    assert {r["key"]: r["answer"]["n"] for r in answers.collect()} == {"a": 2, "b": 3} and rest.count() == 0
+    known = answers.where("key = 'a'")
+    again, rest = M.run_tasks(requests, "key", "prompt", ask, kind, done=lambda: known)
+    assert again.count() == 2 and rest.count() == 0
+
+
+def test_batches_keep_their_caps(spark):
+    from strataloom.operators import models as M
+    from strataloom.operators import sequences as S
+
+    df = spark.createDataFrame([(i, (i * 7919) % 9000 + (70_000 if i % 200 == 0 else 0)) for i in range(1000)], "k int, size int")
+    b = M.balanced_batches(df, "k", "size", per_lane=300).groupBy("lane", "batch").agg({"size": "sum", "k": "count"}).collect()
+    assert len({r["lane"] for r in b}) == 4 and sum(r["count(k)"] for r in b) == 1000
+    assert all(r["count(k)"] <= 16 and (r["sum(size)"] + 32 * r["count(k)"] <= 64_000 or r["count(k)"] == 1) for r in b)
+    u = S.running_batches(df, ["size", "k"], "size", 128, 64_000, per_lane=400).groupBy("lane", "unit").agg({"size": "sum", "k": "count"}).collect()
+    assert len({r["lane"] for r in u}) == 3 and sum(r["count(k)"] for r in u) == 1000
+    assert all(r["count(k)"] <= 128 and (r["sum(size)"] <= 64_000 or r["count(k)"] == 1) for r in u)

@@ -13,6 +13,7 @@ from strataloom.frontends import facts, rules, scan
 from strataloom.frontends.syntax import parse
 from strataloom.operators import reviews
 from strataloom.plans import engine
+from strataloom.plans.rule_queries import index_bytes
 from strataloom.runtime import Scratch, together
 from strataloom.sources import files as S
 from strataloom.sources import stores as K
@@ -190,18 +191,12 @@ def test_canonical_tokens():
     assert scan.rename_fingerprint("x := load(); use(x)") == scan.rename_fingerprint("y := load(); use(y)") != scan.rename_fingerprint("y := read(); use(y)")
 
 
-def index(entries):
-    out = b"DIRC" + struct.pack(">II", 2, len(entries))
-    for path, blob in entries:
-        e = b"\0" * 24 + struct.pack(">I", 0o100644) + b"\0" * 12 + bytes.fromhex(blob) + struct.pack(">H", len(path)) + path.encode()
-        out += e + b"\0" * (8 - len(e) % 8)
-    return out + hashlib.sha1(out).digest()
-
-
 def test_git_index():
     blob = S.blob_id_of(b"hello\n")
     assert blob == "ce013625030ba8dba906f756967f9e9ca394464a"
-    assert S.git_index(index([("a.py", blob), ("dir/longer name.ts", blob)])) == [("a.py", blob, 0o100644), ("dir/longer name.ts", blob, 0o100644)]
+    entries = [("a.py", blob, 0o100644), ("dir/longer name.ts", blob, 0o100644), ("dir/longer named.ts", blob, 0o100755), ("x" * 300, blob, 0o100644), ("y", blob, 0o100644)]
+    for version in (2, 4):
+        assert S.git_index(index_bytes(entries, version)) == entries
     with pytest.raises(ValueError):
         S.git_index(b"nothing")
 
