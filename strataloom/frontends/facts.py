@@ -13,7 +13,9 @@ labels are left out.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 from strataloom.frontends.syntax import Func, Node, group, walk
 
@@ -43,6 +45,13 @@ State = dict  # name -> Fact; "=name" -> the name it stands for; "?name" -> the
 Condition = tuple  # ("and"|"or", parts), ("not", part), ("cmp", name, op, constant), ("call", name, arguments), ("unknown",)
 
 
+@lru_cache(maxsize=100_000)
+def root(name: str) -> str:
+    """The plain name that a field or a length belongs to."""
+    return name.removeprefix("len(").removesuffix(")").split(".")[0]
+
+
+@lru_cache(maxsize=100_000)
 def number(x: str) -> float | None:
     try:
         return float(int(x.replace("_", ""), 0)) if re.match(r"[-+]?\d[\d_]*$|[-+]?0[xXbBoO]", x) else float(x)
@@ -215,7 +224,7 @@ class Facts:
         self.summaries, self.hidden = summaries or {}, hidden
 
     def tracked(self, name: str) -> bool:
-        return re.sub(r"^len\(|\)$", "", name).split(".")[0] not in self.hidden
+        return root(name) not in self.hidden
 
     def get(self, s: State, name: str) -> Fact:
         f = s.get(name)
@@ -298,7 +307,7 @@ class Facts:
 
     def forget(self, s: State, names: set[str], fields: bool = False) -> State:
         """Without what is known of these names, their fields and lengths, and with ``fields`` of any field."""
-        stale = lambda n: re.sub(r"^len\(|\)$", "", n).split(".")[0] in names or n in names or fields and "." in n
+        stale = lambda n: root(n) in names or n in names or fields and "." in n
         out = {}
         for k, v in s.items():
             if k[0] == "=":
@@ -438,7 +447,7 @@ class Interpreter:
         receivers = {tokens[i - 2] for i in calls if i > 1 and tokens[i - 1] == "."}
         out = []
         for s in states:
-            others = {re.sub(r"^len\(|\)$", "", k).split(".")[0] for k in s if k[0] not in "=?"} - self.locals
+            others = {root(k) for k in s if k[0] not in "=?"} - self.locals
             kept = {k: s[k] for k in receivers if k in s and k not in others and (s[k].value == "nil" or "nil" in s[k].nots)}
             s = self.facts.forget(s, others | receivers, True) | kept
             for i in calls:
@@ -513,7 +522,7 @@ class Interpreter:
         test = [] if over else parts[1] if len(parts) == 3 else parts[0]
         changed = written([n])
         fields = any("(" in x.head or "." in x.head for x, _, _, _ in walk([n]))
-        entry = bounded([self.facts.forget(s, changed | ({re.sub(r"^len\(|\)$", "", k).split(".")[0] for k in s if k[0] not in "=?"} - self.locals if fields else set()), fields) for s in states])
+        entry = bounded([self.facts.forget(s, changed | ({root(k) for k in s if k[0] not in "=?"} - self.locals if fields else set()), fields) for s in states])
         c = condition(test) if test else ("unknown",)
         body = self.block(n.block("then") or [], bounded([x for s in entry for x in self.facts.refine(s, c, True)]))
         if n.block("else") is not None:  # Python: runs unless the loop was left
@@ -576,7 +585,14 @@ def summarise(funcs: list[Func], lang: str) -> dict[str, Summary]:
     """
     from strataloom.frontends.rules import ENSURES, contract
 
-    plain = {f.name: f for f in funcs if not f.receiver and sum(g.name == f.name for g in funcs) == 1}
+    called: dict[str, set[str]] = {}
+    for g in funcs:
+        for n, _, _, _ in walk(g.body):
+            for x, y in zip(n.head, n.head[1:], strict=False):
+                if y == "(":
+                    called.setdefault(x, set()).add(g.name)
+    count = Counter(g.name for g in funcs)
+    plain = {f.name: f for f in funcs if not f.receiver and count[f.name] == 1 and called.get(f.name)}  # what nobody calls needs none
     out: dict[str, Summary] = {}
     for name, f in plain.items():
         stated = [contract(l, {p for p, _ in f.params}) for l in f.doc.split("\n") if l.startswith(ENSURES)]
@@ -619,7 +635,7 @@ def summarise(funcs: list[Func], lang: str) -> dict[str, Summary]:
 def decided(f: Func, lang: str = "go", summaries: dict[str, Summary] | None = None) -> list[tuple[int, str, str]]:
     """Findings: conditions that are always true or always false where they stand, operands of them that are, and cases
     that are never reached."""
-    if _jumps(f):
+    if _jumps(f) or not any(n.kind in ("if", "switch") for n, _, _, _ in walk(f.body)):
         return []
     run = Interpreter(f, lang, summaries)
     run.run()
