@@ -6,11 +6,11 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-from strataloom.frontends.syntax import Func, Node, Unit, group, body_key, statements, walk
+from strataloom.fixed import COMMENT_WORDS, GENERIC, NOISE
+from strataloom.frontends.syntax import Func, Node, Unit, body_key, group, statements, walk
 
 #: Limits (fixed values): lines of a file, statements, parameters and results of a function; runs of declarations.
 FILE_LINES, STATEMENTS, PARAMS, RESULTS, RUN = 1000, 40, 6, 3, 10
-GENERIC = {"helper", "manager", "processor", "util", "utils", "base", "impl", "wrapper"}
 MEMBERSHIP = {"Contains", "Index"}
 #: Calls that sort, that leave the process and that build what does not change (fixed values).
 SORTS = {"sort": {"Float64s", "Ints", "Slice", "SliceStable", "Sort", "Stable", "Strings"}, "slices": {"Sort", "SortFunc", "SortStableFunc"}}
@@ -25,11 +25,6 @@ COMPLEXITY_LINTERS = {"cyclop", "gocognit", "nestif"}
 SLEEPS = re.compile(r"\b(?:time \. (?:Sleep|sleep)|asyncio \. sleep|setTimeout|sleep) \(")
 FAKES = re.compile(r"useFakeTimers|fakeClock|monkeypatch|freeze_time|mock\.patch|synctest")
 ASSERTS = re.compile(r"\b(?:t|b) \. (?:Error|Errorf|Fatal|Fatalf|Fail|FailNow)\b|\b(?:assert|require|expect|raises)\b|\bassertEqual\b|\bpanic \(")
-#: Words of a comment that say nothing, and most words of one that may only repeat a name (fixed values).
-NOISE = set(
-    "a an and const for func function helper internal local method of or private return returns set sets struct that the this to type var value".split()
-)
-COMMENT_WORDS = 6
 #: How an error is named, where no types are known.
 ERROR = re.compile(r"err$|[a-z]\w*Err$|[eE]rr[A-Z]\w*$")
 #: Directives in comments: why a test runs alone; what a function guarantees.
@@ -151,7 +146,7 @@ def wrappers(u: Unit) -> Iterator[Finding]:
                 callee, args = h[:at], [x for x in h[at + 1 : -1] if x not in (",", "...")]
                 if callee and all(re.match(r"[\w$.]+$", x) for x in callee) and callee[-1] != f.name and names and args == names and f.end - f.line <= 3:
                     yield f.line, "trivial_wrapper", f"{f.name} only forwards to {''.join(callee)}"
-        if set(words(f.name)) & GENERIC and private(f, u.lang):
+        if set(words(f.name)) & set(GENERIC) and private(f, u.lang):
             yield f.line, "generic_naming", f"{f.name} names no role"
 
 

@@ -7,10 +7,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words in a helper's name that name no role (fixed values).
-GENERIC = ("helper", "manager", "processor", "util", "utils", "base", "impl", "wrapper")
-#: Marks of a generated file, looked for in its first five lines (fixed values).
-GENERATED = r"@generated|DO NOT EDIT|Code generated"
+from strataloom.fixed import COMMENT_WORDS, GENERATED, GENERIC, NOISE
+
 #: A longest run of ASCII letters, digits and underscores, or any other visible character.
 TOKENS = r"[A-Za-z0-9_]+|[^ \t\r\n]"
 
@@ -45,11 +43,11 @@ def occurrences(text: Column, name: Column) -> Column:
     return F.when(name == "", 0).otherwise(F.regexp_count(text, quoted))
 
 
-def comment_words(comment: Column, noise: tuple[str, ...] = ()) -> Column:
+def comment_words(comment: Column, noise: tuple[str, ...] = NOISE) -> Column:
     return F.filter(F.split(F.lower(comment), r"[^\p{L}\p{Nd}]+"), lambda w: (w != "") & (~w.isin(*noise) if noise else F.lit(True)))
 
 
-def restates(comment: Column, identifier: Column, noise: tuple[str, ...] = (), cap: int = 8) -> Column:
+def restates(comment: Column, identifier: Column, noise: tuple[str, ...] = NOISE, cap: int = COMMENT_WORDS) -> Column:
     """The comment says no more than the identifier: the same words, up to endings s, ed, ing and noise words."""
     said, named = comment_words(comment, noise), words(identifier)
     stems = lambda w: F.array(w, F.regexp_replace(w, "s$", ""), F.regexp_replace(w, "ed$", ""), F.regexp_replace(w, "ing$", ""))

@@ -81,16 +81,6 @@ def test_only(spark: SparkSession, d: str) -> DataFrame:
     return G.only_through(edges(spark, d), b.where("t").select("v"), b.where("not t").select("v"))
 
 
-@query()
-def reachable_while_live(spark: SparkSession, d: str) -> DataFrame:
-    """Edges of low structural score hold only while their left end's smaller neighbour is live."""
-    e = edges(spark, d)
-    low = e.where("src <> dst").groupBy("src").agg(F.min("dst").alias("m"))
-    e = e.join(low, "src", "left").select("src", "dst", F.when(F.pmod(F.xxhash64("src", "dst"), F.lit(3)) == 0, F.col("m")).alias("needs"))
-    roots = blocks(spark, d, "identity", "is_test").where("is_test").select(canonical_identity(F.col("identity")).alias("v"))
-    return G.reachable_while_live(e, roots)
-
-
 @query(
     f"""with recursive {_CLOSURE}, n as (select src v from e union select dst from e)
     select v, greatest(v, coalesce(max(a.dst), v)) scc from n left join (select x.src, x.dst from c x join c y on y.src = x.dst and y.dst = x.src) a on a.src = v group by v"""
@@ -119,14 +109,6 @@ def dependency_levels(spark: SparkSession, d: str) -> DataFrame:
     return G.levels(downward(spark, d))
 
 
-@query()
-def refined_classes(spark: SparkSession, d: str) -> DataFrame:
-    """Blocks whose ways down look alike: sizes of the classes of colour refinement."""
-    e = downward(spark, d)
-    r = G.refine(e, G.vertices(e).withColumn("class", F.lit("one")))
-    return r.groupBy("class").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("classes"))
-
-
 @query(
     f"""with recursive {_D}, n as (select src v from d union select dst from d), c as (select src, dst from d union select c.src, d.dst from c join d on d.src = c.dst),
     b as (select v, (1 << (length(v) % 16))::bigint bit from n), r as (select src v, dst from c union select v, v from n)

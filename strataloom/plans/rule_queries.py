@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataloom.frontends import scan
+from strataloom.functions import text
 from strataloom.operators import graph, usage
 from strataloom.operators.models import HashEmbedder
 from strataloom.operators.reviews import VERDICTS
@@ -35,7 +36,7 @@ def _group(name: str):
     cases = CASES[name]
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        rows = spark.createDataFrame([(c, lang, test, text) for c, lang, test, text, _ in cases], "name string, lang string, is_test boolean, content string")
+        rows = spark.createDataFrame([(c, lang, test, body) for c, lang, test, body, _ in cases], "name string, lang string, is_test boolean, content string")
         return scan.findings(rows, ["name"], "content", "lang", "is_test").select("name", "line", "kind")
 
     run.__doc__ = f"Findings of the {name} rules in small sources."
@@ -206,8 +207,8 @@ _LISTING = [
 @query(values([("m/app", "test", 0), ("m/app_test", "external", 0), ("m/lib", "", 1), ("m/fakes", "", 1), ("m/more", "", 1), ("m/deep", "", 2)], "path, variant, depth"))
 def package_targets(spark: SparkSession, d: str) -> DataFrame:
     """The packages of a listing that a run looks at, each in one variant, and all they import."""
-    text = "\n".join(json.dumps(p) for p in _LISTING)
-    p = sources.packages(spark.createDataFrame([(text,)], "text string"), "text")
+    listing = "\n".join(json.dumps(p) for p in _LISTING)
+    p = sources.packages(spark.createDataFrame([(listing,)], "listing string"), "listing")
     chosen = sources.target_variants(p, "path", "variant")
     met = sources.with_dependencies(chosen, chosen.where("not dependency"))
     return chosen.select("path", "variant").join(met, "path")
@@ -248,3 +249,32 @@ def tracked_scripts(spark: SparkSession, d: str) -> DataFrame:
         one = sources.tracked_scripts(index, there, ["..."]).select(F.lit(version).alias("version"), "path", "lang")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+_COMMENTS = [
+    ("Loads the files.", "loadFile", True), ("loads files, in order", "loadFile", False), ("load", "loadFile", False), ("the value of this", "value", False),
+    ("Loading HTTP requests", "loadHTTPRequest", True), ("retries for a limit of tries and retries", "retryLimit", False), (None, "load", None), ("", "load", False),
+]
+
+
+@query(values([(c, n, r) for c, n, r in _COMMENTS], "comment, name, restates"))
+def restating_comments(spark: SparkSession, d: str) -> DataFrame:
+    """Comments that say no more than the name below them."""
+    rows = spark.createDataFrame([(c, n) for c, n, _ in _COMMENTS], "comment string, name string")
+    return rows.select("comment", "name", text.restates(F.col("comment"), F.col("name")).alias("restates"))
+
+
+@query(values([(v,) for v in ("root", "a", "b", "c", "e")], "v"))
+def reachable_while_live(spark: SparkSession, d: str) -> DataFrame:
+    """Edges that hold only once what they need is live: c by way of b, e once c is live; d needs what never is."""
+    edges = [("root", "a", None), ("a", "b", None), ("b", "c", "a"), ("root", "e", "c"), ("a", "d", "x"), ("x", "a", None), ("d", "f", None)]
+    return graph.reachable_while_live(spark.createDataFrame(edges, "src string, dst string, needs string"), spark.createDataFrame([("root",)], "v string"))
+
+
+@query(values([(v, c) for v, c in (("a1", "a1"), ("a2", "a1"), ("b1", "b1"), ("b2", "b1"), ("b3", "b3"), ("c1", "c1"), ("c2", "c1"), ("d", "d"), ("z", "d"))], "v, class"))
+def refined_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Vertices whose ways down look alike, by the first of their class: b3 has another class of successors than b1 and b2."""
+    edges = [("a1", "b1"), ("a2", "b2"), ("b1", "c1"), ("b2", "c2"), ("b3", "c1"), ("b3", "d"), ("c1", "z"), ("c2", "z")]
+    e = spark.createDataFrame(edges, "src string, dst string")
+    r = graph.refine(e, graph.vertices(e).withColumn("class", F.lit("one")))
+    return r.select("v", F.min("v").over(Window.partitionBy("class")).alias("class"))

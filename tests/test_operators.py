@@ -51,7 +51,7 @@ def test_occurrences_in_all_texts(spark, tmp_path):
     texts = {1: "run()", 2: "run() // prüft run", 3: "érun run rune runé", 4: "\U0001f600run \U0001f600 run", 5: None, 6: ""}
     rows = [(k, "T.run", t, "2024-01-01") for k, t in texts.items()]
     spark.createDataFrame(rows, "block_id long, symbol string, content string, loaded_at string").write.parquet(f"{tmp_path}/blocks.parquet")
-    got = {r["block_id"]: r["n"] for r in Q.QUERIES["identifier_occurrences"](spark, str(tmp_path)).collect()}
+    got = {r["block_id"]: r["n"] for r in Q.QUERIES["whole_identifier_occurrences"](spark, str(tmp_path)).collect()}
     assert got == {1: 1, 2: 2, 3: 1, 4: 1, 6: 0}
 
 
