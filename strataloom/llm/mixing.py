@@ -102,8 +102,8 @@ def mix_sources(
     solution is exp(tilt * tokens) cut off at the cap. A short source takes every document max_repeats times; its gap is
     reported, not handed to the others. Rates become whole copies by systematic rounding: in order of size, a document
     gets the extra copy in which the running sum of fractions passes the next half, so every stretch of sizes gets its
-    number of copies and a source misses its tokens by little; the order is kept over range partitions. Null or blank sources and texts
-    take no part; names are compared in one spelling; a share of 0 or null, or no repeats, gives no copies. targets is
+    number of copies; the order is kept over range partitions. What a few very long documents then leave a source short
+    or over is made up by one copy more or less of documents no longer than the mean. Null or blank sources and texts take no part; names are compared in one spelling; a share of 0 or null, or no repeats, gives no copies. targets is
     the list of sources: more than ``BROADCAST_ROWS`` of them are refused.
     """
     spark = documents.sparkSession
@@ -142,9 +142,25 @@ def mix_sources(
     placed = running_total(rated, scratch, ["source"], order, "_rest", "_sum")
     extra = F.floor(F.col("_sum") + F.col("_rest") + 0.5) - F.floor(F.col("_sum") + 0.5)
     copies = placed.withColumn("copies", F.least(F.floor("rate") + extra, F.col("max_repeats")).cast("int"))
-    copies = scratch.cut(copies.select(key, "source", "n_tokens", "rate", "copies"), "copies")
+    copies = scratch.cut(copies.select(key, "source", "n_tokens", "rate", "copies", F.monotonically_increasing_id().alias("_row")), "copies")
+    copies = _evened(copies, facts, scratch)
     mixed = copies.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("mixed_tokens"))
     got = facts.drop("tilt", "unit").join(mixed, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)).cast("bigint"))
     whole = got.agg(F.sum("mixed_tokens")).first()[0] or 0
     report = got.withColumn("actual_share", F.col("mixed_tokens") / F.lit(float(whole or 1))).withColumn("short", F.col("source").isin(short))
     return copies, report
+
+
+def _evened(copies: DataFrame, facts: DataFrame, scratch: Scratch) -> DataFrame:
+    """The copies with the gap that rounding left in each source closed to less than a document of mean size: in order of a
+    hash, documents up to that size get one copy more, or less, as long as their running total stays within the gap."""
+    f = facts.where("tilt is not null").select("source", "target_tokens", "max_repeats", "unit")
+    gap = copies.groupBy("source").agg(F.sum(F.col("copies") * F.col("n_tokens")).alias("have")).join(f, "source").select("source", "max_repeats", "unit", (F.col("target_tokens") - F.col("have")).alias("gap"))
+    gap = F.broadcast(scratch.cut(gap, "gaps"))  # a row a target, of which there are at most BROADCAST_ROWS
+    more = F.col("gap") > 0
+    may = (F.col("n_tokens") > 0) & (F.col("n_tokens") <= F.col("unit")) & ((more & (F.col("copies") < F.col("max_repeats"))) | (~more & (F.col("copies") > 0)))
+    some = copies.join(gap, "source").where(may).select("_row", "source", "n_tokens", "gap")
+    placed = running_total(some, scratch, ["source"], [F.xxhash64(F.lit("even"), "_row"), F.col("_row")], "n_tokens", "_before")
+    step = placed.where(F.col("_before") + F.col("n_tokens") <= F.abs("gap")).select("_row", F.signum("gap").cast("int").alias("_step"))
+    evened = copies.join(step, "_row", "left").withColumn("copies", F.col("copies") + F.coalesce("_step", F.lit(0)))
+    return scratch.cut(evened.drop("_row", "_step"), "copies")
