@@ -11,9 +11,15 @@ def test_sql(spark, data, name):
     check(spark, data, QUERIES[name], SQL[name])
 
 
+#: Queries without SQL that find nothing in the smallest tables.
+MAY_BE_EMPTY = {"behaviour_clones", "test_units", "dead_functions"}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, data, name):
-    assert len(QUERIES[name](spark, data).collect()) >= 0
+    rows = QUERIES[name](spark, data).collect()
+    assert rows or name in MAY_BE_EMPTY
+    assert len(set(map(str, rows))) == len(rows)  # nothing twice
 
 
 def test_names():
