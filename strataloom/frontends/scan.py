@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataloom.frontends import facts, rules
-from strataloom.frontends.syntax import Func, Unit, group, parse, scan, statements, walk
+from strataloom.frontends.syntax import Func, Node, Unit, group, parse, scan, statements, walk
 
 KEYWORDS = set(
     "func return if else for range switch case default go defer select break continue goto var const type struct interface map chan package import "
@@ -92,6 +92,65 @@ def behaviour_key(f: Func) -> str:
     return "\n".join(out)
 
 
+#: Statements of a window; tokens of a window, of a single statement with a block, and of one beside another such (fixed
+#: values, in nodes of a syntax tree; tokens stand for nodes here).
+LOW, HIGH, WINDOW, STRUCTURED, BESIDE = 3, 12, 35, 15, 9
+
+
+def clone_windows(f: Func) -> list[tuple[int, int, str, int, str]]:
+    """(line, end, kind, weight, key) of the stretches of a function that may repeat elsewhere: windows of 3 to 12
+    consecutive statements, and single statements with blocks of their own. Sizes are looked at before any key is made. In
+    a key, local names are numbered by first use; all else is as it is."""
+    local = local_names(f)
+    out: list[tuple[int, int, str, int, str]] = []
+
+    def size(n: Node) -> int:
+        return len(n.head) + sum(size(m) for _, b in n.blocks for m in b)
+
+    def key(nodes: list[Node]) -> str:
+        names: dict[str, str] = {}
+        lines = []
+        for n, path, _, _ in walk(nodes):
+            last, parts = "", []
+            for x in n.head:
+                parts.append(names.setdefault(x, f"v{len(names)}") if x in local and last != "." else x)
+                last = x
+            lines.append(f"{len(path)}:{n.kind}:{' '.join(parts)}")
+        return hashlib.sha256("\n".join(lines).encode("utf-8", "surrogatepass")).hexdigest()
+
+    def look(nodes: list[Node]) -> None:
+        sizes = [size(n) for n in nodes]
+        blocked = [bool(n.blocks) for n in nodes]
+        for i, n in enumerate(nodes):
+            total = sum(sizes[i : i + LOW - 1])
+            for w in range(LOW, min(HIGH, len(nodes) - i) + 1):
+                total += sizes[i + w - 1]
+                if total >= WINDOW:
+                    out.append((n.line, nodes[i + w - 1].end, "window", total, key(nodes[i : i + w])))
+            beside = i > 0 and blocked[i - 1] or i + 1 < len(nodes) and blocked[i + 1]
+            if blocked[i] and sizes[i] >= (BESIDE if beside else STRUCTURED):
+                out.append((n.line, n.end, "statement", sizes[i], key([n])))
+            for _, b in n.blocks:
+                look(b)
+
+    look(f.body)
+    return out
+
+
+def windows(df: DataFrame, keys: list[str], text: str, lang: str) -> DataFrame:
+    """(keys, name, line, end_line, kind, weight, digest) of ``clone_windows`` of every function."""
+    schema = T._parse_datatype_string("name string, line int, end_line int, kind string, weight int, digest string")
+
+    def make(row: dict) -> list[tuple]:
+        try:
+            u = _unit(row)
+        except ValueError:
+            return []
+        return [(label(f), *w) for f in u.funcs for w in clone_windows(f)]
+
+    return _each(df, keys, text, lang, [], make, schema)
+
+
 def effects(f: Func) -> int:
     """Bits: 1 calls, 2 writes to fields or items, 4 returns early, 8 raises, 16 starts work elsewhere."""
     bits = 0
@@ -407,6 +466,6 @@ def canonical(df: DataFrame, keys: list[str], text: str, lang: str, least: int =
 
 
 __all__ = [
-    "behaviour_key", "calls", "canonical", "canonical_tokens", "effects", "exports", "findings", "function_texts", "functions", "imports", "interface_methods",
-    "label", "rename_fingerprint", "review_items", "test_calls", "types", "uses", "written_fixtures",
+    "behaviour_key", "calls", "canonical", "canonical_tokens", "clone_windows", "effects", "exports", "findings", "function_texts", "functions", "imports", "interface_methods",
+    "label", "rename_fingerprint", "review_items", "test_calls", "types", "uses", "windows", "written_fixtures",
 ]

@@ -73,16 +73,25 @@ def _findings(df: DataFrame, message, kind: str, line: str = "line") -> DataFram
 
 
 def cloned(files: DataFrame) -> DataFrame:
-    """behavior_clone: functions of at least 3 statements in Go files other than tests that do the same as an earlier one.
+    """behavior_clone: functions of at least 3 statements, and stretches of statements, in Go files other than tests that do
+    the same as an earlier one.
 
-    The source is one of the same file where there is one apart from the function, else the first of another file. The
-    longest texts of a class come first: what lies in the span of a longer clone is not named again.
+    The source is one of the same file where there is one apart, else the first of another file. Functions come first, then
+    the heavier, then by place: what lies in the span of a clone already named is not named again.
     """
-    f = scan.functions(files.where("lang = 'go' and not is_test"), ["path"], "content", "lang").where("statements >= 3").select("path", "line", "end_line", "name", "receiver", "digest")
-    f = Scratch(files.sparkSession, "clones").cut(f, "functions")
-    tied = clones.clone_sources(clones.repeated_only(f, "digest"), "digest", "path", "line", "end_line", ["path", "line", "end_line", "name", "receiver"])
-    text = F.format_string("%s does the same as %s at %s:%d", "name", "source_name", "source_path", "source_line")
-    return _findings(tied.withColumnRenamed("path", "file"), text, "behavior_clone")
+    go, scratch = files.where("lang = 'go' and not is_test"), Scratch(files.sparkSession, "clones")
+    f = scan.functions(go, ["path"], "content", "lang").where("statements >= 3")
+    f = f.select("path", "line", "end_line", "name", F.lit(0).alias("kind"), F.col("statements").alias("weight"), F.concat(F.lit("f"), "digest").alias("digest"))
+    w = scan.windows(go, ["path"], "content", "lang").select("path", "line", "end_line", "name", F.lit(1).alias("kind"), "weight", F.concat(F.substring("kind", 1, 1), "digest").alias("digest"))
+    every = scratch.cut(f.unionByName(w), "candidates")
+    tied = clones.clone_sources(clones.repeated_only(every, "digest"), "digest", "path", "line", "end_line", ["path", "line", "end_line", "name", "kind", "weight"])
+    tied = scratch.cut(tied, "tied")
+    order = [F.col("kind"), (-F.col("weight")).alias("_w"), F.col("line"), F.col("end_line").alias("_e"), F.col("name")]
+    kept = clones.uncovered(tied, ["path"], order, "line", "end_line")
+    what = F.when(F.col("kind") == 0, F.col("name")).otherwise(F.concat(F.lit("a part of "), "name"))
+    source = F.when(F.col("kind") == 0, F.col("source_name")).otherwise(F.concat(F.lit("a part of "), "source_name"))
+    text = F.format_string("%s does the same as %s at %s:%d", what, source, "source_path", "source_line")
+    return _findings(kept.withColumnRenamed("path", "file"), text, "behavior_clone")
 
 
 def dead(files: DataFrame) -> DataFrame:

@@ -1178,6 +1178,36 @@ func First(a, b int) int {{
 func Second(x, y int) int {{
 {_LONG.replace("a, b", "x, y")}	return x
 }}
+"""),
+    ("app/parts.go", """
+package main
+
+func Third(rows []row, out writer) int {
+	begin(out)
+	total := 0
+	for _, r := range rows {
+		if r.size > bound {
+			total += r.size * factor
+			out.note(r.name, total)
+		}
+	}
+	out.note("end", total)
+	finish(out, total, bound)
+	return total
+}
+
+func Fourth(list []row, to writer) error {
+	sum := 0
+	for _, x := range list {
+		if x.size > bound {
+			sum += x.size * factor
+			to.note(x.name, sum)
+		}
+	}
+	to.note("end", sum)
+	finish(to, sum, bound)
+	return check(sum)
+}
 """),
     ("wide/wide.go", f"""
 package wide
@@ -1241,6 +1271,7 @@ function step(a: string): number {
 TREE = [(path, text.removeprefix("\n")) for path, text in TREE]
 TREE_FINDINGS: list[tuple[str, int, str]] = [
     ("app/clone.go", 19, "behavior_clone"),
+    ("app/parts.go", 18, "behavior_clone"),
     ("app/main.go", 9, "trivial_wrapper"),
     ("app/main.go", 15, "dead_code"),
     ("app/main.go", 24, "stale_ignore"),
