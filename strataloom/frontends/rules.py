@@ -24,7 +24,7 @@ COMPILES = {
 COMPLEXITY_LINTERS = {"cyclop", "gocognit", "nestif"}
 SLEEPS = re.compile(r"\b(?:time \. (?:Sleep|sleep)|asyncio \. sleep|setTimeout|sleep) \(")
 FAKES = re.compile(r"useFakeTimers|fakeClock|monkeypatch|freeze_time|mock\.patch|synctest")
-ASSERTS = re.compile(r"\b(?:t|b) \. (?:Error|Errorf|Fatal|Fatalf|Fail|FailNow)\b|\b(?:assert|require|expect|raises)\b|\bassertEqual\b|\bpanic \(")
+ASSERTS = re.compile(r"\b(?:t|b) \. (?:Error|Errorf|Fatal|Fatalf|Fail|FailNow)\b|\b(?:assert|require|expect|raises)\b|\bassertEqual\b|\bpanic \(|\blog \. (?:Fatal|Panic)|\bos \. Exit \(")
 #: How an error is named, where no types are known.
 ERROR = re.compile(r"err$|[a-z]\w*Err$|[eE]rr[A-Z]\w*$")
 #: Directives in comments: why a test runs alone; what a function guarantees.

@@ -77,22 +77,18 @@ class HttpEmbedder:
 class SubprocessResponder:
     """One process a prompt: prompt to its input, one JSON document from its output.
 
-    With a schema, its JSON form lies in a file while the process runs, whose path stands for ``{schema}`` in the command.
+    ``{schema}`` in the command stands for the JSON schema of the answer.
     """
 
     def __init__(self, command: list[str], timeout: float = 600.0, schema: T.StructType | None = None):
         self.command, self.timeout = command, timeout
-        self.schema = json.dumps(json_schema(schema)) if schema is not None else None
+        self.schema = json.dumps(json_schema(schema)) if schema is not None else "{}"
 
     def ask(self, prompt: str) -> str:
         import subprocess
-        import tempfile
 
-        with tempfile.NamedTemporaryFile("w", suffix=".json") as f:
-            f.write(self.schema or "{}")
-            f.flush()
-            command = [f.name if c == "{schema}" else c for c in self.command]
-            return subprocess.run(command, input=prompt, capture_output=True, text=True, timeout=self.timeout, check=True).stdout
+        command = [self.schema if c == "{schema}" else c for c in self.command]
+        return subprocess.run(command, input=prompt, capture_output=True, text=True, timeout=self.timeout, check=True).stdout
 
 
 def packs(sizes: list[int], most_items: int, most_bytes: int) -> Iterator[tuple[int, int]]:

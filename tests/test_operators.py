@@ -307,7 +307,7 @@ def test_embedding_server_and_subprocess(spark, tmp_path):
         server.shutdown()
     kind = T.StructType([T.StructField("n", T.LongType()), T.StructField("names", T.ArrayType(T.StringType()))])
     program = tmp_path / "answer.py"
-    program.write_text("import json, sys\ns = json.load(open(sys.argv[1]))\nprint(json.dumps({'n': len(sys.stdin.read()), 'names': s['required']}))")
+    program.write_text("import json, sys\ns = json.loads(sys.argv[1])\nprint(json.dumps({'n': len(sys.stdin.read()), 'names': s['required']}))")
     ask = M.SubprocessResponder([sys.executable, str(program), "{schema}"], schema=kind)
     assert json.loads(ask.ask("four")) == {"n": 4, "names": ["n", "names"]}
     requests = spark.createDataFrame([("a", "xy"), ("b", "xyz")], "key string, prompt string")
