@@ -5,7 +5,8 @@ each of ``BITS`` minhash values. Each table is a binary trie over its strings. T
 the root down, adds up the bits in which they differ and drops a pair of subtrees once the sum exceeds the error budget:
 none in the key, ``BUDGET`` in the sketch. Two texts of similarity s agree in a key with probability s**ROWS and differ
 in a sketch bit with (1 - s) / 2, so at s = 0.6 a pair is missed by all tables in about 1 of 500 cases, at 0.7 in 1 of
-50,000. What the tries give is checked exactly on the whole texts.
+50,000. What the tries give must then agree in ``AGREE`` of the same minhash values, a byte of each, and is checked exactly
+on the whole texts after that.
 
 One trie over the sketches alone would do for few errors only: its upper levels are full, so with n texts the walk visits
 about n**2 times the share of random strings of log2(n) bits that are within the budget, which at 33 errors is nearly all
@@ -33,6 +34,9 @@ from pyspark.sql import types as T
 from strataloom.runtime import BROADCAST_ROWS, Scratch
 
 WIDTH, TABLES, ROWS, BITS, BUDGET = 5, 26, 3, 96, 33
+#: Of the ``BITS`` minhash values, compared by a byte each, those that must agree before texts are fetched: at s = 0.6 a
+#: pair has fewer in 1 of 10,000 cases, at s = 1/3 one in 25 has as many.
+AGREE = 40
 #: Texts under one key that a task holds; keys with more are cut into parts, all pairs of which are joined. Hot keys are
 #: looked for in one of ``SAMPLE`` texts, which only decides where they are joined, never whether.
 PART, SAMPLE = 20_000, 64
@@ -89,21 +93,22 @@ class Shingler:
         return h, np.searchsorted(text, np.arange(len(texts) + 1))
 
 
-def signatures(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys uint64[n, TABLES], sketches uint8[n, BITS / 8]) of non-empty sets given back to back."""
+def signatures(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys uint64[n, TABLES], sketches uint8[n, BITS / 8], bytes uint8[n, BITS]) of non-empty sets given back to back."""
     n = len(offsets) - 1
     mins = np.empty((BITS, n), np.uint64)
     for i, m in enumerate(MULTIPLIERS):
         np.minimum.reduceat(hashes * m, offsets[:-1], out=mins[i])
-    bits = _finish(mins) >> np.uint64(40) & np.uint64(1)
+    mixed = _finish(mins)
+    bits = mixed >> np.uint64(40) & np.uint64(1)
     sketches = np.packbits(bits.astype(np.uint8).T, axis=1)
     picked = mins[: TABLES * ROWS].reshape(TABLES, ROWS, n)
     keys = _finish((picked * MIX[:, :, None]).sum(axis=1, dtype=np.uint64) + np.arange(TABLES, dtype=np.uint64)[:, None])
-    return keys.T, sketches
+    return keys.T, sketches, np.ascontiguousarray((mixed >> np.uint64(48)).astype(np.uint8).T)
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, version, body) -> (id, version, class, keys, sketch); without text, null; without sequences, class only."""
+    """(id, version, body) -> (id, version, class, keys, sketch, wide); without text, null; without sequences, class only."""
     shingle = Shingler()
     for whole in batches:
         texts_all = whole.column("body").to_pylist()
@@ -120,18 +125,19 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             has = np.flatnonzero(at[1:] > at[:-1])
             keys: list = [None] * len(texts)
             sketch: list = [None] * len(texts)
+            wide: list = [None] * len(texts)
             cls: list = [None] * len(texts)
             if len(has):
-                k, s = signatures(h, np.append(at[has], at[-1]))
+                k, s, w = signatures(h, np.append(at[has], at[-1]))
                 for j, i in enumerate(has.tolist()):
-                    keys[i], sketch[i] = k[j].tobytes(), s[j].tobytes()
+                    keys[i], sketch[i], wide[i] = k[j].tobytes(), s[j].tobytes(), w[j].tobytes()
                     cls[i] = xxhash.xxh3_128_digest(h[at[i] : at[i + 1]].tobytes())
             for i, t in enumerate(texts):
                 if t and cls[i] is None:
                     cls[i] = b"=" + xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass"))
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("version"), pa.array(cls, pa.binary()), pa.array(keys, pa.binary()), pa.array(sketch, pa.binary())],
-                names=["id", "version", "class", "keys", "sketch"],
+                [b.column("id"), b.column("version"), pa.array(cls, pa.binary()), pa.array(keys, pa.binary()), pa.array(sketch, pa.binary()), pa.array(wide, pa.binary())],
+                names=["id", "version", "class", "keys", "sketch", "wide"],
             )
 
 
@@ -269,6 +275,20 @@ def candidates(reps: DataFrame, part: int = PART, bits: bool = False) -> DataFra
     return both.where("a <> b").distinct()
 
 
+def agreeing(pairs: DataFrame, reps: DataFrame, least: int = AGREE) -> DataFrame:
+    """The pairs (a, b) of rows (id, wide) of which at least ``least`` minhash values agree, as far as a byte of each tells."""
+    wide = reps.select("id", "wide")
+    both = pairs.join(wide.select(F.col("id").alias("a"), F.col("wide").alias("wa")), "a").join(wide.select(F.col("id").alias("b"), F.col("wide").alias("wb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("wa", "wb"))
+            take = pa.array(np.flatnonzero((x == y).sum(axis=1) >= least))
+            yield pa.RecordBatch.from_arrays([b.column("a").take(take), b.column("b").take(take)], names=["a", "b"])
+
+    return both.mapInArrow(run, "a bigint, b bigint")
+
+
 def _verify(threshold: Fraction):
     """For mapInArrow over (a, b, ta, tb): the pairs whose sequences in both are at least threshold of those in either."""
 
@@ -313,14 +333,14 @@ def _classes(df: DataFrame, scratch: Scratch, key: str, text: str, version: str
         F.col(text).alias("body"),
     )
     kinds = T.StructType([rows.schema["id"], rows.schema["version"]])
-    for name in ("class", "keys", "sketch"):
+    for name in ("class", "keys", "sketch", "wide"):
         kinds = kinds.add(name, T.BinaryType())
     signed = scratch.cut(rows.mapInArrow(_sign, kinds), "signed")
     last = signed.groupBy("id").agg(F.max(F.struct("version", "class")).alias("r")).select("id", "r.version", "r.class").where("class is not null")
     last = scratch.cut(last, "last")
     reps = last.groupBy("class").agg(F.min(F.struct("id", "version")).alias("r")).select("class", "r.id", "r.version")
     members = scratch.cut(last.select("id", "class").join(reps.select("class", F.col("id").alias("class_id")), "class").select("id", "class_id"), "members")
-    chosen = signed.where("keys is not null").select("id", "version", "keys", "sketch").join(reps.select("id", "version"), ["id", "version"], "left_semi")
+    chosen = signed.where("keys is not null").select("id", "version", "keys", "sketch", "wide").join(reps.select("id", "version"), ["id", "version"], "left_semi")
     return rows, last, members, chosen.dropDuplicates(["id"])
 
 
@@ -344,6 +364,9 @@ def near_duplicates(df: DataFrame, key: str, text: str, version: str | None = No
     scratch = Scratch(df.sparkSession, "neardup")
     rows, last, members, chosen = _classes(df, scratch, key, text, version)
     pairs = scratch.cut(candidates(chosen), "pairs")
+    met = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wide = scratch.cut(chosen.select("id", "wide").join(met, "id", "left_semi"), "wide")
+    pairs = scratch.cut(agreeing(pairs, wide), "agreeing")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     wanted = last.join(ends, "id", "left_semi").select("id", "version")
     texts = rows.where("body is not null").join(wanted, ["id", "version"], "left_semi").dropDuplicates(["id"]).select("id", "body")
