@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.functions.paths import canonical_identity
+from strataloom.operators import graph as G
 from strataloom.operators import vectors as V
 from strataloom.plans.registry import registrar
 from strataloom.plans.sql_text import CANONICAL_IDENTITY
@@ -70,6 +71,17 @@ def tiered_block_pairs_in_steps(spark: SparkSession, d: str) -> DataFrame:
     return before.unionByName(V.similar_blocks(V.near_changes(u), v, GATES))
 
 
+@query(
+    f"""with recursive {_U}, g as ({_PAIRS}), n as (select "left" a, "right" b from g union select "right", "left" from g), c as (select a, b from n union select c.a, n.b from c join n on n.a = c.b)
+    select a id, least(a, min(b)) component, count(*) filter (where b <> a) + 1 members from c group by a"""
+)
+def tiered_block_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of blocks from an earlier state's pairs and those with a changed side."""
+    pairs = tiered_block_pairs_in_steps(spark, d).select(F.col("left").alias("src"), F.col("right").alias("dst"))
+    groups = G.components(pairs).select(F.col("v").alias("id"), "component")
+    return groups.join(groups.groupBy("component").agg(F.count("*").alias("members")), "component").select("id", "component", "members")
+
+
 @query(
     f"""with {_U.split('h as (')[0].rstrip().rstrip(',')} select id, ch channel, count(*) n, round(sum(list_sum(list_transform(v, lambda e: e / sqrt(list_sum(list_transform(v, lambda z: z * z))))))  , 4) total from x group by all"""
 )

@@ -82,11 +82,12 @@ class Snapshots:
         done = [s.getPath().getName() for s in fs.listStatus(p(self.path))]
         return sorted(int(n[1:-5]) for n in done if n.startswith("s") and n.endswith(".meta"))
 
-    def write(self, df: DataFrame, policy: dict) -> int:
+    def write(self, df: DataFrame, policy: dict, digest: str | None = None) -> int:
+        """Store a snapshot; digest names the state of the sources it was made from."""
         number = (self.numbers() or [0])[-1] + 1
         w = df.write.mode("overwrite")
         w.option("compression", "gzip").json(f"{self.path}/s{number}") if self.form == "json" else w.parquet(f"{self.path}/s{number}")
-        meta = {"version": self.version, "policy": policy, "schema": df.schema.json(), "rows": self.read_raw(number, df.schema).count()}
+        meta = {"version": self.version, "policy": policy, "schema": df.schema.json(), "rows": self.read_raw(number, df.schema).count(), "digest": digest}
         write_text(self.spark, f"{self.path}/s{number}.meta", json.dumps(meta))
         for old in self.numbers()[: -self.keep]:
             delete(self.spark, f"{self.path}/s{old}.meta")
@@ -97,12 +98,13 @@ class Snapshots:
         r = self.spark.read.schema(schema)
         return r.json(f"{self.path}/s{number}") if self.form == "json" else r.parquet(f"{self.path}/s{number}")
 
-    def latest(self, policy: dict) -> DataFrame | None:
-        """The newest snapshot of this schema version and policy that is whole; others are ignored, never migrated."""
-        for number in reversed(self.numbers()):
-            meta = json.loads(read_text(self.spark, f"{self.path}/s{number}.meta"))
-            if meta.get("version") != self.version or meta.get("policy") != policy:
-                continue
+    def latest(self, policy: dict, digest: str | None = None) -> DataFrame | None:
+        """The snapshot made from sources with this digest, else the newest; of this schema version and policy only, and
+        whole. Others are ignored, never migrated."""
+        metas = {n: json.loads(read_text(self.spark, f"{self.path}/s{n}.meta")) for n in self.numbers()}  # at most ``keep``
+        fits = [n for n, m in metas.items() if m.get("version") == self.version and m.get("policy") == policy]
+        for number in sorted(fits, key=lambda n: (digest is not None and metas[n].get("digest") == digest, n), reverse=True):
+            meta = metas[number]
             df = self.read_raw(number, T.StructType.fromJson(json.loads(meta["schema"])))
             if df.count() == meta["rows"]:
                 return df

@@ -350,6 +350,10 @@ def test_stores(spark):
         s.write(df, {"p": 1})
     assert s.numbers() == [2, 3] and s.latest({"p": 1}).count() == 5 and s.latest({"p": 2}) is None
     assert K.Snapshots(spark, s.path, schema_version=2).latest({"p": 1}) is None
+    exact = K.Snapshots(spark, Scratch(spark, "snap").path("exact"))
+    for n, digest in ((1, "a"), (2, "b"), (3, None)):
+        exact.write(spark.range(n), {}, digest)
+    assert [exact.latest({}, x).count() for x in ("a", "b", "c", None)] == [1, 2, 3, 3]
     path = Scratch(spark, "stamp").path("x.json")
     assert K.read_stamp(spark, path) == {} and not K.write_stamp(spark, path, {"schema": 1}, False)
     assert K.write_stamp(spark, path, {"schema": 1, "a": "é"}, True) and K.read_stamp(spark, path) == {"schema": 1, "a": "é"}
