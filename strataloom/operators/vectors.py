@@ -55,17 +55,26 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def packed(vectors: DataFrame, key: str, channel: str, order: list[str], vec: str, dims: int) -> DataFrame:
-    """``(key, channel, m)``: all usable vectors of a key back to back, in order, as float64 bytes."""
-    v = vectors.where(F.size(vec) == dims).select(key, channel, *order, unit_vector(F.col(vec)).alias("_u")).where("_u is not null")
-    listed = v.groupBy(key, channel).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, "_u"))), lambda e: e["_u"]).alias("_l"))
+    """``(key, channel, m)``: all usable vectors of a key back to back, in order and scaled to length 1, as float64 bytes.
+
+    Empty, zero and non-finite vectors and those of other lengths are left out. Scaling is done for a batch at once.
+    """
+    v = vectors.where(F.size(vec) == dims).select(key, channel, *order, F.col(vec).alias("_v"))
+    listed = v.groupBy(key, channel).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, "_v"))), lambda e: e["_v"]).alias("_l"))
 
     def run(batches):
         for b in batches:
             lists = b.column("_l")
-            sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) * dims
-            flat = lists.flatten().flatten().to_numpy(zero_copy_only=False)
-            raw = [flat[end - n : end].tobytes() for n, end in zip(sizes, np.cumsum(sizes), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(key), b.column(channel), pa.array(raw, pa.binary())], names=[key, channel, "m"])
+            owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
+            x = lists.flatten().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+            ok = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+            x, owner = x[ok], owner[ok]
+            x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+            ends = np.cumsum(np.bincount(owner, minlength=len(lists)))
+            has = np.flatnonzero(np.diff(ends, prepend=0))
+            raw = [x[s:e].tobytes() for s, e in zip(np.append(0, ends)[has], ends[has], strict=True)]
+            at = pa.array(has)
+            yield pa.RecordBatch.from_arrays([b.column(key).take(at), b.column(channel).take(at), pa.array(raw, pa.binary())], names=[key, channel, "m"])
 
     return listed.mapInArrow(run, listed.select(key, channel).schema.add("m", T.BinaryType()))
 
