@@ -165,6 +165,16 @@ def squeeze(text: Column) -> Column:
     return F.when(plain != "", plain)
 
 
+#: Words and characters of a description (fixed values).
+DESCRIPTION_WORDS, DESCRIPTION_CHARS = (4, 40), 240
+
+
+def description_fits(text: Column) -> Column:
+    """Does a description keep the limits? White space counts as one blank; null does not."""
+    plain = squeeze(text)
+    return F.coalesce(F.size(F.split(plain, " ")).between(*DESCRIPTION_WORDS) & (F.length(plain) <= DESCRIPTION_CHARS), F.lit(False))
+
+
 def printf_directives(text: Column) -> Column:
     """The formatting directives of a printf text, without %%."""
     return F.filter(F.regexp_extract_all(text, F.lit(r"%[-+# 0]*[0-9*]*(?:\.[0-9*]+)?[a-zA-Z%]"), F.lit(0)), lambda d: ~d.endswith("%"))

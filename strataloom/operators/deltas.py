@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strataloom.operators.ordering import keep_best
+from strataloom.operators.ordering import keep_best, running_total
+from strataloom.runtime import Scratch
 
 
 def changed(now: DataFrame, before: DataFrame, columns: list[str]) -> DataFrame:
@@ -95,6 +96,40 @@ def table_digest(df: DataFrame, columns: list[str], buckets: int = 256) -> DataF
     return b.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(text)), "\n"), 256).alias("digest"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
 
 
+def sorted_digest(df: DataFrame, columns: list[str], chunk: int = 4096) -> DataFrame:
+    """One row ``(digest, rows)``: SHA-256 over the rows in order, as a tree: ``chunk`` rows in order of ``columns`` make one
+    digest, so many digests the next, until one is left. Places come from running counts over range partitions; no task
+    holds more than a chunk. Nulls sort first; equal rows may stand in any order, as they are the same."""
+    scratch = Scratch(df.sparkSession, "digest")
+    text = [F.col(c).cast("string") for c in columns]
+    row = F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text])
+    level = df.select(row.alias("t"), F.lit(1).cast("bigint").alias("one"), F.lit(0).alias("all"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], F.monotonically_increasing_id().alias("id"))
+    level = scratch.cut(level, "rows")
+    n = total = level.count()
+    order = [F.col(f"c{i}") for i in range(len(columns))] + [F.col("id")]
+    while True:
+        placed = running_total(level, scratch, ["all"], order, "one", "before")
+        part = placed.groupBy(F.floor(F.col("before") / chunk).alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("before", "t"))), lambda x: x["t"]), "\n").alias("t"))
+        level = scratch.cut(part.select(F.sha2("t", 256).alias("t"), F.lit(1).cast("bigint").alias("one"), F.lit(0).alias("all"), "id"), "level")
+        order, n = [F.col("id")], -(-n // chunk)
+        if n <= 1:
+            break
+    return level.select(F.col("t").alias("digest"), F.lit(total).cast("bigint").alias("rows")) if total else df.sparkSession.range(1).select(F.sha2(F.lit(""), 256).alias("digest"), F.lit(0).cast("bigint").alias("rows"))
+
+
+def recorded(lookups: DataFrame, facts: DataFrame, owner: str, keys: list[str], value: str) -> DataFrame:
+    """``(owner, keys..., value)``: what every owner found when it looked facts up, once each; null where there was none. Kept
+    with the owner's results, ``facts_match`` tells later whether they still hold."""
+    return lookups.select(owner, *keys).distinct().join(facts.select(*keys, value), keys, "left").select(owner, *keys, value)
+
+
+def repointed(findings: DataFrame, reuse: DataFrame, within: list[str], file: str) -> DataFrame:
+    """The findings of reused files under their new path. reuse: (within..., path, source) of ``reused_files``; findings of
+    files that are not reused are left out, as their files are analysed anew."""
+    r = reuse.where("source is not null").select(*within, F.col("source").alias(file), F.col("path").alias("_path"))
+    return findings.join(r, [*within, file]).withColumn(file, F.col("_path")).drop("_path")
+
+
 def attest(stamp: DataFrame, current: DataFrame, same: list[str], at_least: dict[str, Column] | None = None) -> DataFrame:
     """One row ``(status)``: holds, missing, or the first of ``same`` that differs. stamp and current have one row."""
     s = stamp.select(*[F.col(c).alias(f"_{c}") for c in same], F.lit(True).alias("_there"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strataloom.functions.text import description_fits, squeeze
 from strataloom.runtime import Scratch
 
 #: Most items and bytes of an embedding call, and most records, bytes and padding a record of a prompt (fixed values).
@@ -238,6 +239,18 @@ def run_tasks(
     return answers, rest
 
 
+#: The answer of a describer.
+DESCRIPTION = T.StructType([T.StructField("description", T.StringType())])
+
+
+def described(inputs: DataFrame, provider: Responder, policy: dict, done: DataFrame | Callable[[], DataFrame] | None = None, progress: Callable[[int, int], None] | None = None) -> DataFrame:
+    """(input_key, text) -> (input_key, description): one description a distinct text, within the limits, for
+    ``once_per_content``. What is not is asked again; texts that get none have none."""
+    asked = inputs.withColumn("key", request_key(policy, ["input_key"])).withColumn("prompt", prompt_text("Describe what this code does.", DESCRIPTION, F.col("text")))
+    got, _ = run_tasks(asked.select("input_key", "key", "prompt"), "key", "prompt", provider, DESCRIPTION, lambda a: description_fits(a["description"]), done, progress=progress)
+    return asked.select("input_key", "key").join(got, "key").select("input_key", squeeze(F.col("answer.description")).alias("description"))
+
+
 def prompt_text(instruction: str, schema: T.StructType, body: Column) -> Column:
     """A prompt: what to do, the schema of the answer, the request."""
     return F.concat(F.lit(instruction + "\nAnswer with one JSON object of this schema: " + json.dumps(json_schema(schema)) + "\n\n"), body)

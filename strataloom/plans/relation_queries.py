@@ -355,6 +355,45 @@ def lineitem_digest(spark: SparkSession, d: str) -> DataFrame:
     return D.table_digest(table(spark, d, "lineitem"), ["l_orderkey", "l_partkey", "l_linenumber", "l_returnflag"])
 
 
+@query(
+    """with r as (select coalesce(length(l_orderkey::varchar) || ':' || l_orderkey::varchar, '-') || coalesce(length(l_linenumber::varchar) || ':' || l_linenumber::varchar, '-') || coalesce(length(l_partkey::varchar) || ':' || l_partkey::varchar, '-') || coalesce(length(l_returnflag) || ':' || l_returnflag, '-') t, (row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_returnflag) - 1) // 4096 c, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_returnflag) i from lineitem),
+    c as (select c, sha256(string_agg(t, chr(10) order by i)) t, count(*) n from r group by c)
+    select case when count(*) > 1 then sha256(string_agg(t, chr(10) order by c)) else any_value(t) end digest, sum(n)::bigint \"rows\" from c"""
+)
+def sorted_lineitem_digest(spark: SparkSession, d: str) -> DataFrame:
+    """A digest of a whole table in order, as a tree of digests."""
+    return D.sorted_digest(table(spark, d, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_returnflag"])
+
+
+@query(
+    f"""with {_SNAP}, b as (select identity, max(lower(h)) h from o where identity is not null group by 1), c as (select identity, max(lower(h)) h from n where identity is not null group by 1),
+    l as (select distinct pair_id, unnest([left_identity, right_identity]) i from pairs where pair_id is not null),
+    f as (select l.pair_id, l.i, b.h from l left join b on b.identity = l.i)
+    select f.pair_id, count(*) filter (where f.h is null) absent, bool_and(f.h is not distinct from c.h) holds from f left join c on c.identity = f.i group by 1"""
+)
+def recorded_facts(spark: SparkSession, d: str) -> DataFrame:
+    """What each pair found when it looked up its ends in an earlier state, and whether that still holds."""
+    before, now = (x.where("identity is not null").groupBy("identity").agg(F.max(F.lower("content_hash")).alias("h")) for x in _snapshots(spark, d))
+    l = table(spark, d, "pairs").where("pair_id is not null").select("pair_id", F.explode(F.array("left_identity", "right_identity")).alias("identity"))
+    r = Scratch(spark, "facts").cut(D.recorded(l, before, "pair_id", ["identity"], "h"), "recorded")
+    absent = r.groupBy("pair_id").agg(F.count_if(F.col("h").isNull()).alias("absent"))
+    return absent.join(D.facts_match(r, now, "pair_id", ["identity"], "h"), "pair_id")
+
+
+@query(f"with {_RUN_FILES}, n as (select k.run_id, s.path, s.h from k join s using (run_id)), b as (select k.run_id, s.path, s.h from k join s on s.run_id = k.base) select n.run_id, n.path file, b.path || ' of ' || b.h finding from n join b on b.run_id = n.run_id and b.h = n.h and b.path = n.path")
+def repointed_findings(spark: SparkSession, d: str) -> DataFrame:
+    """A finding for every file of a run's baseline, carried to the run where the file is the same."""
+    scratch = Scratch(spark, "repoint")
+    good = scratch.cut(successful_runs(table(spark, d, "scan_runs")), "runs")
+    base = scratch.cut(baselines(good, scratch), "base")
+    s = table(spark, d, "source_files").where("sha256 is not null and file_path is not null").groupBy("run_id", canonical_path(F.col("file_path")).alias("path")).agg(F.max(F.lower("sha256")).alias("h"))
+    now = base.join(s, "run_id").select("run_id", "path", "h")
+    before = base.join(s.withColumnRenamed("run_id", "baseline"), "baseline").select("run_id", "path", "h")
+    found = before.select("run_id", F.col("path").alias("file"), F.concat("path", F.lit(" of "), "h").alias("finding"))
+    reuse = D.reused_files(now, before, "path", "h", ["run_id"]).where("how = 'same'")
+    return D.repointed(found, reuse, ["run_id"], "file")
+
+
 @query("select case when count(*) = count(distinct match_id) then 'holds' else 'rows differs' end status from matches")
 def attestation(spark: SparkSession, d: str) -> DataFrame:
     """The stamp of the matches, taken over distinct ones, against the table as it is."""

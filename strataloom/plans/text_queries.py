@@ -173,13 +173,13 @@ def pair_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""select block_id, nullif(trim(regexp_replace(description, '\\s+', ' ', 'g')), '') description, len(string_split(nullif(trim(regexp_replace(description, '\\s+', ' ', 'g')), ''), ' ')) between 4 and 40
-    and length(nullif(trim(regexp_replace(description, '\\s+', ' ', 'g')), '')) <= 240 valid from {BLOCKS_SQL} where description is not null"""
+    f"""select block_id, nullif(trim(regexp_replace(description, '\\s+', ' ', 'g')), '') description, coalesce(len(string_split(nullif(trim(regexp_replace(description, '\\s+', ' ', 'g')), ''), ' ')) between 4 and 40
+    and length(nullif(trim(regexp_replace(description, '\\s+', ' ', 'g')), '')) <= 240, false) valid from {BLOCKS_SQL} where description is not null"""
 )
 def description_records(spark: SparkSession, d: str) -> DataFrame:
     """Descriptions in one form, with whether they keep the limits of 4 to 40 words and 240 characters."""
     s = blocks(spark, d, "description").where("description is not null").select("block_id", X.squeeze(F.col("description")).alias("description"))
-    return s.withColumn("valid", F.size(F.split("description", " ")).between(4, 40) & (F.length("description") <= 240))
+    return s.withColumn("valid", X.description_fits(F.col("description")))
 
 
 @query(
