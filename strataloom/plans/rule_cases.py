@@ -289,6 +289,14 @@ func load(path string, deep bool, _ int) string { return path + ".go" }
 func (s *store) load(path string, deep bool) string { return path + ".go" }
 """, "3 unused_private_param")
 
+case("signatures", "unused_by_value", "go", """
+package a
+
+var handlers = []handler{first}
+
+func first(path string, deep bool) string { return path + ".go" }
+""")
+
 # Ceremonies.
 
 case("ceremonies", "append_guarded", "go", """

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strataloom.frontends import scan
 from strataloom.functions import text
-from strataloom.operators import graph, usage
+from strataloom.operators import deltas, graph, usage
 from strataloom.operators.models import HashEmbedder
 from strataloom.operators.reviews import VERDICTS
 from strataloom.plans import engine
@@ -278,3 +278,16 @@ def refined_classes(spark: SparkSession, d: str) -> DataFrame:
     e = spark.createDataFrame(edges, "src string, dst string")
     r = graph.refine(e, graph.vertices(e).withColumn("class", F.lit("one")))
     return r.select("v", F.min("v").over(Window.partitionBy("class")).alias("class"))
+
+
+_BEFORE = [("a.go", "func load(p string) int {\n\tn := read(p)\n\treturn n\n}", "reads a file"), ("b.go", "func store(p string) int {\n\tn := write(p)\n\treturn n\n}", "writes a file"), ("c.go", "x := 1", "gone")]
+_AFTER = [("a.go", "func load(p string) int {\n\tcount := read(p)\n\treturn count\n}"), ("b.go", "func store(p string) int {\n\tn := send(p)\n\treturn n\n}"), ("d.go", "func load(p string) int {\n\tn := read(p)\n\treturn n\n}")]
+
+
+@query(values([("a.go", "reads a file"), ("b.go", None), ("d.go", None)], "path, description"))
+def reused_descriptions(spark: SparkSession, d: str) -> DataFrame:
+    """Descriptions kept where a text of the same path differs in local names only."""
+    prints = lambda rows, columns: scan.canonical(spark.createDataFrame([(*r[:2], "go", *r[2:]) for r in rows], columns), [c.split(" ")[0] for c in columns.split(", ") if c.split(" ")[0] in ("path", "description")], "content", "lang", least=1)
+    now = prints(_AFTER, "path string, content string, lang string").withColumn("description", F.lit(None).cast("string"))
+    before = prints(_BEFORE, "path string, content string, lang string, description string")
+    return deltas.carried_over(now, before, ["path", "fingerprint"], ["description"]).select("path", "description")
