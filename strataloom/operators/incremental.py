@@ -117,6 +117,8 @@ class IncrementalTable:
             if todo:
                 if fail == "before_data":
                     raise RuntimeError(fail)
+                if self.stored() is None:
+                    delete(self.spark, self.data)  # left by an attempt that was never committed
                 batch = uuid.uuid4().hex
                 rows = compute(todo).withColumn("_batch", F.lit(batch))
                 rows.hint("rebalance", "bucket").write.partitionBy("bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.data)

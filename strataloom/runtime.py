@@ -37,11 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; where that is unset, one of our own, if all runs on this
     machine. A cluster must name one: executors elsewhere could not read what others wrote."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
         folder = spark.conf.get("spark.strataloom.scratch", None)
         if not folder:
-            if not spark.sparkContext.master.startswith("local"):
+            if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="strataloom-")
             spark.conf.set("spark.strataloom.scratch", folder)

@@ -127,3 +127,16 @@ def test_buckets_follow_the_modules(spark):
     again = IncrementalTable(spark, s.path)
     assert again.buckets == 32 and refresh_changed_files(again, more, r) == [] and read(again) == {(1000, "b.go")}
     assert len(refresh_changed_files(again, more.where("obs_id <> 2000"), r)) == 1 and read(again) == set()
+
+
+def test_nothing_stays_of_a_first_attempt_that_failed(spark):
+    """What a refresh wrote before it failed is gone, even where its module has no rows any more."""
+    s = table(spark)
+    other = [(20, 30, "q.go", "h", 0.1), (21, 31, "q.go", "i", 2.1)]
+    f = files(spark, FILE_ROWS).unionByName(spark.createDataFrame([(o, r, "r", "gone", None, p, h, at(a), 0) for o, r, p, h, a in other], FILES))
+    r = runs(spark, RUN_ROWS + [(30, "r", "gone", 0, 1, "ok", "d"), (31, "r", "gone", 2, 3, "ok", "d")])
+    with pytest.raises(RuntimeError):
+        refresh_changed_files(s, f, r, "before_commit")
+    assert read(s) == set()
+    refresh_changed_files(s, files(spark, FILE_ROWS), runs(spark, RUN_ROWS))
+    assert read(s) == WANT
