@@ -17,7 +17,7 @@ from collections import Counter
 from dataclasses import dataclass, field, replace
 from functools import lru_cache
 
-from strataloom.frontends.syntax import Func, Node, group, walk
+from strataloom.frontends.syntax import Func, Node, go_params, group, walk
 
 MAX_STATES = 32
 #: Spellings of the constants in the three languages (fixed values).
@@ -577,14 +577,31 @@ def _options(tokens: list[str]) -> list[list[str]]:
     return group(["(", *tokens, ")"])[0]
 
 
+def closures(f: Func) -> list[Func]:
+    """Function literals of a Go function that are given to a name once, as functions of that name."""
+    out: dict[str, list[Func]] = {}
+    for n, _, _, _ in walk(f.body):
+        h = n.head
+        if len(n.blocks) == 1 and n.blocks[0][0] == "body" and h[1:4] == [":=", "func", "("] and h[-1:] == ["{}"]:
+            params, after = group(h[3:-1])
+            results = group(after)[0] if after[:1] == ["("] else [after] if after else []
+            out.setdefault(h[0], []).append(Func(h[0], "", go_params(params), [" ".join(r) for r in results if r], n.blocks[0][1], n.line, n.end))
+        elif h[1:2] in (["="], [":="]) and h[0] in out:
+            out[h[0]] += out[h[0]]  # given again: not known any more
+    return [fs[0] for fs in out.values() if len(fs) == 1]
+
+
 def summarise(funcs: list[Func], lang: str) -> dict[str, Summary]:
-    """Summaries of the plain functions of a file: analysed again until none changes, at most once more than there are.
+    """Summaries of the plain functions of a file, and of function literals with a name of their own: analysed again until
+    none changes, at most once more than there are.
 
     A fact about an argument counts if it holds whenever the function gives that constant; arguments it assigns to are
     left out. Guarantees are those its comment states.
     """
     from strataloom.frontends.rules import ENSURES, contract
 
+    if lang == "go":
+        funcs = [*funcs, *(c for f in funcs for c in closures(f))]
     called: dict[str, set[str]] = {}
     for g in funcs:
         for n, _, _, _ in walk(g.body):

@@ -303,7 +303,7 @@ class Braces:
                 generics = [k[0] for k in kinds]
             params, after = group(rest)
             results = group(after)[0] if after[:1] == ["("] else [after] if after else []
-            self.funcs.append(Func(name, receiver, _go_params(params), [" ".join(r) for r in results if r], body, line, end, exported=name[:1].isupper(), own=own, generics=generics))
+            self.funcs.append(Func(name, receiver, go_params(params), [" ".join(r) for r in results if r], body, line, end, exported=name[:1].isupper(), own=own, generics=generics))
             return
         toks = [x for x in head if x not in ("export", "default", "async")]
         name = ""
@@ -345,7 +345,7 @@ def group(tokens: list[str]) -> tuple[list[list[str]], list[str]]:
     return [p for p in parts if p], []
 
 
-def _go_params(parts: list[list[str]]) -> list[tuple[str, str]]:
+def go_params(parts: list[list[str]]) -> list[tuple[str, str]]:
     out, kind = [], ""
     named = any(len(p) > 1 and re.match(r"[A-Za-z_]", p[0]) and p[1] != "." for p in parts)
     for p in reversed(parts):

@@ -1083,6 +1083,32 @@ func Run(n int) {
 	}
 }
 """)
+case("paths", "known_closures", "go", """
+package a
+
+func Run(x *thing, y *thing) {
+	set := func(t *thing) bool {
+		if t == nil {
+			return false
+		}
+		return true
+	}
+	if !set(x) {
+		return
+	}
+	if x == nil {
+		stop()
+	}
+	set2 := func(t *thing) bool { return t != y }
+	set2 = other()
+	if !set2(y) {
+		return
+	}
+	if y == nil {
+		stop()
+	}
+}
+""", "5 boolean_ceremony", "13 redundant_condition")
 case("paths", "jumps", "go", """
 package a
 
