@@ -160,7 +160,8 @@ def effect_union(spark: SparkSession, d: str) -> DataFrame:
     name = lambda c: F.concat_ws("::", "src", c)
     own = scan.functions(s, ["src"], "content", "lang").select(name("name").alias("v"), F.col("effects").cast("bigint").alias("bits"))
     e = scan.calls(s, ["src"], "content", "lang").select(name("caller").alias("src"), name("callee").alias("dst"))
-    return graph.spread_bits(e.join(own.select(F.col("v").alias("dst")), "dst", "left_semi"), own)
+    bits = graph.spread_bits(e.join(own.select(F.col("v").alias("dst")), "dst", "left_semi"), own)
+    return bits.select("v", F.col("bits").cast("int").alias("bits"))
 
 
 @frontend

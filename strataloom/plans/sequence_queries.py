@@ -184,7 +184,7 @@ def capped_units(spark: SparkSession, d: str) -> DataFrame:
     r as (select i, b, 1 unit, 1 items, b total from d where i = 1
       union all select d.i, d.b, case when items = 128 or total + d.b > 64000 then unit + 1 else unit end, case when items = 128 or total + d.b > 64000 then 1 else items + 1 end,
         case when items = 128 or total + d.b > 64000 then d.b else total + d.b end from r join d on d.i = r.i + 1)
-    select 0 lane, unit, count(*) items, sum(b)::bigint bytes, min(b) least, max(b) most from r group by unit"""
+    select 0 lane, unit, count(*) items, sum(b)::bigint bytes, min(b)::int least, max(b)::int most from r group by unit"""
 )
 def length_batches(spark: SparkSession, d: str) -> DataFrame:
     """Batches of at most 128 documents or 64,000 bytes, in order of length."""
