@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import time
@@ -71,6 +72,15 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Shuffle files of DataFrames nobody holds are deleted: Spark does so only when the driver collects its garbage. What
+    the first round frees may hold more, for the second."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+
+
 class Scratch:
     """Written tables in the shared folder, which cut lineage like a reliable checkpoint but stay columnar and compressed.
 

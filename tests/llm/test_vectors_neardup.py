@@ -6,7 +6,7 @@ import numpy as np
 
 from strataloom.llm import neardup
 from strataloom.llm.neardup import BUDGET, Tries, all_pairs, candidates, near_duplicates, trie_pairs
-from strataloom.llm.vectors import CentroidGraph, Settings, equal_classes, fit_centroids, fit_index, probe, similar_pairs, split_lists, unit, usable
+from strataloom.llm.vectors import CentroidGraph, Centroids, Settings, equal_classes, fit_centroids, fit_index, probe, similar_pairs, split_lists, unit, usable
 from strataloom.runtime import Scratch
 
 
@@ -49,6 +49,26 @@ def test_recall_against_brute_force(spark):
     assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(got)
 
 
+def test_neighbours_are_found_among_many_lists(spark):
+    """A list for every second vector: as with millions of them, most lists end between two neighbours."""
+    rng, n = np.random.default_rng(9), 2000
+    x = unit(rng.normal(size=(n, 64)))
+    off = rng.normal(size=(n, 64))
+    off = unit(off - (off * x).sum(axis=1, keepdims=True) * x)
+    rows = [(i, "a", v.tolist()) for i, v in enumerate(np.concatenate([x, (0.9 * x + np.sqrt(1 - 0.9**2) * off).astype(np.float32)]))]
+    got = run(spark, rows, settings=Settings(per_list=2))
+    assert len(got & {(i, n + i) for i in range(n)}) >= 0.995 * n and got <= brute_pairs(rows)
+
+
+def test_best_of_all_centroids():
+    rng = np.random.default_rng(4)
+    for k in (1, 3, 64, 777, 4096):
+        c, q = unit(rng.normal(size=(k, 64))), unit(rng.normal(size=(50, 64)))
+        ids, sims = Centroids(c).search(q, 4)
+        s = q @ c.T
+        assert (ids == np.argsort(-s, axis=1)[:, :4]).all() and np.allclose(sims, -np.sort(-s, axis=1)[:, :4])
+
+
 def test_long_lists_are_split(spark):
     """Four lists a group only: those over the bound are split, twice where need be, and little is lost."""
     rows = make_vectors(4000)
