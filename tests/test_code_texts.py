@@ -32,3 +32,8 @@ def test_cut_before_a_block(text, lang):
 
 def test_behaviour_clones_with_cut_texts(run):
     assert [r[:3] for r in run("behaviour_clones", PAIR + CUT)] == [(1, "step", 0)]
+
+
+def test_code_findings_by_kind_with_lone_words(run):
+    lone = [("const", "go"), ("x()\nvar\n", "go"), ("type", "go")]
+    assert run("code_findings_by_kind", [("func f( {", "go"), *lone]) == [("parse_error", 1)]
