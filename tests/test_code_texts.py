@@ -37,3 +37,18 @@ def test_behaviour_clones_with_cut_texts(run):
 def test_code_findings_by_kind_with_lone_words(run):
     lone = [("const", "go"), ("x()\nvar\n", "go"), ("type", "go")]
     assert run("code_findings_by_kind", [("func f( {", "go"), *lone]) == [("parse_error", 1)]
+
+
+#: A chain of branches and a sum that take more frames than Python allows by itself; the functions around them are read.
+LONG = [
+    ("func chain(a int) int {\n\tif a == 0 {\n\t\tx()\n\t}" + "".join(f" else if a == {i} {{\n\t\tx()\n\t}}" for i in range(1, 600)) + "\n\treturn 1\n}\n", "go"),
+    ("def _total(a):\n    return " + " + ".join(["a"] * 1500) + "\n", "py"),
+]
+#: Numbers that no float holds.
+HUGE = [("func isHuge(a int) bool {\n\tif a > 1" + "0" * 400 + " {\n\t\treturn true\n\t}\n\treturn false\n}\n", "go")]
+
+
+def test_code_findings_with_huge_numbers(run):
+    rows = run("code_findings", HUGE + LONG + CUT + [("func f(a int) {\n" + "if a > 1 {\n" * 9000 + "}\n" * 9001, "go")])
+    assert [(r[0], r[2], r[3]) for r in rows if r[0] in (0, 2)] == [(0, 2, "boolean_ceremony")]
+    assert [(r[0], r[3]) for r in rows if r[0] > 2] == [(3, "parse_error"), (4, "parse_error"), (5, "parse_error"), (6, "parse_error"), (7, "parse_error")]
