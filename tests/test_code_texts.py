@@ -52,3 +52,7 @@ def test_code_findings_with_huge_numbers(run):
     rows = run("code_findings", HUGE + LONG + CUT + [("func f(a int) {\n" + "if a > 1 {\n" * 9000 + "}\n" * 9001, "go")])
     assert [(r[0], r[2], r[3]) for r in rows if r[0] in (0, 2)] == [(0, 2, "boolean_ceremony")]
     assert [(r[0], r[3]) for r in rows if r[0] > 2] == [(3, "parse_error"), (4, "parse_error"), (5, "parse_error"), (6, "parse_error"), (7, "parse_error")]
+
+
+def test_code_functions_with_huge_numbers(run):
+    assert [(r[0], r[1], r[-2]) for r in run("code_functions", HUGE + LONG + CUT)] == [(0, "isHuge", "mixed"), (1, "chain", "always 1"), (2, "_total", "mixed")]
