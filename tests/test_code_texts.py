@@ -48,6 +48,10 @@ LONG = [
 HUGE = [("func isHuge(a int) bool {\n\tif a > 1" + "0" * 400 + " {\n\t\treturn true\n\t}\n\treturn false\n}\n", "go")]
 
 
+def test_dead_functions_with_long_chains(run):
+    assert {r[0].split("::")[-1] for r in run("dead_functions", LONG + CUT)} == {"chain", "_total"}
+
+
 def test_code_findings_with_huge_numbers(run):
     rows = run("code_findings", HUGE + LONG + CUT + [("func f(a int) {\n" + "if a > 1 {\n" * 9000 + "}\n" * 9001, "go")])
     assert [(r[0], r[2], r[3]) for r in rows if r[0] in (0, 2)] == [(0, 2, "boolean_ceremony")]
